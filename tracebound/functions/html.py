@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracebound.functions import fixed
-from tracebound.functions.lets import matches
+from tracebound.functions.lets import extract, matches, substitute
 from tracebound.functions.text import collapse_ws, decode_entities, split_lines
 
 
 def drop_scripts(html: Column) -> Column:
-    return F.regexp_replace(html, fixed.HTML_SCRIPT_STYLE, "")
+    return substitute(html, fixed.HTML_SCRIPT_STYLE, "")
 
 
 def strip_tags(html: Column) -> Column:
@@ -21,7 +21,7 @@ def strip_tags(html: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Readable lines of a page."""
-    broken = F.regexp_replace(drop_scripts(html), fixed.HTML_BREAK_TAG, "\n")
+    broken = substitute(drop_scripts(html), fixed.HTML_BREAK_TAG, "\n")
     plain = decode_entities(F.regexp_replace(broken, "<[^>]+>", ""))
     return F.array_join(
         F.filter(F.transform(split_lines(plain), collapse_ws), lambda x: x != ""), "\n"
@@ -39,7 +39,7 @@ def extract_attribute(html: Column, name: str) -> Column:
 
 def first_attribute(html: Column, name: str) -> Column:
     """First quoted value of an attribute, or the empty string."""
-    return F.regexp_extract(F.coalesce(html, F.lit("")), attribute_pattern(name, "[^\"']*"), 1)
+    return extract(F.coalesce(html, F.lit("")), attribute_pattern(name, "[^\"']*"), 1)
 
 
 def classify_resource(url: Column) -> Column:

@@ -22,10 +22,31 @@ def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def ascii_words(pattern: str) -> str:
+    r"""``\b`` as a boundary of ASCII words.
+
+    Java 17 counts letters such as ``é`` as word characters in ``\b`` but not in ``\w``;
+    the patterns here mean ASCII in both.
+    """
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
+def found(value: Column, pattern: str) -> Column:
+    return value.rlike(ascii_words(pattern))
+
+
+def extract(value: Column | str, pattern: str, group: int) -> Column:
+    return F.regexp_extract(value, ascii_words(pattern), group)
+
+
+def substitute(value: Column, pattern: str, replacement: str) -> Column:
+    return F.regexp_replace(value, ascii_words(pattern), replacement)
+
+
 def matches(value: Column, pattern: str, group: int = 0) -> Column:
     """All matches of ``pattern``; an empty array for NULL input."""
     return F.coalesce(
-        F.regexp_extract_all(value, F.lit(pattern), F.lit(group)), empty_strings()
+        F.regexp_extract_all(value, F.lit(ascii_words(pattern)), F.lit(group)), empty_strings()
     )
 
 

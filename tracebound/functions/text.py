@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracebound.functions import fixed
-from tracebound.functions.lets import let, matches, non_blank, one_of
+from tracebound.functions.lets import found, let, matches, non_blank, one_of
 
 NUL = "\u0000"
 
@@ -151,7 +151,7 @@ def classify_by_rules(value: Column, rules=fixed.TEXT_DIMENSION_RULES,
     result = None
     for label, where, pattern in rules:
         target = F.substring(text, 1, opening_chars) if where == "opening" else text
-        test = target.rlike(pattern)
+        test = found(target, pattern)
         result = F.when(test, F.lit(label)) if result is None else result.when(test, F.lit(label))
     return F.lit(None).cast("string") if result is None else result
 

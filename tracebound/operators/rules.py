@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracebound.functions import fixed
 from tracebound.functions.html import attribute_pattern
-from tracebound.functions.lets import matches, non_blank
+from tracebound.functions.lets import extract, found, matches, non_blank
 from tracebound.functions.text import is_json, is_timestamp, js_trim
 from tracebound.operators.issues import issue_rows
 
@@ -36,7 +36,7 @@ def check_constraints(df: DataFrame, spec: dict[str, dict], subject: str) -> Dat
         if "enum" in rules:
             flags.append((f"{name}:enum", ~value.isin(*rules["enum"])))
         if "pattern" in rules:
-            flags.append((f"{name}:pattern", ~value.rlike(rules["pattern"])))
+            flags.append((f"{name}:pattern", ~found(value, rules["pattern"])))
         if "min" in rules:
             flags.append((f"{name}:min", value < rules["min"]))
         if "min_length" in rules:
@@ -51,7 +51,7 @@ def check_constraints(df: DataFrame, spec: dict[str, dict], subject: str) -> Dat
 def unsafe_content(pages: DataFrame, key: str, text: str,
                    rules=fixed.UNSAFE_CONTENT_RULES) -> DataFrame:
     """F-03: one issue per page and matching rule."""
-    return flag_rows(pages, [(code, F.col(text).rlike(p)) for code, p in rules], key)
+    return flag_rows(pages, [(code, found(F.col(text), p)) for code, p in rules], key)
 
 
 def external_resources(pages: DataFrame, key: str, text: str,
@@ -87,9 +87,9 @@ def dialog_policy(turns: DataFrame, max_questions: int = fixed.MAX_QUESTIONS,
     counts = turns.groupBy("conv_id").agg(
         F.count_if(js_trim(text) == "").alias("blank"),
         F.count_if("is_question").alias("questions"),
-        F.count_if(F.col("is_question") & text.rlike(forbidden)).alias("forbidden"),
+        F.count_if(F.col("is_question") & found(text, forbidden)).alias("forbidden"),
         F.count_if(F.col("is_delegated")).alias("delegated"),
-        F.count_if(text.rlike(delegation)).alias("explicit"),
+        F.count_if(found(text, delegation)).alias("explicit"),
     )
     return flag_rows(
         counts,
@@ -157,7 +157,7 @@ def missing_provenance(nodes: DataFrame, node_refs: DataFrame,
 
 
 def _has_attribute(raw: Column, name: str) -> Column:
-    return raw.rlike(attribute_pattern(name))
+    return found(raw, attribute_pattern(name))
 
 
 def numeric_without_source(pages: DataFrame, key: str, html: str,
@@ -168,12 +168,12 @@ def numeric_without_source(pages: DataFrame, key: str, html: str,
         rf"(?i)<([a-z][\w-]*)\b([^>]*\b{edit_attr}\s*=\s*[\"']([^\"']+)[\"'][^>]*)>"
         r"([\s\S]*?)</\1>"
     )
-    found = pages.select(key, F.explode(matches(F.col(html), pattern)).alias("__element"))
-    attributes = F.regexp_extract("__element", pattern, 2)
-    text = F.regexp_replace(F.regexp_extract("__element", pattern, 4), "<[^>]+>", " ")
+    elements = pages.select(key, F.explode(matches(F.col(html), pattern)).alias("__element"))
+    attributes = extract("__element", pattern, 2)
+    text = F.regexp_replace(extract("__element", pattern, 4), "<[^>]+>", " ")
     return issue_rows(
-        found.filter(text.rlike(r"\d") & ~_has_attribute(attributes, source_attr)),
-        "numeric-without-source", key, F.regexp_extract("__element", pattern, 3),
+        elements.filter(text.rlike(r"\d") & ~_has_attribute(attributes, source_attr)),
+        "numeric-without-source", key, extract("__element", pattern, 3),
     )
 
 
@@ -184,7 +184,7 @@ def derived_without_formula(pages: DataFrame, key: str, html: str,
     """Q-04: derived values without a formula."""
     pattern = rf"(?i)<[a-z][^>]*\b{derived_attr}\s*=\s*[\"']{derived_value}[\"'][^>]*>"
     tags = pages.select(key, F.explode(matches(F.col(html), pattern)).alias("__tag"))
-    identity = F.regexp_extract(
+    identity = extract(
         "__tag", rf"(?i)\b(?:{'|'.join(identity_attrs)})\s*=\s*[\"']([^\"']+)[\"']", 1
     )
     return issue_rows(
@@ -221,13 +221,13 @@ def page_charts(pages: DataFrame, key: str, html: str) -> tuple[DataFrame, DataF
         r"([\s\S]*?)</script>"
     )
     charts = pages.select(key, F.explode(matches(F.col(html), chart_tag)).alias("t")).select(
-        F.concat_ws("/", key, F.regexp_extract("t", attribute_pattern("data-chart-id"), 1))
+        F.concat_ws("/", key, extract("t", attribute_pattern("data-chart-id"), 1))
         .alias("chart_id"),
-        F.regexp_extract("t", attribute_pattern("data-source-ref"), 1).alias("source_ref"),
+        extract("t", attribute_pattern("data-source-ref"), 1).alias("source_ref"),
     )
     payloads = pages.select(key, F.explode(matches(F.col(html), payload)).alias("s")).select(
-        F.concat_ws("/", key, F.regexp_extract("s", payload, 1)).alias("chart_id"),
-        F.regexp_extract("s", payload, 2).alias("json"),
+        F.concat_ws("/", key, extract("s", payload, 1)).alias("chart_id"),
+        extract("s", payload, 2).alias("json"),
     )
     return charts, payloads
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracebound.functions import fixed
-from tracebound.functions.lets import let
+from tracebound.functions.lets import found, let
 from tracebound.functions.text import classify_by_rules, split_sentences
 from tracebound.plans.ordered import carry_last, positions
 
@@ -56,7 +56,7 @@ def describe_images(units: DataFrame, pattern: str = fixed.DATA_IMAGE_PATTERN) -
     description = F.concat_ws(
         " ", F.coalesce("alt", F.lit("")), F.coalesce("caption", F.lit("")), "following_text"
     )
-    is_data = (F.col("type") == "image") & description.rlike(pattern)
+    is_data = (F.col("type") == "image") & found(description, pattern)
     return units.withColumn("original_type", F.when(is_data, F.col("type"))).withColumn(
         "type", F.when(is_data, "evidenceWarning").otherwise(F.col("type"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracebound.functions import fixed
 from tracebound.functions.html import attribute_pattern
-from tracebound.functions.lets import matches, non_blank
+from tracebound.functions.lets import extract, found, matches, non_blank, substitute
 from tracebound.plans.lineage import cut
 
 _TAG = r"</?[A-Za-z][^<>]*>"
@@ -29,7 +29,7 @@ def tag_tree(pages: DataFrame, key: str = "page_id", html: str = "html",
     leaves = [*fixed.VOID_TAGS, *fixed.OPTIONAL_CLOSE_TAGS]
     tags = (
         pages.select(
-            key, F.posexplode(matches(F.regexp_replace(F.col(html), drop, ""), _TAG))
+            key, F.posexplode(matches(substitute(F.col(html), drop, ""), _TAG))
             .alias("pos", "raw")
         )
         .withColumn("pos", F.col("pos").cast("bigint"))
@@ -62,7 +62,7 @@ def tag_tree(pages: DataFrame, key: str = "page_id", html: str = "html",
 def tag_signature(tags: DataFrame) -> DataFrame:
     """``depth:tag:role`` of each tag, the alphabet of the structural trigrams."""
     def quoted(name):
-        return non_blank(F.regexp_extract("raw", attribute_pattern(name), 1))
+        return non_blank(extract("raw", attribute_pattern(name), 1))
 
     role = F.coalesce(quoted("data-role"), quoted("data-content-id"), F.lit(""))
     return tags.withColumn(
@@ -82,7 +82,7 @@ def nearest_ancestor_value(tags: DataFrame, attribute: str, key: str = "page_id"
     Only tags that carry the attribute take part on the other side of the join.
     """
     owners = tags.withColumn(
-        "value", non_blank(F.regexp_extract("raw", attribute_pattern(attribute), 1))
+        "value", non_blank(extract("raw", attribute_pattern(attribute), 1))
     ).filter(F.col("value").isNotNull())
     above = (
         tags.alias("t").join(owners.alias("o"), F.col(f"t.{key}") == F.col(f"o.{key}"))
@@ -106,7 +106,7 @@ def nearest_ancestor_value(tags: DataFrame, attribute: str, key: str = "page_id"
 def statically_visible(tags: DataFrame, hidden: Column | None = None,
                        key: str = "page_id") -> DataFrame:
     """F-05: tags that are not hidden and have no hidden ancestor."""
-    rule = F.col("raw").rlike(fixed.HIDDEN_TAG) if hidden is None else hidden
+    rule = found(F.col("raw"), fixed.HIDDEN_TAG) if hidden is None else hidden
     covered = tags.filter(rule).select(
         F.col(key).alias("__key"), F.col("pos").alias("__from"),
         F.coalesce("end_pos", F.lit(2**62)).alias("__to"),

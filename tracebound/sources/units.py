@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracebound.functions import fixed
 from tracebound.functions.html import drop_scripts, first_attribute, strip_tags, table_rows
 from tracebound.functions.html import visible_text
-from tracebound.functions.lets import let, matches
+from tracebound.functions.lets import found, let, matches
 from tracebound.functions.text import js_trim, split_lines, stable_id, text_lines, unit_text
 
 UNIT_FIELDS = (
@@ -190,9 +190,9 @@ def _html_unit(block: Column) -> Column:
             level != "",
             _unit(F.lit("heading"), level=level.try_cast("int"), text=strip_tags(block)),
         )
-        .when(block.rlike(r"(?i)^<p\b"), _unit(F.lit("paragraph"), text=strip_tags(block)))
+        .when(found(block, r"(?i)^<p\b"), _unit(F.lit("paragraph"), text=strip_tags(block)))
         .when(
-            block.rlike(r"(?i)^<img\b"),
+            found(block, r"(?i)^<img\b"),
             _unit(F.lit("image"), asset_path=first_attribute(block, "src"),
                   alt=first_attribute(block, "alt")),
         )
@@ -209,11 +209,11 @@ def read_html_units(pages: DataFrame, html: str = "html",
     keep = keep or ["page_id"]
     source = F.col(html)
 
-    def or_lines(found: Column) -> Column:
+    def or_lines(blocks: Column) -> Column:
         lines = F.transform(
             text_lines(visible_text(source)), lambda x: _unit(F.lit("paragraph"), text=x)
         )
-        return F.when(F.size(found) > 0, found).otherwise(lines)
+        return F.when(F.size(blocks) > 0, blocks).otherwise(lines)
 
     blocks = F.filter(
         F.transform(matches(drop_scripts(source), fixed.HTML_BLOCK), _html_unit), _has_content
