@@ -327,8 +327,8 @@ def json_numbers(df: DataFrame, key: str, json: str,
                  skip=fixed.NON_VALUE_KEYS) -> DataFrame:
     """N-05: numeric leaves of a JSON object of scalars and of arrays of scalars.
 
-    ``key, field, value`` with the value as text. Nested objects need a schema: parse them
-    with ``from_json`` and explode their fields first.
+    ``key, field, value``; the value is the text of the number, so ``18.0`` reads ``18``.
+    Nested objects need a schema: parse them with ``from_json`` and explode their fields.
     """
     fields = F.from_json(F.col(json), "map<string,string>")
     leaves = df.select(key, F.explode(fields).alias("field", "__v")).filter(
@@ -339,6 +339,9 @@ def json_numbers(df: DataFrame, key: str, json: str,
         F.col("__v").startswith("["), F.from_json("__v", "array<string>")
     ).otherwise(F.array("__v"))
     number = r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"
-    return leaves.select(key, "field", F.explode(values).alias("value")).filter(
-        F.col("value").rlike(number)
+    return (
+        leaves.select(key, "field", F.explode(values).alias("value"))
+        .filter(F.col("value").rlike(number))
+        .withColumn("value", F.regexp_replace("value", r"(\.\d*?)0+$", "$1"))
+        .withColumn("value", F.regexp_replace("value", r"\.$", ""))
     )

@@ -55,9 +55,47 @@ def typed_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def _row_counts(cells: DataFrame) -> DataFrame:
-    # Rows are numbered from 0 without gaps, so the last index gives the count.
-    return cells.groupBy("dataset_id").agg((F.max("row_idx") + 1).alias("rows"))
+def column_choice(typed: DataFrame) -> DataFrame:
+    """A-04 and A-05 in one pass: ``dataset_id, measure_col, numeric_cells, rows, label_col,
+    usable``; ``usable`` counts the non-negative cells of the measure.
+
+    Cells are reduced to one row per column first; what is gathered per dataset is one
+    short entry per column of the table.
+    """
+    profile = typed.groupBy("dataset_id", "col_idx").agg(
+        F.count("num").alias("n"),
+        F.count_if(F.col("num.value") >= 0).alias("usable"),
+        F.count_if("is_text").alias("texts"),
+        # Rows are numbered from 0 without gaps, so the last index gives the count.
+        (F.max("row_idx") + 1).alias("rows"),
+    )
+    per_dataset = profile.groupBy("dataset_id").agg(
+        F.max("rows").alias("rows"),
+        F.max_by(
+            F.struct("col_idx", "n", "usable"),
+            F.when(
+                (F.col("col_idx") >= 1) & (F.col("n") >= 2),
+                F.struct("n", (-F.col("col_idx")).alias("c")),
+            ),
+        ).alias("m"),
+        F.collect_list(F.struct("col_idx", "texts")).alias("columns"),
+    )
+    label = F.array_max(
+        F.transform(
+            F.filter(
+                "columns",
+                lambda c: (c["col_idx"] < F.col("m.col_idx"))
+                & (c["texts"] >= F.ceil(F.col("rows") / 2)),
+            ),
+            lambda c: c["col_idx"],
+        )
+    )
+    return per_dataset.filter(F.col("m").isNotNull() & (F.col("rows") >= 2)).select(
+        "dataset_id", F.col("m.col_idx").alias("measure_col"),
+        F.col("m.n").alias("numeric_cells"), "rows",
+        F.coalesce(label, F.lit(0)).cast("bigint").alias("label_col"),
+        F.col("m.usable").alias("usable"),
+    )
 
 
 def select_measure(typed: DataFrame) -> DataFrame:
@@ -65,38 +103,12 @@ def select_measure(typed: DataFrame) -> DataFrame:
 
     At least two numeric cells and two rows; the earliest column wins a tie.
     """
-    counts = (
-        typed.filter((F.col("col_idx") >= 1) & F.col("num").isNotNull())
-        .groupBy("dataset_id", "col_idx").agg(F.count(F.lit(1)).alias("n"))
-    )
-    best = counts.groupBy("dataset_id").agg(
-        F.max("n").alias("numeric_cells"),
-        F.max_by("col_idx", F.struct("n", (-F.col("col_idx")).alias("c"))).alias("measure_col"),
-    )
-    return (
-        best.join(_row_counts(typed), "dataset_id")
-        .filter((F.col("numeric_cells") >= 2) & (F.col("rows") >= 2))
-        .select("dataset_id", "measure_col", "numeric_cells", "rows")
-    )
+    return column_choice(typed).select("dataset_id", "measure_col", "numeric_cells", "rows")
 
 
-def select_label(typed: DataFrame, measure: DataFrame) -> DataFrame:
+def select_label(typed: DataFrame) -> DataFrame:
     """A-05: the nearest column left of the measure that is text in half the rows, else 0."""
-    texts = (
-        typed.filter("is_text").groupBy("dataset_id", "col_idx")
-        .agg(F.count(F.lit(1)).alias("texts"))
-    )
-    found = (
-        measure.join(texts, "dataset_id")
-        .filter(
-            (F.col("col_idx") < F.col("measure_col"))
-            & (F.col("texts") >= F.ceil(F.col("rows") / 2))
-        )
-        .groupBy("dataset_id").agg(F.max("col_idx").alias("label_col"))
-    )
-    return measure.join(found, "dataset_id", "left").withColumn(
-        "label_col", F.coalesce("label_col", F.lit(0)).cast("bigint")
-    )
+    return column_choice(typed).select("dataset_id", "measure_col", "label_col")
 
 
 def table_series(cells: DataFrame) -> DataFrame:
@@ -106,31 +118,27 @@ def table_series(cells: DataFrame) -> DataFrame:
     row number. Negative values are dropped; fewer than two rows left means no series.
     """
     typed = typed_cells(cells)
-    chosen = select_label(typed, select_measure(typed))
+    chosen = column_choice(typed).filter(F.col("usable") >= 2)
+    is_label = F.col("col_idx") == F.col("label_col")
     rows = (
-        typed.join(chosen, "dataset_id")
+        typed.join(chosen.select("dataset_id", "measure_col", "label_col"), "dataset_id")
         .groupBy("dataset_id", "row_idx")
         .agg(
             F.max(F.when(F.col("col_idx") == F.col("measure_col"), F.col("num"))).alias("m"),
-            F.max(F.when(F.col("col_idx") == F.col("label_col"), F.col("cell"))).alias("pref"),
-            F.max(
-                F.when(F.col("col_idx") == F.col("label_col"), F.col("num").isNotNull())
-            ).alias("pref_numeric"),
-            F.min_by(F.when(F.col("is_text"), F.col("cell")),
-                     F.when(F.col("is_text"), F.col("col_idx"))).alias("fallback"),
+            F.max(F.when(is_label, F.col("cell"))).alias("pref"),
+            F.max(F.when(is_label, F.col("num").isNotNull())).alias("pref_numeric"),
+            F.min_by("cell", F.when(F.col("is_text"), F.col("col_idx"))).alias("fallback"),
         )
         .filter(F.col("m").isNotNull() & (F.col("m.value") >= 0))
     )
     number = (F.col("row_idx") + 1).cast("string")
-    series = rows.select(
+    return rows.select(
         "dataset_id", "row_idx",
         F.when(F.col("pref_numeric"), F.coalesce("fallback", number))
         .otherwise(F.coalesce("pref", number)).alias("label"),
         F.col("m.value").alias("value"), F.col("m.unit").alias("unit"),
         F.col("m.raw").alias("display"),
     )
-    enough = series.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    return series.join(enough.select("dataset_id"), "dataset_id", "left_semi")
 
 
 def dominant_unit(rows: DataFrame, headers: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "tracebound", **extra: str)
     settings = {
         **SETTINGS,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": "8",
         **extra,

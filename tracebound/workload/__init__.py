@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries",)
+MODULES = (
+    "text_queries", "audit_queries", "table_queries", "html_queries", "edit_queries",
+)
 
 
 def load():

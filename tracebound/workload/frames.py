@@ -280,5 +280,3 @@ def assessments(spark, folder) -> DataFrame:
         .otherwise("use-original").alias("treatment"),
         F.when(F.col("n_chars") % 2 == 0, F.col("source")).otherwise("").alias("source_binding"),
     )
-
-

@@ -454,4 +454,3 @@ def _(spark, folder):
         F.col("source_id").alias("node_id"), (F.length(line) % 3).alias("idx"),
         F.length(line).alias("value"), F.col("lang").alias("unit"), F.lit("").alias("label"))
     return ledger.compile_facts(nodes, metrics, "v1")
-
