@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +15,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    A plain ``withColumn`` may be inlined into every filter and projection above it, which
+    repeats an expensive text expression. A generator is never inlined.
+    """
+    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
+    added = df.select("*", F.explode(F.array(packed)).alias("__c"))
+    return added.select(*df.columns, *[F.col(f"__c.{name}").alias(name) for name in columns])
+
+
 def non_blank(value: Column) -> Column:
     """NULL for the empty string, else the value."""
     return F.when(value != "", value)
@@ -28,6 +41,9 @@ def ascii_words(pattern: str) -> str:
     Java 17 counts letters such as ``é`` as word characters in ``\b`` but not in ``\w``;
     the patterns here mean ASCII in both.
     """
+    # Before a letter at the start of an alternative, and after a letter, half the test will do.
+    pattern = re.sub(r"(^(?:\(\?[a-z]+\))?|\|)\\b(?=[A-Za-z])", r"\1(?<!\\w)", pattern)
+    pattern = re.sub(r"((?<!\\)[A-Za-z])\\b(?=[\[<]|$)", r"\1(?!\\w)", pattern)
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 

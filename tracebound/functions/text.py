@@ -16,18 +16,25 @@ def js_trim(value: Column) -> Column:
     return F.btrim(value, F.lit(fixed.WS_CHARS))
 
 
+def _blank_spaces(value: Column) -> Column:
+    # A character table and a one-character pattern: several times faster than a regex
+    # class over the whole whitespace set.
+    spaced = F.translate(value, fixed.WS_CHARS, " " * len(fixed.WS_CHARS))
+    return F.regexp_replace(spaced, " {2,}", " ")
+
+
 def collapse_ws(value: Column) -> Column:
-    return js_trim(F.regexp_replace(value, f"[{fixed.WS}]+", " "))
+    return F.trim(_blank_spaces(value))
 
 
 def normalize_ws(value: Column) -> Column:
     """Remove all whitespace."""
-    return F.regexp_replace(value, f"[{fixed.WS}]+", "")
+    return F.translate(value, fixed.WS_CHARS, "")
 
 
 def normalize_rationale(value: Column, punctuation: str = fixed.RATIONALE_PUNCTUATION) -> Column:
     """Trimmed, lower-case, single-spaced, without punctuation."""
-    flat = F.regexp_replace(F.lower(js_trim(F.coalesce(value, F.lit("")))), f"[{fixed.WS}]+", " ")
+    flat = collapse_ws(F.lower(F.coalesce(value, F.lit(""))))
     return F.translate(flat, punctuation, "")
 
 
@@ -184,18 +191,29 @@ def _code_point(number: Column) -> Column:
 
 
 def _decode_references(value: Column, pattern: str, to_number) -> Column:
-    # One pass: the pieces between the references, each followed by its character.
-    return F.array_join(
-        F.zip_with(
-            F.split(value, pattern, -1),
-            matches(value, f"({pattern})", 1),
-            lambda piece, ref: F.concat(
-                F.coalesce(piece, F.lit("")),
-                F.coalesce(_code_point(to_number(ref)), ref, F.lit("")),
+    # One pass: the pieces between the references, each followed by its character. Each
+    # distinct reference of a text is decoded once.
+    def pieces(refs: Column) -> Column:
+        known = F.array_distinct(refs)
+        table = F.map_from_arrays(
+            known, F.transform(known, lambda r: F.coalesce(_code_point(to_number(r)), r))
+        )
+        return let(
+            table,
+            lambda chars: F.array_join(
+                F.zip_with(
+                    F.split(value, pattern, -1),
+                    refs,
+                    lambda piece, ref: F.concat(
+                        F.coalesce(piece, F.lit("")),
+                        F.coalesce(F.try_element_at(chars, ref), F.lit("")),
+                    ),
+                ),
+                "",
             ),
-        ),
-        "",
-    )
+        )
+
+    return let(matches(value, f"({pattern})", 1), pieces)
 
 
 def decode_entities(value: Column) -> Column:

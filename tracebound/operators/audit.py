@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracebound.functions import fixed
-from tracebound.functions.lets import non_blank
+from tracebound.functions.lets import computed, empty_strings, non_blank
 from tracebound.functions.text import (
     comparable_numbers, is_timestamp, js_trim, lexical_terms, protected_tokens,
     qualification_tokens,
@@ -118,14 +118,14 @@ def unsupported_number_issues(found: DataFrame) -> DataFrame:
 def dropped_qualifiers(claims: DataFrame, bindings: DataFrame, facts: DataFrame,
                        terms=fixed.QUALIFIERS_AUDIT, dialect: str = "audit") -> DataFrame:
     """J-06: a fact and a claim share a number, but a qualifier of the fact is gone."""
-    fact_side = facts.select(
-        "fact_id",
-        F.array_distinct(comparable_numbers(F.col("raw_text"), dialect)).alias("fact_numbers"),
-        F.array_distinct(qualification_tokens(F.col("raw_text"), terms)).alias("qualifiers"),
-    ).filter((F.size("qualifiers") > 0) & (F.size("fact_numbers") > 0))
-    claim_side = claims.select(
-        "content_id", "text",
-        F.array_distinct(comparable_numbers(F.col("text"), dialect)).alias("claim_numbers"),
+    fact_side = computed(
+        facts.select("fact_id", "raw_text"),
+        fact_numbers=F.array_distinct(comparable_numbers(F.col("raw_text"), dialect)),
+        qualifiers=F.array_distinct(qualification_tokens(F.col("raw_text"), terms)),
+    ).drop("raw_text").filter((F.size("qualifiers") > 0) & (F.size("fact_numbers") > 0))
+    claim_side = computed(
+        claims.select("content_id", "text"),
+        claim_numbers=F.array_distinct(comparable_numbers(F.col("text"), dialect)),
     ).filter(F.size("claim_numbers") > 0)
     dropped = (
         bindings.select("content_id", "fact_id").distinct()
@@ -143,15 +143,73 @@ def dropped_qualifiers(claims: DataFrame, bindings: DataFrame, facts: DataFrame,
     return issue_rows(dropped, "dropped-qualification", "content_id", "qualifier")
 
 
+def claim_issues(claims: DataFrame, sources: DataFrame, terms=fixed.QUALIFIERS_AUDIT,
+                 set_dialect: str = "audit", count_dialect: str = "editorial") -> DataFrame:
+    """J-04, J-05 and J-06 together: one join and one aggregation for all three checks.
+
+    ``claims(claim_id, text, source_ids ARRAY)``, ``sources(source_id, text)``. Each pair
+    of a claim and a cited source tallies the tokens that both hold, and the first pair of
+    a claim also tallies what the claim needs; the sums per (claim, token) decide.
+    """
+    def tally(kind, tokens, needed, available):
+        return F.transform(
+            F.coalesce(tokens, empty_strings()),
+            lambda t: F.struct(
+                F.lit(kind).alias("kind"), t.alias("token"), F.lit(needed).alias("needed"),
+                F.lit(available).alias("available"),
+            ),
+        )
+
+    own = computed(
+        claims.select("claim_id", "text", "source_ids"),
+        own_set=F.array_distinct(comparable_numbers(F.col("text"), set_dialect)),
+        own_count=comparable_numbers(F.col("text"), count_dialect),
+    )
+    facts = computed(
+        sources.select("source_id", F.col("text").alias("source_text")),
+        fact_set=F.array_distinct(comparable_numbers(F.col("source_text"), set_dialect)),
+        fact_count=comparable_numbers(F.col("source_text"), count_dialect),
+        qualifiers=F.array_distinct(qualification_tokens(F.col("source_text"), terms)),
+    ).drop("source_text")
+    pairs = own.select(
+        "claim_id", "text", "own_set", "own_count",
+        F.posexplode_outer("source_ids").alias("pos", "source_id"),
+    ).join(facts, "source_id", "left")
+    shared = F.array_intersect("own_set", "fact_set")
+    dropped = F.when(
+        F.size(shared) > 0, F.filter("qualifiers", lambda q: ~F.contains(F.col("text"), q))
+    )
+    first = F.coalesce("pos", F.lit(0)) == 0
+    tallies = F.concat(
+        tally("fact-distortion", F.when(first, F.col("own_set")), 1, 0),
+        tally("fact-distortion", shared, 0, 1),
+        tally("numeric-token-absent", F.when(first, F.col("own_count")), 1, 0),
+        tally(
+            "numeric-token-absent",
+            F.filter("fact_count", lambda t: F.array_contains(F.col("own_count"), t)), 0, 1,
+        ),
+        tally("dropped-qualification", dropped, 1, 0),
+    )
+    sums = (
+        pairs.select("claim_id", F.explode(tallies).alias("t"))
+        .groupBy("claim_id", F.col("t.kind").alias("code"), F.col("t.token").alias("token"))
+        .agg(F.sum("t.needed").alias("needed"), F.sum("t.available").alias("available"))
+    )
+    fails = F.when(F.col("code") == "fact-distortion", F.col("available") == 0).otherwise(
+        F.col("needed") > F.col("available")
+    )
+    return issue_rows(
+        sums.filter((F.col("needed") > 0) & fails), F.col("code"), "claim_id", "token"
+    )
+
+
 def unsupported_terms(claims: DataFrame, refs: DataFrame, units: DataFrame,
                       terms=fixed.PROTECTED_TERMS) -> DataFrame:
     """J-07: protected words of a claim that none of its sources contains."""
-    wanted = claims.select(
-        "claim_id",
-        F.array_distinct(
-            F.transform(protected_tokens(F.col("text"), terms), F.lower)
-        ).alias("terms"),
-    ).filter(F.size("terms") > 0)
+    wanted = computed(
+        claims.select("claim_id", "text"),
+        terms=F.array_distinct(F.transform(protected_tokens(F.col("text"), terms), F.lower)),
+    ).select("claim_id", "terms").filter(F.size("terms") > 0)
     found = (
         refs.select("claim_id", "source_id").distinct()
         .join(wanted, "claim_id")
@@ -174,10 +232,12 @@ def unsupported_terms(claims: DataFrame, refs: DataFrame, units: DataFrame,
 def lexical_support(claims: DataFrame, refs: DataFrame, units: DataFrame,
                     share: float = fixed.LEXICAL_SUPPORT_SHARE) -> DataFrame:
     """J-08: ``claim_id, terms, shared, required, supported`` for claims with any term."""
-    claim_terms = claims.select(
-        "claim_id", lexical_terms(F.col("text")).alias("claim_terms")
-    ).filter(F.size("claim_terms") > 0)
-    source_terms = units.select("source_id", lexical_terms(F.col("text")).alias("source_terms"))
+    claim_terms = computed(
+        claims.select("claim_id", "text"), claim_terms=lexical_terms(F.col("text"))
+    ).select("claim_id", "claim_terms").filter(F.size("claim_terms") > 0)
+    source_terms = computed(
+        units.select("source_id", "text"), source_terms=lexical_terms(F.col("text"))
+    ).select("source_id", "source_terms")
     shared = (
         refs.select("claim_id", "source_id").distinct()
         .join(claim_terms, "claim_id").join(source_terms, "source_id")

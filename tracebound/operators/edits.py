@@ -234,11 +234,17 @@ def applied_patches(replayed: DataFrame, key: list[str]) -> DataFrame:
 
     A slot holds the last patch that was written to it, so it is a ``max_by`` per slot.
     """
-    ends = replayed.groupBy(*key).agg(F.max_by("cursor", "seq").alias("__end"))
-    slots = replayed.filter(F.col("op") == "patch").groupBy(*key, F.col("cursor").alias("slot")).agg(
-        F.max("seq").alias("seq")
+    visits = replayed.groupBy(*key, F.col("cursor").alias("slot")).agg(
+        F.max("seq").alias("__last"),
+        F.max(F.when(F.col("op") == "patch", F.col("seq"))).alias("seq"),
+    )
+    # The slot visited last is where the cursor stands.
+    ends = visits.groupBy(*key).agg(F.max_by("slot", "__last").alias("__end"))
+    return (
+        visits.filter(F.col("seq").isNotNull()).join(ends, key)
+        .filter(F.col("slot") <= F.col("__end"))
+        .select(*key, "slot", "seq")
     )
-    return slots.join(ends, key).filter(F.col("slot") <= F.col("__end")).drop("__end")
 
 
 # --- T-03 ------------------------------------------------------------------------
@@ -251,17 +257,19 @@ def coverage_on_delete(coverage: DataFrame, node_refs: DataFrame, deleted: DataF
     ``deleted(node_id)``. A source whose last node went becomes ``omitted`` with the
     (last) deleted node as the reason; others keep their status and get a new node count.
     """
-    gone = deleted.select("node_id").distinct()
-    edges = node_refs.select("node_id", "source_id").distinct()
-    left = edges.join(gone, "node_id", "left_anti").groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("nodes")
-    )
-    lost = edges.join(gone, "node_id", "left_semi").groupBy("source_id").agg(
-        F.max("node_id").alias("__node")
+    gone = deleted.select("node_id").distinct().withColumn("__gone", F.lit(True))
+    nodes = (
+        node_refs.select("node_id", "source_id").distinct()
+        .join(gone, "node_id", "left")
+        .groupBy("source_id")
+        .agg(
+            F.count_if(F.col("__gone").isNull()).alias("nodes"),
+            F.max(F.when(F.col("__gone"), F.col("node_id"))).alias("__node"),
+        )
     )
-    dropped = F.col("nodes").isNull() & F.col("__node").isNotNull()
+    dropped = (F.coalesce("nodes", F.lit(0)) == 0) & F.col("__node").isNotNull()
     return (
-        coverage.join(left, "source_id", "left").join(lost, "source_id", "left")
+        coverage.join(nodes, "source_id", "left")
         .select(
             "source_id",
             F.when(dropped, "omitted").otherwise(F.col("status")).alias("status"),

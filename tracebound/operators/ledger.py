@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracebound.functions import fixed
 from tracebound.functions.html import extract_attribute
+from tracebound.functions.lets import computed
 from tracebound.functions.text import (
     is_substantive, js_trim, numeric_tokens, qualification_tokens, stable_id, unit_text,
 )
@@ -64,7 +65,7 @@ def fact_ledger(units: DataFrame, name: str = "doc_id",
                 terms=fixed.QUALIFIERS_AUDIT) -> DataFrame:
     """Ledger of substantive units with their numeric tokens and qualifications."""
     return (
-        units.filter("substantive").withColumn("raw_text", _text("ledger"))
+        computed(units.filter("substantive"), raw_text=_text("ledger"))
         .select(
             F.concat(F.lit("fact-"), F.regexp_replace("source_id", "^src-", "")).alias("fact_id"),
             "source_id", F.col(name).cast("string").alias("document"), "ord",

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tracebound.functions import fixed
-from tracebound.functions.lets import matches
+from tracebound.functions.lets import computed, matches
 from tracebound.functions.text import js_trim, normalize_rationale, normalize_ws
 from tracebound.operators.issues import issue_rows
+from tracebound.plans.lineage import cut
 from tracebound.plans.hot import fits, salted_join
 
 # Passages whose grams are broadcast: at most this many, and at most this much text.
@@ -41,7 +42,8 @@ def find_passages(docs: DataFrame, passages: DataFrame, min_chars: int, levels:
     """Which passages occur verbatim in which documents.
 
     ``docs(doc_id, text)``, ``passages(passage_id, passage)`` with every passage at least
-    ``min_chars`` long. Returns distinct ``doc_id, passage_id``.
+    ``min_chars`` long. Returns distinct ``doc_id, passage_id`` with their lengths
+    ``doc_chars`` and ``passage_chars``.
 
     A document contributes one hash per aligned block of ``size`` characters. Any
     occurrence of a passage of at least ``2 * size - 1`` characters covers one whole
@@ -62,6 +64,8 @@ def find_passages(docs: DataFrame, passages: DataFrame, min_chars: int, levels:
     block_array = F.concat(*[_blocks(F.col("text"), size) for size in sizes])
     blocks = docs.withColumn("gram", F.explode(block_array))
 
+    lengths = (F.length("text").cast("bigint").alias("doc_chars"),
+               F.length("passage").cast("bigint").alias("passage_chars"))
     if strategy == "auto":
         small = fits(passages, BROADCAST_PASSAGES) and (
             (passages.agg(F.sum(F.length("passage"))).first()[0] or 0) <= BROADCAST_CHARS
@@ -72,7 +76,7 @@ def find_passages(docs: DataFrame, passages: DataFrame, min_chars: int, levels:
         return (
             blocks.join(F.broadcast(grams), "gram")
             .filter(F.contains("text", "passage"))
-            .select("doc_id", "passage_id").distinct()
+            .select("doc_id", "passage_id", *lengths).distinct()
         )
     # Only (gram, id) pairs are shuffled; texts follow for the candidates alone.
     candidates = (
@@ -84,7 +88,7 @@ def find_passages(docs: DataFrame, passages: DataFrame, min_chars: int, levels:
         candidates.join(docs.select("doc_id", "text"), "doc_id")
         .join(passages.select("passage_id", "passage"), "passage_id")
         .filter(F.contains("text", "passage"))
-        .select("doc_id", "passage_id")
+        .select("doc_id", "passage_id", *lengths)
     )
 
 
@@ -106,19 +110,16 @@ def verbatim_exposure(pages: DataFrame, facts: DataFrame,
     ``pages(doc_id, text)``, ``facts(raw_text)``. Returns the pages with any match:
     ``doc_id, passages, matched_chars, page_chars, share, severity``.
     """
-    docs = pages.select("doc_id", normalize_ws(F.col("text")).alias("text"))
+    docs = computed(
+        pages.select("doc_id", F.col("text").alias("__raw")), text=normalize_ws(F.col("__raw"))
+    ).select("doc_id", "text")
     passages = distinct_passages(facts, min_chars, normalize_ws(F.col("raw_text")))
     hits = find_passages(docs, passages, min_chars, strategy=strategy)
-    matched = (
-        hits.join(
-            passages.select("passage_id", F.length("passage").alias("chars")), "passage_id"
-        )
-        .groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("passages"), F.sum("chars").alias("matched_chars"))
-    )
     return (
-        matched.join(
-            docs.select("doc_id", F.length("text").cast("bigint").alias("page_chars")), "doc_id"
+        hits.groupBy("doc_id")
+        .agg(
+            F.count(F.lit(1)).alias("passages"), F.sum("passage_chars").alias("matched_chars"),
+            F.max("doc_chars").alias("page_chars"),
         )
         .withColumn("share", F.col("matched_chars") / F.col("page_chars"))
         .withColumn(
@@ -139,7 +140,7 @@ def protected_fragment_leaks(docs: DataFrame, fragments: DataFrame,
     passages = distinct_passages(fragments, min_chars, js_trim(F.col("fragment")))
     return find_passages(
         docs.select("doc_id", "text"), passages, min_chars, levels=3, strategy=strategy
-    ).withColumnRenamed("passage_id", "fragment_id")
+    ).select("doc_id", F.col("passage_id").alias("fragment_id"))
 
 
 # --- structure ---------------------------------------------------------------
@@ -187,7 +188,8 @@ def near_duplicates(sets: DataFrame,
     of ``t``; sizes are bucketed by that factor, so the join key also carries the bucket
     and a frequent token is split by size.
     """
-    sized = sets.withColumn("n", F.size("hashes"))
+    # Used five times below; far smaller than the pages it was computed from.
+    sized = cut(sets).withColumn("n", F.size("hashes"))
     tokens = sized.select("set_id", "n", F.explode("hashes").alias("h"))
     frequency = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     # A set is bounded by the page it came from, so it is ordered inside one row.
@@ -266,9 +268,9 @@ def repeated_text(df: DataFrame, text: str, min_count: int = fixed.REPEATED_TEXT
 
     Grouped by digest, so long texts are not shuffled as keys.
     """
-    rows = df.select(normalize(F.col(text)).alias("__text")).filter(F.col("__text") != "")
+    rows = computed(df.select(text), __text=normalize(F.col(text)))
     return (
-        rows.withColumn("text_sha", F.sha2("__text", 256))
+        rows.filter(F.col("__text") != "").withColumn("text_sha", F.sha2("__text", 256))
         .groupBy("text_sha")
         .agg(F.count(F.lit(1)).alias("n"), F.any_value("__text").alias("text"))
         .filter(F.col("n") >= min_count)
@@ -283,14 +285,15 @@ def repeated_text_members(df: DataFrame, ids: list[str], text: str,
     Members stay rows: a text that fills a third of the corpus is never collected.
     """
     rows = (
-        df.select(*ids, normalize(F.col(text)).alias("__text")).filter(F.col("__text") != "")
+        computed(df.select(*ids, text), __text=normalize(F.col(text)))
+        .filter(F.col("__text") != "")
         .select(*ids, F.sha2("__text", 256).alias("text_sha"))
     )
     repeated = (
         rows.groupBy("text_sha").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_count)
     )
-    return salted_join(rows, repeated, ["text_sha"], ids)
+    return salted_join(rows, repeated, ["text_sha"], ids, counts=repeated)
 
 
 def must_differ(df: DataFrame, group: list[str], column: str, code: str) -> DataFrame:

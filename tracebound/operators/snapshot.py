@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracebound.functions.lets import let
+
 
 def fingerprint(df: DataFrame, group: list[str], name: str, digest: str) -> DataFrame:
     """A-14: one digest per group over its (name, digest) rows, in any input order.
@@ -146,7 +148,10 @@ def same_collection(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def term_overlap(left, right):
-    """U-06: Jaccard overlap of two term arrays; two empty arrays score 0."""
-    union = F.size(F.array_union(left, right))
-    shared = F.size(F.array_intersect(left, right))
-    return F.when(union == 0, F.lit(0.0)).otherwise(shared / union)
+    """U-06: Jaccard overlap of two distinct term arrays; two empty arrays score 0."""
+    def score(sides):
+        shared = F.size(F.array_intersect(sides["l"], sides["r"]))
+        union = F.size(sides["l"]) + F.size(sides["r"]) - shared
+        return F.when(union == 0, F.lit(0.0)).otherwise(shared / union)
+
+    return let(F.struct(left.alias("l"), right.alias("r")), score)

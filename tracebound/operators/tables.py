@@ -6,7 +6,7 @@ pre-aggregated counts and ``min_by`` / ``max_by``; no dataset is ever collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracebound.functions import fixed
@@ -158,8 +158,7 @@ def dominant_unit(rows: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def comparable_groups(values: DataFrame, top: int = fixed.TOP_ROWS,
-                      bucket_width: int = 4096) -> DataFrame:
+def comparable_groups(values: DataFrame, top: int = fixed.TOP_ROWS) -> DataFrame:
     """A-08: the largest group of values with the same unit, first ``top`` rows.
 
     ``values(dataset_id, ord, label, value, unit)``. Repeats of (unit, value) keep their
@@ -179,19 +178,21 @@ def comparable_groups(values: DataFrame, top: int = fixed.TOP_ROWS,
         .agg(F.max_by("unit", F.struct("n", (-F.col("first")).alias("f"))).alias("unit"))
     )
     kept = unique.join(groups, ["dataset_id", "unit"], "left_semi")
-    return top_rows(kept, ["dataset_id"], "ord", top, bucket_width)
+    return top_rows(kept, ["dataset_id"], "ord", top)
 
 
-def top_rows(df: DataFrame, keys: list[str], order: str, top: int = fixed.TOP_ROWS,
-             bucket_width: int = 4096) -> DataFrame:
+def top_rows(df: DataFrame, keys: list[str], order: str,
+             top: int = fixed.TOP_ROWS) -> DataFrame:
     """O-01: the first ``top`` rows per key, numbered in ``position``.
 
-    ``order`` is an integer column, not necessarily without gaps.
+    A filter on ``row_number`` becomes a group limit before the shuffle: every map task
+    sends at most ``top`` rows per key, so a hot key is as cheap as any other.
     """
-    numbered = positions(
-        df, keys, [F.col(order)], F.floor(F.col(order) / bucket_width), "position"
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return (
+        df.withColumn("position", number).filter(F.col("position") <= top)
+        .withColumn("position", F.col("position").cast("bigint"))
     )
-    return numbered.filter(F.col("position") <= top)
 
 
 def trend_groups(series: DataFrame) -> DataFrame:
@@ -227,11 +228,10 @@ def scale_bars(rows: DataFrame, bucket_width: int = 4096) -> DataFrame:
     """
     numbered = positions(
         rows, ["dataset_id"], [F.col("row_idx")], F.floor(F.col("row_idx") / bucket_width),
-        "__pos", start=0,
-    )
+        "__pos", start=0, maxima={"__max": "value"},
+    ).withColumn("__max", F.greatest("__max", F.lit(1.0)))
     return (
-        with_maximum(numbered, "dataset_id", __max="value")
-        .withColumn(
+        numbered.withColumn(
             "width",
             F.greatest(
                 F.lit(fixed.MIN_BAR_PERCENT), F.col("value") / F.col("__max") * 100

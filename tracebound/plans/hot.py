@@ -9,22 +9,24 @@ SALT = "__salt"
 
 
 def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str],
-                how: str = "inner", hot_share: int = 200, salts: int = 64) -> DataFrame:
+                how: str = "inner", counts: DataFrame | None = None, hot_keys: int = 200,
+                hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
     """Join ``many`` (skewed on ``keys``) with ``few`` (few rows per key).
 
-    At most ``hot_share`` keys can each hold more than one in ``hot_share`` of the rows,
-    so the list of hot keys is that long at most: it is the ``hot_share`` most frequent
-    keys, found by a pre-aggregated count, and small enough to broadcast by construction.
+    Hot keys are the ``hot_keys`` most frequent ones with more than ``hot_rows`` rows: a
+    list of at most ``hot_keys`` entries, small enough to broadcast by construction.
+    ``counts(keys, n)`` gives the frequencies where the caller has them already; otherwise
+    they come from a pre-aggregated count.
     Rows of hot keys are spread over ``salts`` tasks by a hash of the ``spread`` columns,
     which gives the same answer when a task is run again; the matching rows of ``few``
     are repeated once per salt. All other rows carry salt 0.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join {how!r}")
+    if counts is None:
+        counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     hot = (
-        many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .orderBy(F.desc("__n")).limit(hot_share)
-        .filter(F.col("__n") > 10_000)
+        counts.filter(F.col("n") > hot_rows).orderBy(F.desc("n")).limit(hot_keys)
         .select(*keys, F.lit(True).alias("__hot"))
     )
     spread_hash = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")

@@ -31,8 +31,9 @@ def _attach(local: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def positions(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
-              out: str, start: int = 1) -> DataFrame:
-    """``row_number`` per key."""
+              out: str, start: int = 1, maxima: dict[str, str] | None = None) -> DataFrame:
+    """``row_number`` per key; ``maxima`` adds each key's maximum of a column on the way."""
+    maxima = maxima or {}
     rows = df.withColumn(BUCKET, bucket)
     local = rows.withColumn(
         out, F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order))
@@ -40,8 +41,9 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], bucket: Colum
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         rows.groupBy(*keys, BUCKET)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.count(F.lit(1)).alias("__n"), *[F.max(c).alias(n) for n, c in maxima.items()])
         .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        .withColumns({n: F.max(n).over(Window.partitionBy(*keys)) for n in maxima})
         .drop("__n")
     )
     return (
@@ -85,13 +87,10 @@ def carry_last(df: DataFrame, keys: list[str], order: list[Column], bucket: Colu
     local = rows.withColumn(out, F.last("__v", ignorenulls=True).over(inside))
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     summary = (
-        rows.filter(F.col("__v").isNotNull())
-        .groupBy(*keys, BUCKET)
-        .agg(F.max_by("__v", F.struct(*order)).alias("__l"))
-    )
-    every = rows.select(*keys, BUCKET).distinct()
-    summary = (
-        _attach(every, summary, keys)
+        rows.groupBy(*keys, BUCKET)
+        .agg(
+            F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__l")
+        )
         .withColumn("__before", F.last("__l", ignorenulls=True).over(before))
         .drop("__l")
     )

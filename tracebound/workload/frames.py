@@ -246,8 +246,8 @@ def snapshots(spark, folder) -> tuple[DataFrame, DataFrame]:
 def place_nodes(spark, folder) -> DataFrame:
     """B13: nations under regions under one root."""
     region, nation = table(spark, folder, "region"), table(spark, folder, "nation")
-    root = region.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"),
+    root = region.agg(F.max(F.lit("root")).alias("node_id")).select(
+        "node_id", F.lit(None).cast("string").alias("parent_id"),
         F.lit(0).cast("bigint").alias("ord"),
     )
     regions = region.select(
