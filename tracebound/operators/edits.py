@@ -366,7 +366,7 @@ def delete_versions(versions: DataFrame, deleted: DataFrame) -> DataFrame:
             "parent_version_id",
             F.when(F.col("__moved"), F.col("__to")).otherwise(F.col("parent_version_id")),
         )
-        .drop("__to", "__moved")
+        .select(*versions.columns)
     )
 
 

@@ -67,9 +67,7 @@ def find_passages(docs: DataFrame, passages: DataFrame, min_chars: int, levels:
     lengths = (F.length("text").cast("bigint").alias("doc_chars"),
                F.length("passage").cast("bigint").alias("passage_chars"))
     if strategy == "auto":
-        small = fits(passages, BROADCAST_PASSAGES) and (
-            (passages.agg(F.sum(F.length("passage"))).first()[0] or 0) <= BROADCAST_CHARS
-        )
+        small = fits(passages, BROADCAST_PASSAGES, F.length("passage"), BROADCAST_CHARS)
         strategy = "broadcast" if small else "shuffle"
     if strategy == "broadcast":
         # Proven small above: documents are scanned once and never shuffled.

@@ -88,13 +88,12 @@ def carry_label(units: DataFrame, key: str, rules=fixed.TEXT_DIMENSION_RULES,
         [key], [F.col("ord"), F.col("sentence_no")], F.floor(F.col("ord") / bucket_width),
         F.col("label"), "carried",
     ).withColumn("carried", F.coalesce("carried", F.lit(default)))
-    # Whole units: one label for all sentences. The whole text may match differently.
-    per_unit = labelled.groupBy(key, "ord").agg(
-        F.min("carried").alias("__lo"), F.max("carried").alias("__hi")
-    )
+    # The sentences of one unit come from one text cell.
+    unit = Window.partitionBy(key, "ord")
     return (
-        labelled.join(per_unit, [key, "ord"])
-        .withColumn("__split", F.col("__lo") != F.col("__hi"))
+        labelled.withColumn(
+            "__split", F.min("carried").over(unit) != F.max("carried").over(unit)
+        )
         .filter(F.col("__split") | (F.col("sentence_no") == 0))
         .select(
             key, "ord", F.col("sentence_no").cast("bigint").alias("sentence_no"),

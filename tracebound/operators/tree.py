@@ -70,53 +70,83 @@ def tag_signature(tags: DataFrame) -> DataFrame:
     )
 
 
-def _inside(outer: str, inner: str) -> Column:
-    return (F.col(f"{inner}.pos") > F.col(f"{outer}.pos")) & (
-        F.col(f"{outer}.end_pos").isNull() | (F.col(f"{inner}.pos") < F.col(f"{outer}.end_pos"))
+def _open_close(tags: DataFrame, marked: Column, key: str) -> DataFrame:
+    """Tags plus one closing row per marked element; ``step`` counts the open marked ones."""
+    opens = tags.withColumn("step", F.when(marked, 1).otherwise(0))
+    closes = tags.filter(marked & F.col("end_pos").isNotNull()).select(
+        key, F.col("end_pos").alias("pos"), F.lit(-1).alias("step")
     )
+    return opens.unionByName(closes, allowMissingColumns=True)
 
 
 def nearest_ancestor_value(tags: DataFrame, attribute: str, key: str = "page_id") -> DataFrame:
     """J-17: value of the nearest ancestor with the attribute, else of the first descendant.
 
-    Only tags that carry the attribute take part on the other side of the join.
+    No tag is compared with another. The elements with the attribute that are open at a tag
+    are counted by a running sum; the innermost one is the last that was opened at that
+    count. The first descendant is the next tag with the attribute, if it lies inside.
     """
-    owners = tags.withColumn(
-        "value", non_blank(extract("raw", attribute_pattern(attribute), 1))
-    ).filter(F.col("value").isNotNull())
-    above = (
-        tags.alias("t").join(owners.alias("o"), F.col(f"t.{key}") == F.col(f"o.{key}"))
-        .filter(_inside("o", "t"))
-        .groupBy(F.col(f"t.{key}").alias(key), F.col("t.pos").alias("pos"))
-        .agg(F.max_by("o.value", F.struct("o.depth", "o.pos")).alias("above"))
-    )
-    below = (
-        tags.alias("t").join(owners.alias("o"), F.col(f"t.{key}") == F.col(f"o.{key}"))
-        .filter(_inside("t", "o"))
-        .groupBy(F.col(f"t.{key}").alias(key), F.col("t.pos").alias("pos"))
-        .agg(F.min_by("o.value", "o.pos").alias("below"))
+    value = non_blank(extract("raw", attribute_pattern(attribute), 1))
+    owners = tags.withColumn("value", value)
+    # Leaves hold no other tag.
+    holds = F.col("value").isNotNull() & (
+        F.col("end_pos").isNull() | (F.col("end_pos") > F.col("pos"))
     )
-    return (
-        tags.select(key, "pos", "tag")
-        .join(above, [key, "pos"], "left").join(below, [key, "pos"], "left")
-        .select(key, "pos", "tag", F.coalesce("above", "below").alias("value"))
+    in_order = Window.partitionBy(key).orderBy("pos")
+    events = _open_close(owners, holds, key).withColumn(
+        "opened", F.sum("step").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("outside", F.col("opened") - F.when(F.col("step") > 0, 1).otherwise(0))
+    # Each tag asks at the count outside itself; an owner also answers at its own count.
+    asks = events.filter(F.col("tag").isNotNull()).select(
+        key, "pos", "tag", "end_pos", F.col("value").alias("own"),
+        F.col("outside").alias("count"), F.lit(None).cast("string").alias("answer"),
+    )
+    answers = events.filter(F.col("step") > 0).select(
+        key, "pos", F.col("opened").alias("count"), F.col("value").alias("answer")
+    )
+    same_count = (
+        Window.partitionBy(key, "count").orderBy("pos")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    answered = (
+        asks.unionByName(answers, allowMissingColumns=True)
+        .withColumn(
+            "above",
+            F.when(F.col("count") > 0, F.last("answer", ignorenulls=True).over(same_count)),
+        )
+        .filter(F.col("tag").isNotNull())
+    )
+    backwards = (
+        Window.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    owner = F.when(F.col("own").isNotNull(), F.struct("pos", "own"))
+    following = F.last(owner, ignorenulls=True).over(backwards)
+    below = F.when(
+        F.col("end_pos").isNull() | (F.col("__next.pos") < F.col("end_pos")), F.col("__next.own")
+    )
+    return answered.withColumn("__next", following).select(
+        key, "pos", "tag", F.coalesce("above", below).alias("value")
     )
 
 
 def statically_visible(tags: DataFrame, hidden: Column | None = None,
                        key: str = "page_id") -> DataFrame:
-    """F-05: tags that are not hidden and have no hidden ancestor."""
+    """F-05: tags that are not hidden and have no hidden ancestor.
+
+    A tag is visible while the running count of open hidden elements is zero.
+    """
     rule = found(F.col("raw"), fixed.HIDDEN_TAG) if hidden is None else hidden
-    covered = tags.filter(rule).select(
-        F.col(key).alias("__key"), F.col("pos").alias("__from"),
-        F.coalesce("end_pos", F.lit(2**62)).alias("__to"),
-    )
-    return tags.join(
-        covered,
-        (F.col(key) == F.col("__key"))
-        & ((F.col("pos") == F.col("__from"))
-           | ((F.col("pos") > F.col("__from")) & (F.col("pos") < F.col("__to")))),
-        "left_anti",
+    marked = tags.withColumn("__hidden", rule)
+    # A hidden leaf hides itself only.
+    holds = F.col("__hidden") & (F.col("end_pos").isNull() | (F.col("end_pos") > F.col("pos")))
+    in_order = (
+        Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return (
+        _open_close(marked, holds, key)
+        .withColumn("__open", F.sum("step").over(in_order))
+        .filter(F.col("tag").isNotNull() & (F.col("__open") == 0) & ~F.col("__hidden"))
+        .select(*tags.columns)
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALT = "__salt"
@@ -43,6 +43,12 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[s
     return left.drop("__hot").join(right.drop("__hot"), [*keys, SALT], how).drop(SALT)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than it must."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int, size: Column | None = None,
+         max_size: int | None = None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows, and ``size`` sums to ``max_size``.
+
+    Stops after ``max_rows`` rows; only two numbers reach the driver.
+    """
+    measured = df.select((F.lit(0) if size is None else size).alias("size")).limit(max_rows + 1)
+    rows, total = measured.agg(F.count(F.lit(1)), F.sum("size")).first()
+    return rows <= max_rows and (max_size is None or (total or 0) <= max_size)
