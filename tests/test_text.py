@@ -139,3 +139,9 @@ def test_unit_text_dialects(spark):
     assert tuple(got[0]) == ('[["a","b"],["c","d"]]', "a | b\nc | d", "cap\nalt")
     assert tuple(got[1]) == ("t", "t", "t")
     assert tuple(got[2])[1:] == ("x\ny", "x\ny")
+
+
+def test_whitespace_set_is_exact(one):
+    assert one("a\u0085 ﻿ b", T.collapse_ws) == "a\u0085 b"
+    assert one("a﻿　 b", T.normalize_ws) == "ab"
+    assert one("﻿ x\u0085", T.js_trim) == "x\u0085"
