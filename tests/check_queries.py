@@ -19,7 +19,7 @@ def main() -> int:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     wanted = sys.argv[2:]
-    folder = f"/root/testdata/sf{sf}"
+    folder = sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
     spark = local_session(8)
     con = connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()

@@ -76,6 +76,10 @@ def test_headings(spark):
     assert got[:4] == [(1, 0, "heading", 0), (1, 1, "heading", 1), (1, 2, "heading", 2),
                        (1, 3, "paragraph", None)]
     assert got[4] == (2, 0, "paragraph", None)
+    docs = spark.createDataFrame([(1, "年度报告\n一、背景"), (2, "只有报告")], "doc_id int, text string")
+    counted = ledger.normalize_headings(U.read_plain_units(docs, count="n"), count="n")
+    assert rows(counted, "doc_id", "ord", "type") == [
+        (1, 0, "heading"), (1, 1, "heading"), (2, 0, "paragraph")]
 
 
 def test_source_pack_round_trip(spark, tmp_path):

@@ -14,17 +14,23 @@ from tracebound.functions.text import (
 from tracebound.operators.snapshot import fingerprint
 
 
-def normalize_headings(units: DataFrame, name: str = "doc_id") -> DataFrame:
+def normalize_headings(units: DataFrame, name: str = "doc_id",
+                       count: str | None = None) -> DataFrame:
     """P-01: paragraphs that read like headings become headings.
 
-    ``ord`` counts from 0 without gaps, so a document has more than one unit exactly when
-    it has a unit 1: the first unit is matched with that one, nothing is counted.
+    ``count`` names the column with the number of units of the document, as the readers add
+    it; nothing is shuffled then. Without it, a document has more than one unit exactly
+    when it has a unit 1, and the first unit is matched with that one.
     """
     text = js_trim(F.coalesce("text", F.lit("")))
-    longer = units.filter(F.col("ord") == 1).select(
-        name, F.lit(0).cast("bigint").alias("ord"), F.lit(True).alias("__more")
-    )
     paragraph = F.col("type") == "paragraph"
+    if count is not None:
+        marked = units.withColumn("__more", (F.col("ord") == 0) & (F.col(count) > 1))
+    else:
+        longer = units.filter(F.col("ord") == 1).select(
+            name, F.lit(0).cast("bigint").alias("ord"), F.lit(True).alias("__more")
+        )
+        marked = units.join(longer, [name, "ord"], "left")
     level = (
         F.when(paragraph & text.rlike(fixed.HEADING_LEVEL_1), 1)
         .when(paragraph & text.rlike(fixed.HEADING_LEVEL_2), 2)
@@ -35,8 +41,7 @@ def normalize_headings(units: DataFrame, name: str = "doc_id") -> DataFrame:
         )
     )
     return (
-        units.join(longer, [name, "ord"], "left")
-        .withColumn("__level", level)
+        marked.withColumn("__level", level)
         .withColumn("type", F.when(F.col("__level").isNotNull(), "heading")
                     .otherwise(F.col("type")))
         .withColumn("level", F.coalesce("__level", "level"))

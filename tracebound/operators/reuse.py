@@ -96,7 +96,7 @@ def distinct_passages(facts: DataFrame, min_chars: int, text: Column) -> DataFra
         facts.select(text.alias("passage"))
         .filter(F.length("passage") >= min_chars)
         .withColumn("passage_id", F.sha2("passage", 256))
-        .dropDuplicates(["passage_id"])
+        .distinct()
     )
 
 
@@ -168,12 +168,8 @@ def structure_sets(shingles: DataFrame, key: str) -> DataFrame:
             "set_id",
             F.sha2(F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","), 256),
         )
-        .groupBy("set_id")
-        .agg(
-            F.count(F.lit(1)).alias("members"),
-            F.min(key).alias("first_item"),
-            F.any_value("hashes").alias("hashes"),
-        )
+        .groupBy("set_id", "hashes")
+        .agg(F.count(F.lit(1)).alias("members"), F.min(key).alias("first_item"))
     )
 
 
@@ -264,14 +260,21 @@ def repeated_text(df: DataFrame, text: str, min_count: int = fixed.REPEATED_TEXT
                   normalize=normalize_rationale) -> DataFrame:
     """A-13: normalized texts found in at least ``min_count`` rows: ``text_sha, text, n``.
 
-    Grouped by digest, so long texts are not shuffled as keys.
+    Digests are counted first, in a hash aggregation of fixed-size keys; only the texts that
+    repeat are shuffled, once each per map task.
     """
-    rows = computed(df.select(text), __text=normalize(F.col(text)))
+    rows = (
+        computed(df.select(text), __text=normalize(F.col(text)))
+        .filter(F.col("__text") != "")
+        .select(F.sha2("__text", 256).alias("text_sha"), F.col("__text").alias("text"))
+    )
+    repeated = (
+        rows.groupBy("text_sha").agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") >= min_count).select("text_sha")
+    )
     return (
-        rows.filter(F.col("__text") != "").withColumn("text_sha", F.sha2("__text", 256))
-        .groupBy("text_sha")
-        .agg(F.count(F.lit(1)).alias("n"), F.any_value("__text").alias("text"))
-        .filter(F.col("n") >= min_count)
+        rows.join(repeated, "text_sha", "left_semi")
+        .groupBy("text_sha", "text").agg(F.count(F.lit(1)).alias("n"))
     )
 
 

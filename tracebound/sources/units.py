@@ -40,9 +40,20 @@ def _unit(type_: Column, level=None, text=None, items=None, ordered=None, rows=N
     )
 
 
-def _explode(df: DataFrame, units: Column, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.posexplode(units).alias("ord", "u")).select(
-        *keep, F.col("ord").cast("bigint").alias("ord"), "u.*"
+def _explode(df: DataFrame, units: Column, keep: list[str],
+             count: str | None = None) -> DataFrame:
+    """One row per unit; ``count`` names a column for the number of units of the document."""
+    if count is None:
+        return df.select(*keep, F.posexplode(units).alias("ord", "u")).select(
+            *keep, F.col("ord").cast("bigint").alias("ord"), "u.*"
+        )
+    counted = let(
+        units,
+        lambda us: F.transform(us, lambda u: F.struct(u.alias("u"), F.size(us).alias("n"))),
+    )
+    return df.select(*keep, F.posexplode(counted).alias("ord", "c")).select(
+        *keep, F.col("ord").cast("bigint").alias("ord"), "c.u.*",
+        F.col("c.n").cast("bigint").alias(count),
     )
 
 
@@ -57,12 +68,12 @@ def with_source_ids(units: DataFrame, name: str = "doc_id") -> DataFrame:
     )
 
 
-def read_plain_units(docs: DataFrame, text: str = "text",
-                     keep: list[str] | None = None) -> DataFrame:
+def read_plain_units(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
+                     count: str | None = None) -> DataFrame:
     """S-01: one paragraph unit per non-blank line."""
     keep = keep or ["doc_id"]
     units = F.transform(text_lines(F.col(text)), lambda x: _unit(F.lit("paragraph"), text=x))
-    return _explode(docs, units, keep)
+    return _explode(docs, units, keep, count)
 
 
 # --- Markdown -------------------------------------------------------------

@@ -156,7 +156,9 @@ def _(spark, folder):
         .when(F.col("ord") % 4 == 2, F.concat(F.lit("（三）"), "text"))
         .otherwise(F.col("text"))
     )
-    units = ledger.normalize_headings(B.text_units(spark, folder).withColumn("text", text))
+    docs = B.table(spark, folder, "documents").select("doc_id", "text")
+    units = ledger.normalize_headings(
+        U.read_plain_units(docs, count="units").withColumn("text", text), count="units")
     return units.select("doc_id", "ord", "text", "type", big("level"))
 
 
