@@ -153,6 +153,20 @@ def test_passages_against_brute_force(spark, strategy):
     assert got.count() == sum(p in text for _, text in docs for p in kept)
 
 
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_passages_with_a_common_opening(spark, strategy):
+    rng = random.Random(6)
+    opening = "All passages of this source begin in the same way, word for word: "
+    passages = [opening + "".join(rng.choice("abcdef") for _ in range(70)) for _ in range(30)]
+    docs = [(i, "x" * (i % 31) + passages[i % 30] + "tail") for i in range(90)]
+    docs += [(900 + i, opening * 3) for i in range(30)]
+    left = spark.createDataFrame(docs, "doc_id int, text string")
+    right = spark.createDataFrame([(p,) for p in passages], "fragment string")
+    assert reuse.protected_fragment_leaks(left, right, strategy=strategy).count() == 90
+    facts = right.withColumnRenamed("fragment", "raw_text")
+    assert reuse.verbatim_exposure(left, facts, strategy=strategy).count() == 90
+
+
 def test_exposure_share(spark):
     passage = "x1 " * 30
     docs = spark.createDataFrame([(1, passage), (2, passage + "y" * 100), (3, "z" * 80)], "doc_id int, text string")

@@ -27,14 +27,56 @@ def _blocks(text: Column, size: int) -> Column:
     )
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Hashes of the first ``size`` grams of ``size`` characters."""
+def _gram(text: Column, start: Column, size: int) -> Column:
+    return F.xxhash64(F.lit(size), F.substr(text, start, F.lit(size)))
+
+
+def _grams(text: Column, start: Column, size: int) -> Column:
+    """Hashes of the ``size`` grams of ``size`` characters that begin at ``start`` or after."""
     return F.array_distinct(
         F.transform(
-            F.sequence(F.lit(1), F.lit(size)),
-            lambda i: F.xxhash64(F.lit(size), F.substr(text, i, F.lit(size))),
+            F.sequence(F.lit(0), F.lit(size - 1)), lambda i: _gram(text, start + i, size)
+        )
+    )
+
+
+def _by_size(sizes: list[int], build) -> Column:
+    """``build(size)`` for the largest block size that a passage is long enough for."""
+    result = None
+    for size in reversed(sizes):
+        test = F.length("passage") >= 2 * size - 1
+        result = F.when(test, build(size)) if result is None else result.when(test, build(size))
+    return result
+
+
+WINDOWS = 4
+
+
+def _rarest_window(passages: DataFrame, sizes: list[int]) -> DataFrame:
+    """``start`` of the window of each passage that the fewest passages share.
+
+    Any window of ``2 * size - 1`` characters will do for the search. Passages with a common
+    opening would all meet in its grams, so four windows spread over the passage are
+    compared by how many passages have their first gram there, and the rarest is used.
+    """
+    def windows(size):
+        room = F.length("passage") - (2 * size - 1)
+        starts = F.array_distinct(
+            F.array(*[(F.floor(room * i / (WINDOWS - 1)) + 1).cast("int") for i in range(WINDOWS)])
         )
+        return F.transform(
+            starts,
+            lambda s: F.struct(s.alias("start"), _gram(F.col("passage"), s, size).alias("mark")),
+        )
+
+    marked = passages.select("passage_id", F.explode(_by_size(sizes, windows)).alias("w")).select(
+        "passage_id", "w.start", "w.mark"
     )
+    shared = marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    best = marked.join(shared, "mark").groupBy("passage_id").agg(
+        F.min(F.struct("n", "start")).alias("best")
+    )
+    return passages.join(best.select("passage_id", F.col("best.start").alias("start")), "passage_id")
 
 
 def find_passages(docs: DataFrame, passages: DataFrame, min_chars: int, levels: int = 1,
@@ -46,21 +88,12 @@ def find_passages(docs: DataFrame, passages: DataFrame, min_chars: int, levels:
     ``doc_chars`` and ``passage_chars``.
 
     A document contributes one hash per aligned block of ``size`` characters. Any
-    occurrence of a passage of at least ``2 * size - 1`` characters covers one whole
-    aligned block, and that block is one of the passage's first ``size`` grams. So the
-    hash join misses nothing; ``contains`` then removes hash collisions and partial
+    occurrence of ``2 * size - 1`` characters covers one whole aligned block, so wherever a
+    window of that length is taken from a passage, one of its ``size`` grams is a block of
+    every document that holds the passage. The hash join misses nothing; ``contains`` then removes hash collisions and partial
     matches. Longer passages use the larger, rarer blocks when ``levels`` > 1.
     """
     sizes = [((min_chars + 1) // 2) * (2 ** level) for level in range(levels)]
-    length = F.length("passage")
-    gram_array = None
-    for size in reversed(sizes):
-        fits_size = length >= 2 * size - 1
-        grams = _grams(F.col("passage"), size)
-        gram_array = (
-            F.when(fits_size, grams) if gram_array is None else gram_array.when(fits_size, grams)
-        )
-    grams = passages.withColumn("gram", F.explode(gram_array))
     block_array = F.concat(*[_blocks(F.col("text"), size) for size in sizes])
     blocks = docs.withColumn("gram", F.explode(block_array))
 
@@ -69,6 +102,15 @@ def find_passages(docs: DataFrame, passages: DataFrame, min_chars: int, levels:
     if strategy == "auto":
         small = fits(passages, BROADCAST_PASSAGES, F.length("passage"), BROADCAST_CHARS)
         strategy = "broadcast" if small else "shuffle"
+
+    placed = (
+        passages.withColumn("start", F.lit(1)) if strategy == "broadcast"
+        else _rarest_window(passages, sizes)
+    )
+    grams = placed.withColumn(
+        "gram",
+        F.explode(_by_size(sizes, lambda s: _grams(F.col("passage"), F.col("start"), s))),
+    ).drop("start")
     if strategy == "broadcast":
         # Proven small above: documents are scanned once and never shuffled.
         return (

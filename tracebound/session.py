@@ -13,6 +13,24 @@ SETTINGS = {
 }
 
 
+def cluster_settings(cores: int) -> dict[str, str]:
+    """Settings for a cluster with ``cores`` task slots.
+
+    Text grows when it is exploded into lines, tags and tokens, so scans are cut into
+    smaller partitions than usual. Shuffles start with many partitions and are coalesced at
+    run time; a join that feeds no later use of its partitioning may always be split.
+    """
+    return {
+        **SETTINGS,
+        "spark.sql.shuffle.partitions": str(max(200, 3 * cores)),
+        "spark.sql.files.maxPartitionBytes": "64m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    }
+
+
 def local_session(cores: int | str = "*", app: str = "tracebound", **extra: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
