@@ -356,3 +356,55 @@ def test_delete_omits_only_the_last_reference(spark):
     coverage = spark.createDataFrame([("s1", "preserved"), ("s2", "preserved"), ("s3", "pending")], "source_id string, status string")
     got = rows(edits.coverage_on_delete(coverage, refs, refs.filter("node_id = 'n1'")))
     assert got == [("s1", "omitted", 0, 'user deleted report node "n1"'), ("s2", "preserved", 1, None), ("s3", "pending", 0, None)]
+
+
+LABELS = (("A", "opening", "aa"), ("B", "opening", "bb"), ("C", "opening", "x。y"))
+
+
+def label_all(texts, default):
+    """The rule, one text after the other."""
+    import re
+
+    def find(t):
+        return next((name for name, _, p in LABELS if re.search(p, t.strip()[:48])), None)
+
+    current, out = default, []
+    for text in texts:
+        parts = re.findall("[^。！？]+[。！？]?", text)
+        label, labels = current, []
+        for p in parts:
+            label = find(p) or label
+            labels.append(label)
+        if len(parts) >= 2 and len(set(labels)) > 1:
+            out += list(zip(parts, labels))
+            current = labels[-1]
+        else:
+            current = find(text) or current
+            out.append((text, current))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_labels_are_carried(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pieces = ["aa。", "bb。", "x。y bb。", "x。y。", "none。", "aa", "x。y aa。"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(1, 4))) for _ in range(40)]
+    units = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "d int, ord bigint, text string")
+    got = sections.carry_label(units, "d", LABELS, "none", bucket_width=7).orderBy("ord", "sentence_no").collect()
+    assert [(r.sentence, r.label) for r in got] == label_all(texts, "none")
+
+
+def test_label_keeps_embedded_change(spark):
+    units = spark.createDataFrame([(1, 0, "概览说明。国内产能提升。"), (1, 1, "后续。")], "d int, ord bigint, text string")
+    got = sections.carry_label(units, "d").orderBy("ord", "sentence_no").collect()
+    assert [(r.sentence, r.label) for r in got] == [
+        ("概览说明。", "材料概览"), ("国内产能提升。", "国内"), ("后续。", "国内")]
+
+
+def test_table_rows_by_label(spark):
+    df = spark.createDataFrame([(1, [["维度", "x"], ["技术难点", "y"], ["价值链", "z"]]), (2, [["a", "b"]])],
+                               "t int, rows array<array<string>>")
+    assert rows(sections.split_table_rows(df, "t"), "t", "row_idx", "label") == [
+        (1, 1, "技术难点"), (1, 2, "价值链分析")]

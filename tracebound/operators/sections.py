@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracebound.functions import fixed
-from tracebound.functions.lets import found, let
+from tracebound.functions.lets import computed, found
 from tracebound.functions.text import classify_by_rules, split_sentences
+from tracebound.plans.lineage import cut
 from tracebound.plans.ordered import carry_last, positions
 
 
@@ -65,42 +66,92 @@ def describe_images(units: DataFrame, pattern: str = fixed.DATA_IMAGE_PATTERN) -
 def carry_label(units: DataFrame, key: str, rules=fixed.TEXT_DIMENSION_RULES,
                 default: str = fixed.DIMENSION_DEFAULT, ends: str = fixed.SENTENCE_ENDS,
                 bucket_width: int = 4096) -> DataFrame:
-    """W-04: sentences with the last label seen: ``key, ord, sentence_no, sentence, label``.
-
-    A unit is split into sentences only when they carry different labels; otherwise it
-    stays whole and is judged as one text.
+    """W-04: texts with the last label seen: ``key, ord, sentence_no, sentence, label``.
+
+    A unit is split into sentences only when these carry different labels, counting the
+    label that is in force before the unit; otherwise it stays whole and takes the label of
+    the whole text, or keeps the one in force. Units per key may be any number: what a unit
+    hands on is known from its own text in all but one case, and is carried over buckets.
+    The exception, where the whole text and its only labelled sentence disagree, depends on
+    the label before it; such units are settled in order, one round per run of them.
     """
-    def entry(sentence: Column) -> Column:
-        return F.struct(
-            sentence.alias("sentence"), classify_by_rules(sentence, rules).alias("label")
-        )
+    found_in = F.transform(
+        split_sentences(F.col("text"), ends),
+        lambda s: F.struct(s.alias("sentence"), classify_by_rules(s, rules).alias("label")),
+    )
+    read = computed(
+        units.select(key, "ord", "text"),
+        parts=found_in, whole=classify_by_rules(F.col("text"), rules),
+    )
+    labels = F.filter("parts.label", lambda x: x.isNotNull())
+    several = F.size("parts") >= 2
+    first = F.try_element_at("parts.label", F.lit(1))
+    only = F.when(
+        several & (F.size(F.array_distinct(labels)) == 1) & first.isNull(), F.element_at(labels, 1)
+    )
+    mixed = several & (F.size(F.array_distinct(labels)) > 1)
+    read = read.select(
+        key, "ord", "text", "parts", "whole",
+        # The single label of a unit whose first sentence has none.
+        only.alias("only"), mixed.alias("mixed"),
+        F.when(mixed, F.element_at(labels, -1)).alias("last_label"),
+    )
+    depends = F.col("only").isNotNull() & F.col("whole").isNotNull() & (
+        F.col("only") != F.col("whole")
+    )
+    known = F.when(F.col("mixed"), F.col("last_label")).otherwise(
+        F.coalesce(F.when(depends, F.col("only")), "whole", "only")
+    )
+    order, bucket = [F.col("ord")], F.floor(F.col("ord") / bucket_width)
 
-    sentences = units.select(key, "ord", "text", F.posexplode(
-        let(
-            split_sentences(F.col("text"), ends),
-            lambda s: F.when(F.size(s) >= 2, F.transform(s, entry)).otherwise(
-                F.array(entry(F.col("text")))
-            ),
+    def in_force(rows):
+        return carry_last(rows, [key], order, bucket, F.col("out"), "before", False).withColumn(
+            "before", F.coalesce("before", F.lit(default))
         )
-    ).alias("sentence_no", "s"))
-    labelled = carry_last(
-        sentences.select(key, "ord", "sentence_no", "text", "s.sentence", "s.label"),
-        [key], [F.col("ord"), F.col("sentence_no")], F.floor(F.col("ord") / bucket_width),
-        F.col("label"), "carried",
-    ).withColumn("carried", F.coalesce("carried", F.lit(default)))
-    # The sentences of one unit come from one text cell.
-    unit = Window.partitionBy(key, "ord")
+
+    rows = in_force(read.withColumn("out", known))
+    settled = F.when(
+        depends, F.when(F.col("before") == F.col("only"), F.col("whole")).otherwise(F.col("only"))
+    ).otherwise(F.col("out"))
+    if not read.filter(depends).isEmpty():
+        while True:
+            rows = cut(rows.withColumn("next", settled))
+            if rows.filter(~F.col("next").eqNullSafe(F.col("out"))).isEmpty():
+                break
+            rows = in_force(rows.withColumn("out", F.col("next")).drop("before", "next"))
+    split = F.col("mixed") | F.coalesce(F.col("only") != F.col("before"), F.lit(False))
+    carried = F.transform(
+        "parts",
+        lambda p, n: F.struct(
+            p["sentence"].alias("sentence"),
+            F.coalesce(
+                F.try_element_at(
+                    F.filter(F.slice("parts.label", F.lit(1), n + 1), lambda x: x.isNotNull()),
+                    F.lit(-1),
+                ),
+                F.col("before"),
+            ).alias("label"),
+        ),
+    )
+    whole = F.array(
+        F.struct(F.col("text").alias("sentence"), F.coalesce("whole", "before").alias("label"))
+    )
+    return rows.select(
+        key, "ord", F.posexplode(F.when(split, carried).otherwise(whole)).alias("sentence_no", "s")
+    ).select(key, "ord", F.col("sentence_no").cast("bigint").alias("sentence_no"), "s.*")
+
+
+def split_table_rows(tables: DataFrame, key: str,
+                     rules=fixed.ROW_DIMENSION_RULES) -> DataFrame:
+    """Table rows that carry a label of their own: ``key, row_idx, label, cells``.
+
+    Tables without such a row are not returned: they keep the label in force.
+    """
     return (
-        labelled.withColumn(
-            "__split", F.min("carried").over(unit) != F.max("carried").over(unit)
-        )
-        .filter(F.col("__split") | (F.col("sentence_no") == 0))
-        .select(
-            key, "ord", F.col("sentence_no").cast("bigint").alias("sentence_no"),
-            F.when(F.col("__split"), F.col("sentence")).otherwise(F.col("text"))
-            .alias("sentence"),
-            F.col("carried").alias("label"),
-        )
+        tables.select(key, F.posexplode("rows").alias("row_idx", "cells"))
+        .withColumn("label", classify_by_rules(F.try_element_at("cells", F.lit(1)), rules))
+        .filter(F.col("label").isNotNull())
+        .select(key, F.col("row_idx").cast("bigint").alias("row_idx"), "label", "cells")
     )
 
 

@@ -58,22 +58,34 @@ def _(spark, folder):
         "source_id", "type", "original_type")
 
 
-_CASE = f"""CASE WHEN regexp_matches(substr(t,1,48), '{RULES[0][2]}') THEN 'german'
-  WHEN regexp_matches(t, '{RULES[1][2]}') THEN 'spanish'
-  WHEN regexp_matches(substr(t,1,48), '{RULES[2][2]}') THEN 'english'
-  WHEN regexp_matches(t, '{RULES[3][2]}') THEN 'french' END"""
-
-
-@query("w04_carry_label", f"""WITH u AS (
-  SELECT conv_id, turn AS ord, text, regexp_extract_all(text, '[^.!?]+[.!?]?') AS s FROM conversations),
-e AS (SELECT conv_id, ord, text, generate_subscripts(x,1)-1 AS sentence_no, unnest(x) AS sentence
-  FROM (SELECT conv_id, ord, text, CASE WHEN len(s) >= 2 THEN s ELSE [text] END AS x FROM u)),
-l AS (SELECT *, {_CASE} AS label FROM (SELECT *, {S.trim('sentence')} AS t FROM e)),
-c AS (SELECT *, coalesce(last_value(label IGNORE NULLS) OVER (PARTITION BY conv_id
-  ORDER BY ord, sentence_no ROWS UNBOUNDED PRECEDING), 'none') AS carried FROM l),
-m AS (SELECT *, count(DISTINCT carried) OVER (PARTITION BY conv_id, ord) > 1 AS split FROM c)
-SELECT conv_id, ord, sentence_no, CASE WHEN split THEN sentence ELSE text END AS sentence,
-  carried AS label FROM m WHERE split OR sentence_no=0""")
+def _case(t: str) -> str:
+    tests = [
+        f"WHEN regexp_matches({f'substr({t},1,48)' if where == 'opening' else t}, '{pattern}') "
+        f"THEN '{label}'"
+        for label, where, pattern in RULES
+    ]
+    return "CASE " + " ".join(tests) + " END"
+
+
+@query("w04_carry_label", f"""WITH RECURSIVE u AS (
+  SELECT conv_id, turn AS ord, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text,
+    regexp_extract_all(text, '[^.!?]+[.!?]?') AS s FROM conversations),
+d AS (SELECT conv_id, ord, n, text, s, {_case(S.trim('text'))} AS w,
+  list_transform(s, lambda x: {_case(S.trim('x'))}) AS d FROM u),
+r AS (
+  SELECT conv_id, 0::BIGINT AS n, NULL::BIGINT AS ord, '' AS text, []::VARCHAR[] AS s,
+    []::VARCHAR[] AS labels, false AS split, NULL::VARCHAR AS w, 'none' AS before_, 'none' AS label
+    FROM u WHERE n=1
+  UNION ALL
+  SELECT conv_id, n, ord, text, s, labels, split, w, before_,
+    CASE WHEN split THEN labels[-1] ELSE coalesce(w, before_) END FROM (
+    SELECT *, len(s) >= 2 AND len(list_distinct(labels)) > 1 AS split FROM (
+      SELECT d.conv_id, d.n, d.ord, d.text, d.s, d.w, r.label AS before_,
+        list_transform(range(1, len(d.s)+1), lambda i: coalesce(
+          list_filter(d.d[1:i], lambda x: x IS NOT NULL)[-1], r.label)) AS labels
+      FROM r JOIN d ON d.conv_id=r.conv_id AND d.n=r.n+1)))
+SELECT conv_id, ord, 0::BIGINT AS sentence_no, text AS sentence, label FROM r WHERE n > 0 AND NOT split
+UNION ALL SELECT conv_id, ord, generate_subscripts(s,1)-1, unnest(s), unnest(labels) FROM r WHERE split""")
 def _(spark, folder):
     turns = B.table(spark, folder, "conversations").select(
         "conv_id", F.col("turn").alias("ord"), "text")
