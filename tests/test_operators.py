@@ -154,6 +154,10 @@ def test_combined_audit_equals_the_three_checks(spark):
     together = audit.claim_issues(
         claims.withColumn("source_ids", F.array(F.lit("s0"), F.lit("s1"))), units)
     assert rows(together) == rows(separate) and together.count() == 3
+    more = claims.union(spark.createDataFrame([("d", "none")], claims.schema))
+    verdicts = audit.claim_verdicts(
+        more.withColumn("source_ids", F.array(F.lit("s0"), F.lit("s1"))), units)
+    assert rows(verdicts) == [("c", 3, 0, False), ("d", 0, 0, True)]
 
 
 def test_claims_without_sources(spark):

@@ -143,19 +143,14 @@ def dropped_qualifiers(claims: DataFrame, bindings: DataFrame, facts: DataFrame,
     return issue_rows(dropped, "dropped-qualification", "content_id", "qualifier")
 
 
-def claim_issues(claims: DataFrame, sources: DataFrame, terms=fixed.QUALIFIERS_AUDIT,
-                 set_dialect: str = "audit", count_dialect: str = "editorial") -> DataFrame:
-    """J-04, J-05 and J-06 together: one join and one aggregation for all three checks.
-
-    ``claims(claim_id, text, source_ids ARRAY)``, ``sources(source_id, text)``. Each pair
-    of a claim and a cited source tallies the tokens that both hold, and the first pair of
-    a claim also tallies what the claim needs; the sums per (claim, token) decide.
-    """
+def _claim_sums(claims: DataFrame, sources: DataFrame, terms, set_dialect: str,
+                count_dialect: str) -> DataFrame:
+    """``claim_id, code, token, fails``; every claim has one row with a NULL code."""
     def tally(kind, tokens, needed, available):
         return F.transform(
             F.coalesce(tokens, empty_strings()),
             lambda t: F.struct(
-                F.lit(kind).alias("kind"), t.alias("token"), F.lit(needed).alias("needed"),
+                F.lit(kind).cast("string").alias("kind"), t.alias("token"), F.lit(needed).alias("needed"),
                 F.lit(available).alias("available"),
             ),
         )
@@ -180,7 +175,9 @@ def claim_issues(claims: DataFrame, sources: DataFrame, terms=fixed.QUALIFIERS_A
         F.size(shared) > 0, F.filter("qualifiers", lambda q: ~F.contains(F.col("text"), q))
     )
     first = F.coalesce("pos", F.lit(0)) == 0
+    itself = F.array(F.lit(""))
     tallies = F.concat(
+        tally(None, F.when(first, itself), 0, 0),
         tally("fact-distortion", F.when(first, F.col("own_set")), 1, 0),
         tally("fact-distortion", shared, 0, 1),
         tally("numeric-token-absent", F.when(first, F.col("own_count")), 1, 0),
@@ -198,8 +195,31 @@ def claim_issues(claims: DataFrame, sources: DataFrame, terms=fixed.QUALIFIERS_A
     fails = F.when(F.col("code") == "fact-distortion", F.col("available") == 0).otherwise(
         F.col("needed") > F.col("available")
     )
-    return issue_rows(
-        sums.filter((F.col("needed") > 0) & fails), F.col("code"), "claim_id", "token"
+    return sums.select(
+        "claim_id", "code", "token", ((F.col("needed") > 0) & fails).alias("fails")
+    )
+
+
+def claim_issues(claims: DataFrame, sources: DataFrame, terms=fixed.QUALIFIERS_AUDIT,
+                 set_dialect: str = "audit", count_dialect: str = "editorial") -> DataFrame:
+    """J-04, J-05 and J-06 together: one join and one aggregation for all three checks.
+
+    ``claims(claim_id, text, source_ids ARRAY)``, ``sources(source_id, text)``. Each pair
+    of a claim and a cited source tallies the tokens that both hold, and the first pair of
+    a claim also tallies what the claim needs; the sums per (claim, token) decide.
+    """
+    sums = _claim_sums(claims, sources, terms, set_dialect, count_dialect)
+    return issue_rows(sums.filter("fails"), F.col("code"), "claim_id", "token")
+
+
+def claim_verdicts(claims: DataFrame, sources: DataFrame, terms=fixed.QUALIFIERS_AUDIT,
+                   set_dialect: str = "audit", count_dialect: str = "editorial") -> DataFrame:
+    """A-23 over ``claim_issues``, for every claim, without reading the claims again."""
+    sums = _claim_sums(claims, sources, terms, set_dialect, count_dialect)
+    return sums.groupBy(F.col("claim_id").cast("string").alias("subject_id")).agg(
+        F.count_if("fails").alias("errors"),
+        F.lit(0).cast("bigint").alias("warnings"),
+        (F.count_if("fails") == 0).alias("valid"),
     )
 
 

@@ -105,14 +105,12 @@ def _(spark, folder):
     return audit.dropped_qualifiers(*_bound(*_numeric(spark, folder)), terms=QUALIFIERS)
 
 
-def _claim_issues(spark, folder):
+def _cited_claims(spark, folder):
     claims = B.numeric_claims(spark, folder)
     line = lambda n: F.concat(F.col("claim_id").cast("string"), F.lit(f"-{n}"))
     cited = F.when(F.col("claim_id") % 5 == 0, F.array(line(1))).otherwise(
         F.array(line(1), line(2)))
-    found = audit.claim_issues(
-        claims.withColumn("source_ids", cited), B.numeric_sources(spark, folder), QUALIFIERS)
-    return claims, found
+    return claims.withColumn("source_ids", cited)
 
 
 _ALL_ISSUES = f"""all_issues AS (
@@ -138,9 +136,19 @@ SELECT claim_id::VARCHAR AS subject_id, count(code) AS errors, 0::BIGINT AS warn
   count(code)=0 AS valid
 FROM claims LEFT JOIN all_issues ON subject_id = claim_id::VARCHAR GROUP BY claim_id""")
 def _(spark, folder):
-    claims, found = _claim_issues(spark, folder)
-    subjects = claims.select(F.col("claim_id").cast("string").alias("subject_id"))
-    return issues.audit_verdict(subjects, found)
+    return audit.claim_verdicts(
+        _cited_claims(spark, folder), B.numeric_sources(spark, folder), QUALIFIERS)
+
+
+@query("a23_issue_verdict", f"""WITH {S.CLAIMS}, {_CLAIM_TOKENS}, {_ALL_ISSUES}
+SELECT claim_id::VARCHAR AS subject_id, count(code) AS errors, 0::BIGINT AS warnings,
+  count(code)=0 AS valid
+FROM claims LEFT JOIN all_issues ON subject_id = claim_id::VARCHAR GROUP BY claim_id""")
+def _(spark, folder):
+    claims = _cited_claims(spark, folder)
+    found = audit.claim_issues(claims, B.numeric_sources(spark, folder), QUALIFIERS)
+    return issues.audit_verdict(
+        claims.select(F.col("claim_id").cast("string").alias("subject_id")), found)
 
 
 def _lexical(spark, folder):
