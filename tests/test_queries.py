@@ -6,8 +6,9 @@ import pytest
 from compare import connect, duck_rows, spark_rows
 
 import __spark_entry__ as entry
+from tracebound.workload import load
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load()
 
 
 @pytest.fixture(scope="module")
