@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracebound.llm.decontaminate import contamination
+from tracebound.llm.mixing import mix
 from tracebound.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +65,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_simhash_near_duplicates")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op3_source_mixing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"))
