@@ -185,16 +185,15 @@ def index_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints linked through ``DISTANCE`` bits."""
-    spark = distinct.sparkSession
     masks = [0]
     parent, ready = distinct.select("fp", F.lit(0).cast("long").alias("mask")), []
     while True:
-        children = [(signed(m), signed(m | p)) for m in masks for p in parts_of(m)]
-        masks = sorted({c & (1 << 64) - 1 for _, c in children})
-        step = F.broadcast(spark.createDataFrame(children, "mask long, next long"))
+        below = F.create_map(*[x for m in masks for x in (
+            F.lit(signed(m)), F.array(*[F.lit(signed(m | p)) for p in parts_of(m)]))])
+        masks = sorted({m | p for m in masks for p in parts_of(m)})
         rows = (
-            parent.join(step, "mask")
-            .select("fp", F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("part"))
+            parent.select("fp", F.explode(below[F.col("mask")]).alias("mask"))
+            .withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
         )
         sizes = rows.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         rows = cut(rows.join(sizes, ["mask", "part"]))
