@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracebound.llm.decontaminate import contamination
 from tracebound.llm.mixing import mix
 from tracebound.llm.simhash import near_duplicates
+from tracebound.llm.tokens import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_source_mixing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(table(spark, folder, "documents"), tokenizer_file())
