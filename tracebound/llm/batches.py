@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 
 #: Bytes of text that one piece holds, unless a single row is larger.
 PIECE_BYTES = 8 << 20
@@ -90,3 +92,19 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(change, starts, 1)
     np.add.at(change, ends, -1)
     return np.cumsum(change[:-1]) > 0
+
+
+def shared(spark, value) -> Callable[[], object]:
+    """Broadcast any object; tasks call the result to get it.
+
+    The object travels as bytes pickled by value, so executors need not have its class.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    loaded: list = []
+
+    def get():
+        if not loaded:
+            loaded.append(pickle.loads(sent.value))
+        return loaded[0]
+
+    return get

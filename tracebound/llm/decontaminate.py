@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracebound.llm.batches import covered, grams, index_words, pieces, starts_inside, sum_by_text
+from tracebound.llm.batches import (
+    covered, grams, index_words, pieces, shared, starts_inside, sum_by_text)
 
 WINDOW, K = 13, 5
 #: Benchmark words in one broadcast block (about 40 MB of tables).
@@ -147,12 +148,11 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> li
     )
     total = hashed.agg(F.sum(F.length("words"))).first()[0] or 0
     count = -(-total // (8 * block_words))
-    context = benchmark.sparkSession.sparkContext
     out = []
     for k in range(count):
         part = hashed.filter(F.pmod(F.xxhash64("words"), F.lit(count)) == k).toArrow()
         words = [np.frombuffer(x, np.uint64) for x in part.column("words").to_pylist()]
-        out.append(context.broadcast(Block(part.column("item_id").to_pylist(), words)))
+        out.append(shared(benchmark.sparkSession, Block(part.column("item_id").to_pylist(), words)))
     return out
 
 
@@ -173,11 +173,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
             hashes, offsets = word_hashes(texts)
             spans, named = [], [set() for _ in texts]
             for block in blocks:
-                starts, ends, item = block.value.hits(hashes, offsets)
+                starts, ends, item = block().hits(hashes, offsets)
                 spans.append((starts, ends))
                 text = np.searchsorted(offsets, starts, "right") - 1
                 for t, i in set(zip(text.tolist(), item.tolist())):
-                    named[t].add(block.value.ids[i])
+                    named[t].add(block().ids[i])
             starts = np.concatenate([np.empty(0, np.int64), *[s for s, _ in spans]])
             ends = np.concatenate([np.empty(0, np.int64), *[e for _, e in spans]])
             hit = covered(starts, ends, len(hashes))

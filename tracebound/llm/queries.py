@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracebound.llm.decontaminate import contamination
 from tracebound.llm.mixing import mix
+from tracebound.llm.quality import quality
 from tracebound.llm.simhash import near_duplicates
 from tracebound.llm.tokens import round_trip
 
@@ -82,3 +83,8 @@ def tokenizer_file() -> str:
 @query("op4_token_files")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(table(spark, folder, "documents"), tokenizer_file())
+
+
+@query("op1_quality_rules")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
