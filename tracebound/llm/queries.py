@@ -10,6 +10,7 @@ from tracebound.llm.decontaminate import contamination
 from tracebound.llm.mixing import mix
 from tracebound.llm.quality import quality
 from tracebound.llm.simhash import near_duplicates
+from tracebound.llm.substrings import without_repeats
 from tracebound.llm.tokens import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,25 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_quality_rules")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP2 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g
+      FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+t AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+x AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM s JOIN t USING (g)),
+g AS (SELECT r, list(j) AS gone FROM x GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+    list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)), lambda j: w[j])
+    END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+@query("op2_substring_dedup", OP2)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(table(spark, folder, "documents"), texts=False)
