@@ -12,6 +12,7 @@ from tracebound.llm.quality import quality
 from tracebound.llm.simhash import near_duplicates
 from tracebound.llm.substrings import without_repeats
 from tracebound.llm.tokens import round_trip
+from tracebound.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +112,8 @@ FROM d LEFT JOIN g USING (r)
 @query("op2_substring_dedup", OP2)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(table(spark, folder, "documents"), texts=False)
+
+
+@query("op10_toxicity_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
