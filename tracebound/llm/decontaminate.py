@@ -156,6 +156,33 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> li
     return out
 
 
+def judged(texts: list[bytes], blocks: list) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """(which words are hit, text offsets, items with hits per text)."""
+    hashes, offsets = word_hashes(texts)
+    hit, named = np.zeros(len(hashes), bool), [set() for _ in texts]
+    for block in blocks:
+        starts, ends, item = block().hits(hashes, offsets)
+        hit |= covered(starts, ends, len(hashes))
+        text = np.searchsorted(offsets, starts, "right") - 1
+        for t, i in set(zip(text.tolist(), item.tolist())):
+            named[t].add(block().ids[i])
+    return hit, offsets, named
+
+
+def runs_of(hit: np.ndarray, offsets: np.ndarray) -> list[list]:
+    """Hit words of each text as [start, end) pairs."""
+    edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
+    runs: list[list] = [[] for _ in offsets[1:]]
+    for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        text = int(np.searchsorted(offsets, s, "right")) - 1
+        while s < e:  # a run may go on in the next text
+            stop = min(e, int(offsets[text + 1]))
+            if stop > s:
+                runs[text].append([s - int(offsets[text]), stop - int(offsets[text])])
+            s, text = stop, text + 1
+    return runs
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id",
                   share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Shared ``WINDOW``-word passages of ``documents(key, text)`` and ``benchmark(item_id, text)``.
@@ -170,37 +197,32 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
-            hashes, offsets = word_hashes(texts)
-            spans, named = [], [set() for _ in texts]
-            for block in blocks:
-                starts, ends, item = block().hits(hashes, offsets)
-                spans.append((starts, ends))
-                text = np.searchsorted(offsets, starts, "right") - 1
-                for t, i in set(zip(text.tolist(), item.tolist())):
-                    named[t].add(block().ids[i])
-            starts = np.concatenate([np.empty(0, np.int64), *[s for s, _ in spans]])
-            ends = np.concatenate([np.empty(0, np.int64), *[e for _, e in spans]])
-            hit = covered(starts, ends, len(hashes))
+            hit, offsets, named = judged(texts, blocks)
             n_words, n_hit = np.diff(offsets), sum_by_text(hit, offsets)
-            edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
-            runs: list[list] = [[] for _ in texts]
-            for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-                first = np.searchsorted(offsets, s, "right") - 1
-                while s < e:  # a run may touch the next text
-                    stop = min(e, int(offsets[first + 1]))
-                    if stop > s:
-                        runs[first].append([s - int(offsets[first]), stop - int(offsets[first])])
-                    s, first = stop, first + 1
             yield pa.record_batch([
                 batch.column(key),
                 pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
                 pa.array([len(x) for x in named], pa.int64()),
                 pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in named]),
                 pa.array((n_hit > 0) & (share * n_hit >= n_words)),
-                pa.array(runs, pa.list_(pa.list_(pa.int64()))),
+                pa.array(runs_of(hit, offsets), pa.list_(pa.list_(pa.int64()))),
             ], names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, "text").mapInArrow(
         judge, f"`{key}` {kind}, n_words bigint, n_hit bigint, n_items bigint, "
                "items_sha256 string, contaminated boolean, spans array<array<bigint>>")
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, share: int = 20,
+                    block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``documents`` that are not contaminated, columns unchanged."""
+    blocks = benchmark_blocks(benchmark, block_words)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches):
+            hit, offsets, _ = judged(texts, blocks)
+            n_hit = sum_by_text(hit, offsets)
+            yield batch.filter(pa.array(~((n_hit > 0) & (share * n_hit >= np.diff(offsets)))))
+
+    return documents.mapInArrow(chosen, documents.schema)

@@ -222,10 +222,42 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", group: int = GROU
     is ignored when the smallest is chosen. Other columns are not read.
     """
     rows = cut(fingerprints(documents, key))
+    return rows.join(groups(rows, key, group), "fp").select(
+        key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def groups(rows: DataFrame, key: str, group: int = GROUP) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of ``rows(key, fp)``."""
     distinct = rows.groupBy("fp").agg(F.min(key).alias("__first"))
     roots = components(similar(distinct.select("fp"), group)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("__first").alias("component_id"))
-    labelled = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(labelled, "fp").select(
-        key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", group: int = GROUP) -> DataFrame:
+    """One row of every group of near-duplicates, the one with the smallest key; columns unchanged.
+
+    Winners are chosen on (key, digest of the row) pairs; equal rows are one row.
+    """
+    whole = [F.col(f"`{c}`") for c in documents.columns]
+    digest = F.xxhash64(*whole, *[c.isNull() for c in whole])
+    small = documents.select(F.col(key).alias("__key"), digest.alias("__digest"), "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches):
+            values = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column("__key"), batch.column("__digest"), pa.array(values)],
+                                  names=["__key", "__digest", "fp"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    rows = cut(small.mapInArrow(hashed, f"__key {kind}, __digest bigint, fp bigint"))
+    # per fingerprint first, so that a group of copies is one row before the join
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("__key").isNull(), "__key", "__digest")).alias("__least"))
+    winners = (
+        least.join(groups(rows, "__key", group), "fp").groupBy("root").agg(F.min("__least").alias("__least"))
+        .select("__least.__digest", F.col("__least.__key").alias("__key"))
+    )
+    marked = documents.select(F.struct(*whole).alias("__row"), F.col(key).alias("__id"), digest.alias("__d"))
+    on = (marked["__d"] == winners["__digest"]) & marked["__id"].eqNullSafe(winners["__key"])
+    return marked.join(winners, on, "left_semi").dropDuplicates(["__d", "__id"]).select("__row.*")
