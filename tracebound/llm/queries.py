@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracebound.llm.decontaminate import contamination
 from tracebound.llm.mixing import mix
+from tracebound.llm.pii import personal_data
 from tracebound.llm.quality import quality
 from tracebound.llm.simhash import near_duplicates
 from tracebound.llm.substrings import without_repeats
+from tracebound.llm.tokencount import Vocabulary, token_counts
 from tracebound.llm.tokens import round_trip
 from tracebound.llm.toxicity import toxicity
 
@@ -117,3 +119,16 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity_classifier")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = Vocabulary.sentencepiece(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, folder, "documents"), vocabulary)
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(table(spark, folder, "documents"))
