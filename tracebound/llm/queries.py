@@ -11,6 +11,7 @@ from tracebound.llm.mixing import mix
 from tracebound.llm.pii import personal_data
 from tracebound.llm.quality import quality
 from tracebound.llm.simhash import near_duplicates
+from tracebound.llm.styletree import extract
 from tracebound.llm.substrings import without_repeats
 from tracebound.llm.tokencount import Vocabulary, token_counts
 from tracebound.llm.tokens import round_trip
@@ -132,3 +133,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_personal_data")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(table(spark, folder, "documents"))
+
+
+@query("op8_main_text")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
