@@ -301,11 +301,30 @@ def test_tree_and_subtree(spark):
     assert rows(tree.subtree(flat, flat.filter("node_id = 'a'"))) == [("a", "a"), ("a", "x")]
 
 
-def test_tree_cycle_is_an_error(spark):
-    nodes = spark.createDataFrame([(f"n{i}", f"n{i-1}" if i else None, 0) for i in range(6)],
-                                  "node_id string, parent_id string, ord bigint")
+def test_forest_with_equal_and_long_positions(spark):
+    big = 12345678901
+    nodes = spark.createDataFrame(
+        [("d", "A", None, 0), ("d", "B", None, 0), ("d", "a1", "A", big), ("d", "a2", "A", big + 1),
+         ("d", "b1", "B", -1), ("d", "b2", "B", -1), ("d", "bx", "b2", 0), ("e", "A", None, 5), ("e", "q", "A", 0)],
+        "doc string, node_id string, parent_id string, ord bigint")
+    flat = tree.flatten_tree(nodes, ["doc"])
+    order = [(r.doc, r.node_id) for r in flat.orderBy("doc", "path").collect()]
+    assert order == [("d", x) for x in ("A", "a1", "a2", "B", "b1", "b2", "bx")] + [("e", "A"), ("e", "q")]
+    roots = nodes.filter("doc = 'd' AND node_id IN ('A', 'b1')")
+    assert rows(tree.subtree(flat, roots, ["doc"])) == [
+        ("d", "A", "A"), ("d", "A", "a1"), ("d", "A", "a2"), ("d", "b1", "b1")]
+
+
+def test_deep_trees_and_cycles(spark):
+    schema = "node_id string, parent_id string, ord bigint"
+    deep = spark.createDataFrame([(f"n{i}", f"n{i-1}" if i else None, 0) for i in range(70)], schema)
+    assert tree.flatten_tree(deep).agg(F.max("depth")).first()[0] == 69
+    loop = spark.createDataFrame([("r", None, 0), ("x", "y", 0), ("y", "x", 0), ("z", "?", 0)], schema)
+    flat = tree.flatten_tree(loop)
+    assert rows(flat.select("node_id")) == [("r",)]
+    assert rows(tree.unreached(loop, flat).select("node_id")) == [("x",), ("y",), ("z",)]
     with pytest.raises(ValueError):
-        tree.flatten_tree(nodes, max_depth=3)
+        tree.flatten_tree(loop.union(spark.createDataFrame([("x", "r", 0)], schema)))
 
 
 # --- versions and snapshots -----------------------------------------------------------
@@ -318,6 +337,14 @@ def test_deleted_chain_collapses(spark):
     assert {tuple(r) for r in edits.delete_versions(versions, gone).collect()} == {(1, None), (10, 1), (11, 10)}
 
 
+def test_deleted_cycle_ends(spark):
+    schema = "version_id int, parent_version_id int"
+    versions = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, None), (5, 4), (6, 6), (7, 6)], schema)
+    gone = versions.filter("version_id IN (1, 2, 4, 6)")
+    assert rows(edits.delete_versions(versions, gone)) == [(3, None), (5, None), (7, None)]
+    assert rows(edits.circular_versions(versions)) == [(i, "circular-version") for i in (1, 2, 3, 6, 7)]
+
+
 def test_fingerprint_ignores_order_and_sees_copies(spark):
     data = [("g", f"n{i}", f"d{i}") for i in range(50)]
     schema = "g string, n string, d string"
@@ -358,10 +385,26 @@ def test_cell_edit(spark):
 def test_delete_omits_only_the_last_reference(spark):
     refs = spark.createDataFrame([("n1", "s1"), ("n1", "s2"), ("n2", "s2")], "node_id string, source_id string")
     coverage = spark.createDataFrame([("s1", "preserved"), ("s2", "preserved"), ("s3", "pending")], "source_id string, status string")
-    got = rows(edits.coverage_on_delete(coverage, refs, refs.filter("node_id = 'n1'")))
+    gone = spark.createDataFrame([("n1", 1)], "node_id string, seq int")
+    got = rows(edits.coverage_on_delete(coverage, refs, gone))
     assert got == [("s1", "omitted", 0, 'user deleted report node "n1"'), ("s2", "preserved", 1, None), ("s3", "pending", 0, None)]
 
 
+def test_delete_takes_the_subtree_and_names_the_last_deletion(spark):
+    nodes = spark.createDataFrame([("p", None, 0), ("k", "p", 0), ("n9", None, 1), ("n1", None, 2)],
+                                  "node_id string, parent_id string, ord bigint")
+    refs = spark.createDataFrame([("k", "s1"), ("n9", "s2"), ("n1", "s2"), ("k", "s3"), ("n1", "s3")],
+                                 "node_id string, source_id string")
+    coverage = spark.createDataFrame([(s, "preserved") for s in ("s1", "s2", "s3")], "source_id string, status string")
+    gone = spark.createDataFrame([("n9", 1), ("k", 2), ("p", 3), ("n1", 4)], "node_id string, seq int")
+    got = rows(edits.coverage_on_delete(coverage, refs, gone, tree.flatten_tree(nodes)))
+    reason = 'user deleted report node "{}"'.format
+    assert got == [("s1", "omitted", 0, reason("k")), ("s2", "omitted", 0, reason("n1")), ("s3", "omitted", 0, reason("n1"))]
+    parent = gone.filter("node_id = 'p'")
+    assert rows(edits.coverage_on_delete(coverage, refs, parent, tree.flatten_tree(nodes)))[0] == (
+        "s1", "omitted", 0, reason("p"))
+
+
 LABELS = (("A", "opening", "aa"), ("B", "opening", "bb"), ("C", "opening", "x。y"))
 
 
@@ -412,3 +455,22 @@ def test_table_rows_by_label(spark):
                                "t int, rows array<array<string>>")
     assert rows(sections.split_table_rows(df, "t"), "t", "row_idx", "label") == [
         (1, 1, "技术难点"), (1, 2, "价值链分析")]
+
+
+def test_json_numbers_at_every_depth(spark):
+    df = spark.createDataFrame([
+        (1, '{"a":1,"o":{"b":2},"rows":[[3,4],[5]],"x":[{"v":6}],"s":"7","order":8,"q":{"revision":9,"z":-0.50}}'),
+        (2, "[18.0, [1e3]]"), (3, None), (4, "{bad"), (5, "12")], "k int, json string")
+    assert rows(rules.json_numbers(df, "k", "json")) == [
+        (1, "a", "1"), (1, "o.b", "2"), (1, "q.z", "-0.5"), (1, "rows", "3"), (1, "rows", "4"), (1, "rows", "5"),
+        (1, "x.v", "6"), (2, "", "1000"), (2, "", "18")]
+
+
+def test_forged_datasets(spark):
+    data = spark.createDataFrame([("d1", '{"rows":[[10,10]]}'), ("d2", '{"n":10}'), ("d3", '{"n":99}'), ("d4", '{"n":5}')],
+                                 "claim_id string, json string")
+    refs = spark.createDataFrame([("d1", "s"), ("d2", "s"), ("d3", "s")], "claim_id string, source_id string")
+    units = spark.createDataFrame([("s", "only 10 units")], "source_id string, text string")
+    edited = spark.createDataFrame([("d3",)], "claim_id string")
+    assert rows(audit.unsupported_dataset_numbers(data, refs, units, edited)) == [("d1", "10", 2, 1), ("d4", "5", 1, 0)]
+    assert [r.subject_id for r in audit.uncited_datasets(data, refs).collect()] == ["d4"]

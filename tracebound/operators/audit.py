@@ -18,6 +18,7 @@ from tracebound.functions.text import (
     qualification_tokens,
 )
 from tracebound.operators.issues import issue_rows
+from tracebound.operators.rules import json_numbers
 
 
 def unknown_references(refs: DataFrame, universe: DataFrame, key: str,
@@ -91,13 +92,41 @@ def token_counts(df: DataFrame, key: str, text: str, dialect: str) -> DataFrame:
 
 
 def unsupported_numbers(claims: DataFrame, refs: DataFrame, units: DataFrame,
-                        dialect: str = "editorial") -> DataFrame:
+                        dialect: str = "editorial", edited: DataFrame | None = None) -> DataFrame:
     """J-05: multiset fidelity. Numbers a claim uses more often than its sources do.
 
-    ``claims(claim_id, text)``, ``refs(claim_id, source_id)``, ``units(source_id, text)``.
+    ``claims(claim_id, text)``, ``refs(claim_id, source_id)``, ``units(source_id, text)``. Claims in
+    ``edited(claim_id)``, which a person has overridden, are exempt.
     Returns ``claim_id, token, needed, available``.
     """
-    needed = token_counts(claims, "claim_id", "text", dialect).withColumnRenamed("n", "needed")
+    needed = token_counts(_unedited(claims, edited), "claim_id", "text", dialect)
+    return _more_than_cited(needed, refs, units, dialect)
+
+
+def unsupported_dataset_numbers(datasets: DataFrame, refs: DataFrame, units: DataFrame,
+                                edited: DataFrame | None = None,
+                                dialect: str = "editorial") -> DataFrame:
+    """J-05 for datasets and facts: their JSON numbers against the sources that they cite.
+
+    ``datasets(claim_id, json)``; the rest as in ``unsupported_numbers``.
+    """
+    numbers = json_numbers(_unedited(datasets, edited), "claim_id", "json")
+    return _more_than_cited(
+        token_counts(numbers, "claim_id", "value", dialect), refs, units, dialect)
+
+
+def uncited_datasets(datasets: DataFrame, refs: DataFrame) -> DataFrame:
+    """J-05: issues for datasets and facts that cite nothing."""
+    return issue_rows(
+        datasets.join(refs, "claim_id", "left_anti"), "dataset-not-source-derived", "claim_id")
+
+
+def _unedited(claims: DataFrame, edited: DataFrame | None) -> DataFrame:
+    return claims if edited is None else claims.join(edited, "claim_id", "left_anti")
+
+
+def _more_than_cited(needed: DataFrame, refs: DataFrame, units: DataFrame, dialect: str) -> DataFrame:
+    needed = needed.withColumnRenamed("n", "needed")
     tokens = units.select("source_id", comparable_numbers(F.col("text"), dialect).alias("tokens"))
     available = (
         refs.join(tokens, "source_id")
@@ -250,10 +279,15 @@ def unsupported_terms(claims: DataFrame, refs: DataFrame, units: DataFrame,
 
 
 def lexical_support(claims: DataFrame, refs: DataFrame, units: DataFrame,
-                    share: float = fixed.LEXICAL_SUPPORT_SHARE) -> DataFrame:
-    """J-08: ``claim_id, terms, shared, required, supported`` for claims with any term."""
+                    share: float = fixed.LEXICAL_SUPPORT_SHARE,
+                    exempt: DataFrame | None = None) -> DataFrame:
+    """J-08: ``claim_id, terms, shared, required, supported`` for claims with any term.
+
+    Claims in ``exempt(claim_id)`` are not judged: those that a person has overridden, and nodes
+    that only group others (sections, entity groups, images).
+    """
     claim_terms = computed(
-        claims.select("claim_id", "text"), claim_terms=lexical_terms(F.col("text"))
+        _unedited(claims, exempt).select("claim_id", "text"), claim_terms=lexical_terms(F.col("text"))
     ).select("claim_id", "claim_terms").filter(F.size("claim_terms") > 0)
     source_terms = computed(
         units.select("source_id", "text"), source_terms=lexical_terms(F.col("text"))

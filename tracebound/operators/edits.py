@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracebound.functions.text import stable_id
 from tracebound.operators.rules import valid_override
+from tracebound.operators.tree import subtree
 from tracebound.plans.lineage import cut
 from tracebound.plans.ordered import carry_last
 
@@ -250,31 +251,43 @@ def applied_patches(replayed: DataFrame, key: list[str]) -> DataFrame:
 # --- T-03 ------------------------------------------------------------------------
 
 
-def coverage_on_delete(coverage: DataFrame, node_refs: DataFrame, deleted: DataFrame) -> DataFrame:
-    """T-03: coverage after nodes were deleted.
+def coverage_on_delete(coverage: DataFrame, node_refs: DataFrame, deleted: DataFrame,
+                       flat: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """T-03: coverage after nodes were deleted, one after the other.
 
-    ``coverage(source_id, status)``, ``node_refs(node_id, source_id)``,
-    ``deleted(node_id)``. A source whose last node went becomes ``omitted`` with the
-    (last) deleted node as the reason; others keep their status and get a new node count.
+    ``coverage(keys, source_id, status)``, ``node_refs(keys, node_id, source_id)``,
+    ``deleted(keys, node_id, seq)``; ``flat`` is the tree from ``flatten_tree``: with a node go all
+    nodes below it (without ``flat`` only the node itself). A source whose last node went becomes
+    ``omitted``, and the reason names the deletion that took the last one; others keep their
+    status and get a new node count.
     """
-    gone = deleted.select("node_id").distinct().withColumn("__gone", F.lit(True))
+    keys = keys or []
+    if flat is None:
+        gone = deleted.select(*keys, F.col("node_id").alias("root_id"), "node_id", "seq")
+    else:
+        gone = subtree(flat, deleted, keys).join(
+            deleted.select(*keys, F.col("node_id").alias("root_id"), "seq"), [*keys, "root_id"])
+    # a node goes with the first deletion that covers it
+    first = gone.groupBy(*keys, "node_id").agg(
+        F.min(F.struct("seq", "root_id")).alias("__gone"))
     nodes = (
-        node_refs.select("node_id", "source_id").distinct()
-        .join(gone, "node_id", "left")
-        .groupBy("source_id")
+        node_refs.select(*keys, "node_id", "source_id").distinct()
+        .join(first, [*keys, "node_id"], "left")
+        .groupBy(*keys, "source_id")
         .agg(
             F.count_if(F.col("__gone").isNull()).alias("nodes"),
-            F.max(F.when(F.col("__gone"), F.col("node_id"))).alias("__node"),
+            F.max("__gone").alias("__last"),
         )
     )
-    dropped = (F.coalesce("nodes", F.lit(0)) == 0) & F.col("__node").isNotNull()
+    dropped = (F.coalesce("nodes", F.lit(0)) == 0) & F.col("__last").isNotNull()
     return (
-        coverage.join(nodes, "source_id", "left")
+        coverage.join(nodes, [*keys, "source_id"], "left")
         .select(
-            "source_id",
+            *keys, "source_id",
             F.when(dropped, "omitted").otherwise(F.col("status")).alias("status"),
             F.coalesce("nodes", F.lit(0)).cast("bigint").alias("nodes"),
-            F.when(dropped, F.concat(F.lit('user deleted report node "'), F.col("__node"),
+            F.when(dropped, F.concat(F.lit('user deleted report node "'),
+                                     F.col("__last.root_id").cast("string"),
                                      F.lit('"'))).alias("reason"),
         )
     )
@@ -337,11 +350,23 @@ def version_parents(versions: DataFrame, variant: str = "variant_id",
     )
 
 
+def circular_versions(versions: DataFrame) -> DataFrame:
+    """W-07: issues for versions whose chain of parents never ends: ``version_id, code``."""
+    hops = versions.select(F.col("version_id").alias("id"), F.col("parent_version_id").alias("to"))
+    for _ in range(hops.count().bit_length() + 1):
+        ahead = hops.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
+        hops = cut(hops.join(ahead, "to").select("id", F.col("beyond").alias("to")))
+    return hops.filter(F.col("to").isNotNull()).select(
+        F.col("id").alias("version_id"), F.lit("circular-version").alias("code"))
+
+
 def delete_versions(versions: DataFrame, deleted: DataFrame) -> DataFrame:
     """W-07: remove versions; children move to the removed version's parent.
 
     ``versions(version_id, parent_version_id, ...)``, ``deleted(version_id)``. Chains of
     removed versions are collapsed by pointer doubling: the longest chain halves per round.
+    Removed versions that name each other in a cycle have no parent to offer; a version that
+    depends on them gets NULL, and ``circular_versions`` lists them.
     """
     gone = deleted.select("version_id").distinct()
     kept = versions.join(gone, "version_id", "left_anti")
@@ -349,7 +374,8 @@ def delete_versions(versions: DataFrame, deleted: DataFrame) -> DataFrame:
         versions.join(gone, "version_id", "left_semi")
         .select(F.col("version_id").alias("id"), F.col("parent_version_id").alias("to"))
     )
-    while True:
+    rounds = hops.count().bit_length() + 1  # a chain of n needs log2(n) rounds, a cycle any number
+    for _ in range(rounds):
         ahead = hops.select(F.col("id").alias("to"), F.col("to").alias("beyond"),
                             F.lit(True).alias("__hop"))
         if hops.join(ahead, "to", "left_semi").isEmpty():
@@ -358,6 +384,10 @@ def delete_versions(versions: DataFrame, deleted: DataFrame) -> DataFrame:
             hops.join(ahead, "to", "left")
             .select("id", F.when(F.col("__hop"), F.col("beyond")).otherwise(F.col("to")).alias("to"))
         )
+    # what still leads to a removed version goes round in a cycle: there is no parent left
+    circular = hops.select(F.col("id").alias("to")).withColumn("__cycle", F.lit(True))
+    hops = hops.join(circular, "to", "left").select(
+        "id", F.when(F.col("__cycle").isNull(), F.col("to")).alias("to"), "__cycle")
     moved = hops.select(F.col("id").alias("parent_version_id"), F.col("to").alias("__to"),
                         F.lit(True).alias("__moved"))
     return (

@@ -14,6 +14,7 @@ from tracebound.functions.html import attribute_pattern
 from tracebound.functions.lets import extract, found, matches, non_blank
 from tracebound.functions.text import is_json, is_timestamp, js_trim
 from tracebound.operators.issues import issue_rows
+from tracebound.plans.lineage import cut
 
 
 def flag_rows(df: DataFrame, flags: list[tuple[str, Column]], subject: str,
@@ -325,23 +326,33 @@ def assessment_rules(assessments: DataFrame, min_chars: int = fixed.ASSESSMENT_M
 
 def json_numbers(df: DataFrame, key: str, json: str,
                  skip=fixed.NON_VALUE_KEYS) -> DataFrame:
-    """N-05: numeric leaves of a JSON object of scalars and of arrays of scalars.
+    """N-05: every JSON number in a document, at any depth: ``key, field, value``.
 
-    ``key, field, value``; the value is the text of the number, so ``18.0`` reads ``18``.
-    Nested objects need a schema: parse them with ``from_json`` and explode their fields.
+    ``field`` joins the object keys on the way with dots; array elements share their array's
+    name. Strings, booleans and nulls do not count, and whatever stands under a key of
+    ``skip`` is left out at every depth. ``value`` is the text of the number, so ``18.0`` reads
+    ``18``. Invalid JSON has no numbers. One round per level of nesting; a level only carries
+    the objects and arrays that are left.
     """
-    fields = F.from_json(F.col(json), "map<string,string>")
-    leaves = df.select(key, F.explode(fields).alias("field", "__v")).filter(
-        ~F.col("field").isin(*skip)
-    )
-    # An array keeps its JSON text in the map; every other leaf is one value.
-    values = F.when(
-        F.col("__v").startswith("["), F.from_json("__v", "array<string>")
-    ).otherwise(F.array("__v"))
-    number = r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"
-    return (
-        leaves.select(key, "field", F.explode(values).alias("value"))
-        .filter(F.col("value").rlike(number))
-        .withColumn("value", F.regexp_replace("value", r"(\.\d*?)0+$", "$1"))
-        .withColumn("value", F.regexp_replace("value", r"\.$", ""))
-    )
+    spark = df.sparkSession
+    level = df.select(F.col(key).alias("__k"), F.lit("").alias("field"),
+                      F.try_parse_json(F.col(json)).alias("__v"))
+    kind = F.schema_of_variant("value")
+    out = None
+    while True:
+        entries = (
+            level.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
+            .filter(F.col("key").isNull() | ~F.col("key").isin(*skip))
+            .select("__k", F.concat_ws(".", F.nullif("field", F.lit("")), "key").alias("field"),
+                    "value", kind.alias("__kind"))
+        )
+        leaves = entries.filter(F.col("__kind").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")).select(
+            "__k", "field", F.col("value").cast("string").alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        level = cut(entries.filter(F.col("__kind").rlike("^(OBJECT|ARRAY)<")).select(
+            "__k", "field", F.col("value").alias("__v")))
+        if level.isEmpty():
+            break
+    return out.select(
+        F.col("__k").alias(key), "field",
+        F.regexp_replace(F.regexp_replace("value", r"(\.\d*?)0+$", "$1"), r"\.$", "").alias("value"))

@@ -153,53 +153,70 @@ def statically_visible(tags: DataFrame, hidden: Column | None = None,
 # --- node trees ---------------------------------------------------------------
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """N-01: every node with its depth and preorder path.
-
-    ``nodes(node_id, parent_id, ord)``, roots with a NULL parent. ``path`` holds the
-    zero-padded positions from the root: sorting by it gives the preorder. One join per
-    level of the tree; the loop ends with the first empty level.
+def flatten_tree(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """N-01: every node of a forest with its depth, preorder path and ancestors.
+
+    ``nodes(keys, node_id, parent_id, ord)``, roots with a NULL parent; ``keys`` name the document
+    that a node belongs to, and node ids are unique in it. A step of ``path`` is ``ord`` as sortable
+    hex, then the node id, so equal and negative ``ord`` keep their subtrees apart; sorting by
+    (keys, path) gives the preorder. ``ancestors`` are the ids from the root to the node. One join
+    per level of the tree; the loop ends with the first empty level. A node that comes back
+    among its own ancestors is an error; nodes that no root reaches are in ``unreached``.
     """
-    edges = nodes.select("node_id", "parent_id", "ord")
-    step = F.lpad(F.col("ord").cast("string"), 10, "0")
+    keys = keys or []
+    edges = nodes.select(*keys, "node_id", "parent_id", "ord")
+    step = F.concat_ws(
+        ":", F.lpad(F.hex(F.col("ord").cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"),
+        F.hex(F.col("node_id").cast("string")))
     level = edges.filter(F.col("parent_id").isNull()).select(
-        "node_id", "parent_id", F.lit(0).cast("bigint").alias("depth"), step.alias("path")
-    )
-    result = level
-    for depth in range(1, max_depth + 1):
-        parents = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
+        *keys, "node_id", "parent_id", F.lit(0).cast("bigint").alias("depth"), step.alias("path"),
+        F.array("node_id").alias("ancestors"),
+    )
+    result, depth = level, 0
+    while True:
+        depth += 1
+        parents = level.select(
+            *keys, F.col("node_id").alias("parent_id"), F.col("path").alias("above"),
+            F.col("ancestors").alias("__above"))
         level = cut(
-            edges.join(parents, "parent_id").select(
-                "node_id", "parent_id", F.lit(depth).cast("bigint").alias("depth"),
+            edges.join(parents, [*keys, "parent_id"]).select(
+                *keys, "node_id", "parent_id", F.lit(depth).cast("bigint").alias("depth"),
                 F.concat_ws(".", "above", step).alias("path"),
+                F.concat("__above", F.array("node_id")).alias("ancestors"),
+                F.array_contains("__above", F.col("node_id")).alias("__again"),
             )
         )
-        if level.isEmpty():
+        state = level.agg(F.count(F.lit(1)), F.coalesce(F.bool_or("__again"), F.lit(False))).first()
+        if state[1]:
+            raise ValueError("a node is its own ancestor")
+        if not state[0]:
             return result
+        level = level.drop("__again")
         result = result.unionByName(level)
-    raise ValueError(f"tree deeper than {max_depth} levels, or a cycle")
 
 
-def subtree(flat: DataFrame, roots: DataFrame) -> DataFrame:
-    """N-02: descendants of each root, itself included: ``root_id, node_id``.
+def unreached(nodes: DataFrame, flat: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """N-01: nodes that no root leads to: cycles, and children of unknown parents."""
+    on = [*(keys or []), "node_id"]
+    return nodes.join(flat.select(*on).distinct(), on, "left_anti")
+
+
+def subtree(flat: DataFrame, roots: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """N-02: descendants of each root, itself included: ``keys, root_id, node_id``.
 
-    ``flat`` comes from ``flatten_tree``. A node's ancestors are the prefixes of its
-    path, so each node is exploded into its few prefixes and joined by equality.
+    ``flat`` comes from ``flatten_tree``. Each node is exploded into its few ancestors, which are
+    joined by document and id.
     """
-    parts = F.split("path", r"\.")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ".")
-    )
-    anchors = (
-        flat.join(roots.select("node_id").distinct(), "node_id", "left_semi")
-        .select(F.col("node_id").alias("root_id"), F.col("path").alias("prefix"))
-    )
+    keys = keys or []
+    anchors = roots.select(*keys, F.col("node_id").alias("root_id")).distinct()
     return (
-        flat.select("node_id", F.explode(prefixes).alias("prefix"))
-        .join(anchors, "prefix").select("root_id", "node_id")
+        flat.select(*keys, "node_id", F.explode("ancestors").alias("root_id"))
+        .join(anchors, [*keys, "root_id"]).select(*keys, "root_id", "node_id")
     )
 
 
-def subtree_refs(tree: DataFrame, node_refs: DataFrame) -> DataFrame:
+def subtree_refs(tree: DataFrame, node_refs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """N-02: distinct sources cited anywhere below each root."""
-    return tree.join(node_refs, "node_id").select("root_id", "source_id").distinct()
+    keys = keys or []
+    return (
+        tree.join(node_refs, [*keys, "node_id"]).select(*keys, "root_id", "source_id").distinct())

@@ -109,7 +109,8 @@ def delete_sink(coverage: DataFrame, node_refs: DataFrame, deleted_folder: str,
         spark = batch.sparkSession
         batch.select("node_id").write.mode("overwrite").parquet(
             f"{deleted_folder}/batch={number}")
-        deleted = spark.read.parquet(deleted_folder).filter(F.col("batch") <= number)
+        deleted = spark.read.parquet(deleted_folder).filter(F.col("batch") <= number).select(
+            "node_id", F.col("batch").alias("seq"))
         coverage_on_delete(coverage, node_refs, deleted).write.mode("overwrite").parquet(
             f"{coverage_folder}/batch={number}")
 

@@ -708,19 +708,48 @@ def _(spark, folder):
     return rules.topic_coverage(answers, evidence)
 
 
-@query("n05_json_numbers", """
-WITH j AS (SELECT event_id, json_extract_string(props,'$.k')::BIGINT AS k, value::DECIMAL(15,2) AS v
-  FROM events)
-SELECT event_id, 'k' AS field, k::VARCHAR AS value FROM j
-UNION ALL SELECT event_id, 'parts', k::VARCHAR FROM j
-UNION ALL SELECT event_id, 'parts', regexp_replace(v::DOUBLE::VARCHAR, '\\.0$', '') FROM j""")
-def _(spark, folder):
-    k = F.get_json_object("props", "$.k")
-    json = F.concat(
-        F.lit('{"k": '), k, F.lit(', "order": 3, "name": "x", "parts": ['), k, F.lit(', "y", '),
-        B.money("value"), F.lit("]}"))
-    rows = B.table(spark, folder, "events").select("event_id", json.alias("json"))
-    return rules.json_numbers(rows, "event_id", "json")
+_N05 = """j AS (SELECT event_id, json_extract_string(props,'$.k') AS k,
+    regexp_replace((value::DECIMAL(15,2))::DOUBLE::VARCHAR, '\\.0$', '') AS v FROM events),
+n AS (SELECT event_id, unnest(['k','parts','parts','o.deep.v','rows','rows','rows','items.q','items.q']) AS field,
+    unnest([k,k,v,v,k,'1',v,k,v]) AS value FROM j)"""
+
+
+def _nested_json(spark, folder):
+    """Events as JSON with objects, arrays of arrays and of objects, strings and keys to skip."""
+    k, v = F.get_json_object("props", "$.k"), B.money("value")
+    json = F.format_string(
+        '{"k": %s, "order": 3, "name": "x", "parts": [%s, "y", %s, null, true], '
+        '"o": {"deep": {"v": %s, "revision": 7}, "schemaVersion": {"n": 5}}, "rows": [[%s, 1], [%s]], '
+        '"items": [{"q": %s, "s": "7"}, {"q": %s, "order": 8}]}', k, k, v, v, k, v, k, v)
+    return B.table(spark, folder, "events").select("event_id", json.alias("json"))
+
+
+@query("n05_json_numbers", f"WITH {_N05} SELECT event_id, field, value FROM n")
+def _(spark, folder):
+    return rules.json_numbers(_nested_json(spark, folder), "event_id", "json")
+
+
+# A dataset cites the event before it, whose text names its numbers once; every third also its own.
+# Sources are compared as written: a source's 119.80 does not support the number 119.8.
+@query("j05_forged_datasets", f"""WITH {_N05},
+need AS (SELECT event_id, value AS token, count(*) AS needed FROM n WHERE event_id%11<>0 GROUP BY 1,2),
+src AS (SELECT event_id, unnest([json_extract_string(props,'$.k'), (value::DECIMAL(15,2))::VARCHAR, '1']) AS token
+  FROM events),
+have AS (SELECT claim_id, token, count(*) AS available FROM (
+    SELECT event_id+1 AS claim_id, token FROM src
+    UNION ALL SELECT event_id, token FROM src WHERE event_id%3=0) GROUP BY 1,2)
+SELECT event_id AS claim_id, need.token, needed, coalesce(available, 0) AS available
+FROM need LEFT JOIN have ON claim_id=event_id AND have.token=need.token WHERE needed > coalesce(available, 0)""")
+def _(spark, folder):
+    events = B.table(spark, folder, "events")
+    sources = events.select(
+        F.col("event_id").alias("source_id"),
+        F.concat_ws(" and ", F.get_json_object("props", "$.k"), B.money("value"), F.lit("1")).alias("text"))
+    refs = events.select((F.col("event_id") + 1).alias("claim_id"), F.col("event_id").alias("source_id")).unionByName(
+        events.filter("event_id % 3 = 0").select(F.col("event_id").alias("claim_id"), F.col("event_id").alias("source_id")))
+    edited = events.filter("event_id % 11 = 0").select(F.col("event_id").alias("claim_id"))
+    return audit.unsupported_dataset_numbers(
+        _nested_json(spark, folder).withColumnRenamed("event_id", "claim_id"), refs, sources, edited)
 
 
 @query("n06_valid_json", """

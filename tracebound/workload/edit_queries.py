@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracebound.functions.text import js_trim, split_lines
-from tracebound.operators import edits, sections
+from tracebound.operators import edits, sections, tree
 from tracebound.sources.units import line_islands
 from tracebound.workload import frames as B
 from tracebound.workload import sql as S
@@ -169,21 +169,33 @@ def _(spark, folder):
     return edits.applied_patches(replayed, ["project_id"])
 
 
-@query("t03_coverage_on_delete", f"""WITH {S.PATCHES},
-e AS (SELECT DISTINCT project_id||'/'||node AS node_id, project_id||'#'||(k%4) AS source_id FROM patches),
-d AS (SELECT DISTINCT project_id||'/'||node AS node_id FROM patches WHERE event_type='error'),
-c AS (SELECT source_id, count(*) FILTER (node_id NOT IN (FROM d)) AS nodes,
-  max(node_id) FILTER (node_id IN (FROM d)) AS gone FROM e GROUP BY source_id)
-SELECT source_id, CASE WHEN nodes=0 THEN 'omitted' ELSE 'preserved' END AS status, nodes,
-  CASE WHEN nodes=0 THEN 'user deleted report node "'||gone||'"' END AS reason FROM c""")
+@query("t03_coverage_on_delete", f"""WITH RECURSIVE {S.NODES},
+up AS (SELECT doc, node_id, node_id AS a FROM nodes
+  UNION ALL SELECT u.doc, u.node_id, n.parent_id FROM up u JOIN nodes n ON n.doc=u.doc AND n.node_id=u.a
+  WHERE n.parent_id IS NOT NULL),
+d AS (SELECT doc, node_id, (ord*7919)%1000003 AS seq FROM nodes
+  WHERE (node_id LIKE 'c%' AND substr(node_id,2)::BIGINT%3<>0) OR (node_id LIKE 'o%' AND ord%5=0)),
+g AS (SELECT up.doc, up.node_id, min({{'seq': d.seq, 'root': d.node_id}}) AS gone
+  FROM up JOIN d ON d.doc=up.doc AND d.node_id=up.a GROUP BY 1,2),
+e AS (SELECT DISTINCT n.doc, n.node_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS source_id FROM nodes n JOIN orders ON n.node_id='o'||o_orderkey),
+c AS (SELECT e.doc, source_id, count(*) FILTER (gone IS NULL) AS nodes, max(gone) AS last_
+  FROM e LEFT JOIN g ON g.doc=e.doc AND g.node_id=e.node_id GROUP BY 1,2)
+SELECT doc, source_id, CASE WHEN nodes=0 THEN 'omitted' ELSE 'preserved' END AS status, nodes,
+  CASE WHEN nodes=0 THEN 'user deleted report node "'||last_.root||'"' END AS reason FROM c""")
 def _(spark, folder):
-    log = B.patch_log(spark, folder)
-    node = F.concat_ws("/", "project_id", F.col("node").cast("string")).alias("node_id")
-    refs = log.select(
-        node, F.concat_ws("#", "project_id", (F.col("k") % 4).cast("string")).alias("source_id"))
-    coverage = refs.select("source_id").distinct().withColumn("status", F.lit("preserved"))
+    nodes = B.segment_nodes(spark, folder)
+    number = F.substring("node_id", 2, 20).cast("bigint")
+    deleted = nodes.filter(
+        (F.col("node_id").startswith("c") & (number % 3 != 0))
+        | (F.col("node_id").startswith("o") & (F.col("ord") % 5 == 0))
+    ).select("doc", "node_id", (F.col("ord") * 7919 % 1_000_003).alias("seq"))
+    clerks = B.table(spark, folder, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node_id"),
+        F.col("o_orderdate").cast("date").cast("string").alias("source_id"))
+    refs = nodes.join(clerks, "node_id").select("doc", "node_id", "source_id")
+    coverage = refs.select("doc", "source_id").distinct().withColumn("status", F.lit("preserved"))
     return edits.coverage_on_delete(
-        coverage, refs, log.filter("event_type = 'error'").select(node))
+        coverage, refs, deleted, tree.flatten_tree(nodes, ["doc"]), ["doc"])
 
 
 @query("t04_write_once", f"""WITH {S.PATCHES},

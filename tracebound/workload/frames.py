@@ -243,23 +243,33 @@ def snapshots(spark, folder) -> tuple[DataFrame, DataFrame]:
     return docs, kept.unionByName(added)
 
 
-def place_nodes(spark, folder) -> DataFrame:
-    """B13: nations under regions under one root."""
-    region, nation = table(spark, folder, "region"), table(spark, folder, "nation")
-    root = region.agg(F.max(F.lit("root")).alias("node_id")).select(
-        "node_id", F.lit(None).cast("string").alias("parent_id"),
-        F.lit(0).cast("bigint").alias("ord"),
-    )
-    regions = region.select(
-        F.concat(F.lit("r"), F.col("r_regionkey")).alias("node_id"),
-        F.lit("root").alias("parent_id"), F.col("r_regionkey").cast("bigint").alias("ord"),
-    )
-    nations = nation.select(
-        F.concat(F.lit("n"), F.col("n_nationkey")).alias("node_id"),
-        F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent_id"),
-        F.col("n_nationkey").cast("bigint").alias("ord"),
-    )
-    return root.unionByName(regions).unionByName(nations)
+def segment_nodes(spark, folder) -> DataFrame:
+    """B13: a forest: per market segment the nations, their customers and their orders.
+
+    Nations of a region share one ``ord``; customers and orders have positions of 11 digits,
+    and customers repeat them.
+    """
+    customer, orders = table(spark, folder, "customer"), table(spark, folder, "orders")
+    nation = table(spark, folder, "nation")
+    doc = F.col("c_mktsegment").alias("doc")
+    own = customer.select("c_mktsegment", "c_custkey", "c_nationkey")
+
+    def node(prefix: str, column: str):
+        return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+    roots = (
+        own.select(doc, "c_nationkey").distinct()
+        .join(nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey")
+        .select("doc", node("n", "c_nationkey").alias("node_id"),
+                F.lit(None).cast("string").alias("parent_id"),
+                F.col("n_regionkey").cast("bigint").alias("ord")))
+    customers = own.select(
+        doc, node("c", "c_custkey").alias("node_id"), node("n", "c_nationkey").alias("parent_id"),
+        (F.col("c_custkey") % 3 + 12_345_678_900).cast("bigint").alias("ord"))
+    leaves = orders.join(own, F.col("o_custkey") == F.col("c_custkey")).select(
+        doc, node("o", "o_orderkey").alias("node_id"), node("c", "c_custkey").alias("parent_id"),
+        (F.col("o_orderkey") + 12_345_678_900).cast("bigint").alias("ord"))
+    return roots.unionByName(customers).unionByName(leaves)
 
 
 def assessments(spark, folder) -> DataFrame:

@@ -260,32 +260,39 @@ def _(spark, folder):
 
 _FLAT_TREE = S.NODES + """,
 flat AS (
-  SELECT node_id, parent_id, 0::BIGINT AS depth, lpad(ord::VARCHAR, 10, '0') AS path FROM nodes
+  SELECT doc, node_id, parent_id, 0::BIGINT AS depth,
+    '8'||lpad(hex(ord), 15, '0')||':'||hex(node_id) AS path, [node_id] AS up FROM nodes
   WHERE parent_id IS NULL
-  UNION ALL SELECT n.node_id, n.parent_id, f.depth+1, f.path||'.'||lpad(n.ord::VARCHAR, 10, '0')
-  FROM flat f JOIN nodes n ON n.parent_id=f.node_id)"""
+  UNION ALL SELECT n.doc, n.node_id, n.parent_id, f.depth+1,
+    f.path||'.'||'8'||lpad(hex(n.ord), 15, '0')||':'||hex(n.node_id), list_append(f.up, n.node_id)
+  FROM flat f JOIN nodes n ON n.parent_id=f.node_id AND n.doc=f.doc),
+below AS (SELECT r.doc, r.node_id AS root_id, r.depth, d.node_id
+  FROM (SELECT doc, node_id, unnest(up) AS a FROM flat) d JOIN flat r ON r.doc=d.doc AND r.node_id=d.a)"""
 
 
-@query("n01_flatten_tree", f"WITH RECURSIVE {_FLAT_TREE} SELECT node_id, parent_id, depth, path FROM flat")
+@query("n01_flatten_tree",
+       f"WITH RECURSIVE {_FLAT_TREE} SELECT doc, node_id, parent_id, depth, path FROM flat")
 def _(spark, folder):
-    return tree.flatten_tree(B.place_nodes(spark, folder))
+    return tree.flatten_tree(B.segment_nodes(spark, folder), ["doc"]).drop("ancestors")
 
 
 @query("n02_subtree", f"""WITH RECURSIVE {_FLAT_TREE}
-SELECT r.node_id AS root_id, d.node_id FROM flat r JOIN flat d
-  ON d.path=r.path OR starts_with(d.path, r.path||'.') WHERE r.depth <= 1""")
+SELECT doc, root_id, node_id FROM below WHERE depth <= 1""")
 def _(spark, folder):
-    flat = tree.flatten_tree(B.place_nodes(spark, folder))
-    return tree.subtree(flat, flat.filter("depth <= 1"))
+    flat = tree.flatten_tree(B.segment_nodes(spark, folder), ["doc"])
+    return tree.subtree(flat, flat.filter("depth <= 1"), ["doc"])
 
 
 @query("n02_subtree_refs", f"""WITH RECURSIVE {_FLAT_TREE}
-SELECT DISTINCT r.node_id AS root_id, c.c_custkey AS source_id FROM flat r JOIN flat d
-  ON d.path=r.path OR starts_with(d.path, r.path||'.')
-JOIN customer c ON d.node_id='n'||c.c_nationkey WHERE r.depth = 1""")
+SELECT DISTINCT doc, root_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS source_id FROM below
+JOIN orders ON node_id='o'||o_orderkey WHERE depth = 0""")
 def _(spark, folder):
-    flat = tree.flatten_tree(B.place_nodes(spark, folder))
-    refs = B.table(spark, folder, "customer").select(
-        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("node_id"),
-        F.col("c_custkey").alias("source_id"))
-    return tree.subtree_refs(tree.subtree(flat, flat.filter("depth = 1")), refs)
+    flat = tree.flatten_tree(B.segment_nodes(spark, folder), ["doc"])
+    refs = B.table(spark, folder, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node_id"), "o_custkey",
+        F.col("o_orderdate").cast("date").cast("string").alias("source_id"))
+    refs = refs.join(
+        B.table(spark, folder, "customer").select(
+            F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("doc")),
+        "o_custkey").select("doc", "node_id", "source_id")
+    return tree.subtree_refs(tree.subtree(flat, flat.filter("depth = 0"), ["doc"]), refs, ["doc"])

@@ -224,9 +224,11 @@ after_ AS (
   UNION ALL SELECT doc_id+1000000, text, lang, source FROM documents WHERE doc_id%13=0)"""
 
 NODES = """nodes AS (
-  SELECT 'root' AS node_id, NULL AS parent_id, 0 AS ord
-  UNION ALL SELECT 'r'||r_regionkey, 'root', r_regionkey FROM region
-  UNION ALL SELECT 'n'||n_nationkey, 'r'||n_regionkey, n_nationkey FROM nation)"""
+  SELECT DISTINCT c_mktsegment AS doc, 'n'||c_nationkey AS node_id, NULL::VARCHAR AS parent_id,
+    n_regionkey::BIGINT AS ord FROM customer JOIN nation ON n_nationkey=c_nationkey
+  UNION ALL SELECT c_mktsegment, 'c'||c_custkey, 'n'||c_nationkey, c_custkey%3+12345678900 FROM customer
+  UNION ALL SELECT c_mktsegment, 'o'||o_orderkey, 'c'||c_custkey, o_orderkey+12345678900
+  FROM orders JOIN customer ON o_custkey=c_custkey)"""
 
 ASSESSMENTS = """assessments AS (
   SELECT doc_id AS source_id, 'assets/'||doc_id AS asset_path, substr(text,1,40) AS description,
