@@ -106,11 +106,7 @@ def _(spark, folder):
 
 
 def _cited_claims(spark, folder):
-    claims = B.numeric_claims(spark, folder)
-    line = lambda n: F.concat(F.col("claim_id").cast("string"), F.lit(f"-{n}"))
-    cited = F.when(F.col("claim_id") % 5 == 0, F.array(line(1))).otherwise(
-        F.array(line(1), line(2)))
-    return claims.withColumn("source_ids", cited)
+    return B.numeric_claims(spark, folder).withColumn("source_ids", B.cited_lines())
 
 
 _ALL_ISSUES = f"""all_issues AS (
@@ -185,14 +181,13 @@ def _(spark, folder):
 
 
 _PRICE_TEXTS = """texts AS (
-  SELECT l_orderkey AS text_id, 'price '||max(CASE WHEN rn=1 THEN p END)
-    ||CASE WHEN l_orderkey%4=0 THEN ' or '||max(CASE WHEN rn=2 THEN p END) ELSE '' END AS text
-  FROM (SELECT *, (l_extendedprice::DECIMAL(15,2))::VARCHAR AS p FROM ranked WHERE rn <= 2)
-  GROUP BY l_orderkey HAVING count(*)=2)"""
+  SELECT CASE WHEN l_orderkey%4=0 THEN l_orderkey::VARCHAR ELSE l_orderkey||'-'||rn END AS text_id,
+    'price '||string_agg((l_extendedprice::DECIMAL(15,2))::VARCHAR, ' or ' ORDER BY rn) AS text
+  FROM ranked GROUP BY 1)"""
 
 
 @query("j09_attribute_by_number", f"""WITH {S.CLAIMS}, {_PRICE_TEXTS},
-f AS (SELECT DISTINCT source_id AS ref, unnest({S.numbers("regexp_extract(text,'price.*')",'bare')})
+f AS (SELECT DISTINCT source_id AS ref, unnest({S.numbers('text','bare')})
   AS token FROM src),
 u AS (SELECT token, min(ref) AS ref FROM f GROUP BY token HAVING count(DISTINCT ref)=1),
 t AS (SELECT DISTINCT text_id, unnest({S.numbers('text','bare')}) AS token FROM texts)
@@ -201,17 +196,14 @@ GROUP BY text_id HAVING count(*)=count(ref) AND count(DISTINCT ref)=1""")
 def _(spark, folder):
     lines = B.order_lines(spark, folder)
     price = B.money("l_extendedprice")
-    texts = lines.filter("rn <= 2").groupBy("l_orderkey").agg(
-        F.max(F.when(F.col("rn") == 1, price)).alias("p1"),
-        F.max(F.when(F.col("rn") == 2, price)).alias("p2"),
-    ).filter("p2 IS NOT NULL").select(
-        F.col("l_orderkey").alias("text_id"),
-        F.concat(
-            F.lit("price "), "p1",
-            F.when(F.col("l_orderkey") % 4 == 0, F.concat(F.lit(" or "), "p2")).otherwise(""),
-        ).alias("text"))
+    # one text per line; in every fourth order one text for all its lines
+    order, line = F.col("l_orderkey").cast("string"), F.col("rn").cast("string")
+    texts = lines.groupBy(
+        F.when(F.col("l_orderkey") % 4 == 0, order).otherwise(F.concat_ws("-", order, line)).alias("text_id")
+    ).agg(F.array_sort(F.collect_list(F.struct("rn", price.alias("p")))).alias("rows")).select(
+        "text_id", F.concat(F.lit("price "), F.array_join("rows.p", " or ")).alias("text"))
     facts = B.numeric_sources(spark, folder).select(
-        F.col("source_id").alias("ref"), F.regexp_extract("text", "price.*", 0).alias("raw_text"))
+        F.col("source_id").alias("ref"), F.col("text").alias("raw_text"))
     return audit.attribute_by_number(texts, facts)
 
 
@@ -247,7 +239,7 @@ def _(spark, folder):
 _DECISIONS = """dec AS (
   SELECT a.source_id AS asset, 1 AS seq, CASE WHEN a.source_id%10=0 THEN 'wrong' ELSE d.source END
       AS source_ref, a.value AS content_value, a.treatment AS decision,
-    substr(a.rationale, 1, (a.source_id%12)::INT) AS rationale
+    CASE WHEN a.source_id%12=0 THEN '' WHEN a.source_id%12<4 THEN ' fits it ' ELSE a.rationale END AS rationale
   FROM assessments a JOIN documents d ON d.doc_id = a.source_id JOIN labels l USING (doc_id)),
 twice AS (SELECT * FROM dec UNION ALL SELECT asset, 2, source_ref, content_value, decision, rationale
   FROM dec WHERE asset%9=0)"""
@@ -278,7 +270,8 @@ def _(spark, folder):
         F.when(F.col("source_id") % 10 == 0, "wrong").otherwise(F.col("doc_source"))
         .alias("source_ref"),
         F.col("value").alias("content_value"), F.col("treatment").alias("decision"),
-        F.substr("rationale", F.lit(1), (F.col("source_id") % 12).cast("int")).alias("rationale"))
+        F.when(F.col("source_id") % 12 == 0, "").when(F.col("source_id") % 12 < 4, " fits it ")
+        .otherwise(F.col("rationale")).alias("rationale"))
     again = once.filter(F.col("asset") % 9 == 0).withColumn("seq", F.lit(2))
     expected = docs.filter(F.col("source_id") % 3 != 0).select(
         F.col("source_id").alias("asset"), F.col("doc_source").alias("source_ref"))
@@ -690,22 +683,19 @@ def _(spark, folder):
     return rules.assessment_rules(B.assessments(spark, folder))
 
 
-_WORD = "lower(regexp_extract(text, '[A-Za-z]+'))"
-
-
 @query("q11_topic_coverage", f"""
 SELECT {S.issue("'topic-not-evidenced'", 'conv_id', 'topic')} FROM (
-  SELECT DISTINCT conv_id, {_WORD} AS topic FROM conversations WHERE role='user'
+  SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS topic FROM conversations
+    WHERE role='user'
   EXCEPT SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM conversations
     WHERE role='assistant')""")
 def _(spark, folder):
     turns = B.table(spark, folder, "conversations")
-    answers = turns.filter("role = 'user'").select(
-        "conv_id", F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("topic"))
     words = F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))))
+    topics = turns.filter("role = 'user'").select("conv_id", words.alias("topic")).distinct()
     evidence = turns.filter("role = 'assistant'").select("conv_id", words.alias("topic"))
-    return rules.topic_coverage(answers, evidence)
+    return rules.topic_coverage(topics, evidence)
 
 
 _N05 = """j AS (SELECT event_id, json_extract_string(props,'$.k') AS k,

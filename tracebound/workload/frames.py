@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracebound.functions.text import text_lines
@@ -51,7 +51,7 @@ def typed_units(spark, folder) -> DataFrame:
                 F.concat(F.lit("assets/"), F.col("doc_id"), F.lit("-"), F.col("ord"),
                          F.lit(".png")),
             ).alias("asset_path"),
-            F.when(F.col("type") == "image", F.substring(line, 1, 20)).alias("alt"),
+            F.when(F.col("type") == "image", line).alias("alt"),
             F.when(no_text, F.col("lang")).alias("caption"),
             (F.length(line) < 15).alias("fallback"),
         )
@@ -120,29 +120,28 @@ def numeric_sources(spark, folder) -> DataFrame:
 
 
 def numeric_claims(spark, folder) -> DataFrame:
-    """B3 claims: ``claim_id, text``."""
-    first_two = order_lines(spark, folder).filter("rn <= 2").groupBy("l_orderkey").agg(
-        F.max(F.when(F.col("rn") == 1, money("l_quantity"))).alias("q1"),
-        F.max(F.when(F.col("rn") == 2, money("l_quantity"))).alias("q2"),
-    )
-    return first_two.filter("q2 IS NOT NULL").select(
+    """B3 claims: ``claim_id, text`` with the quantities of all lines of an order."""
+    lines = order_lines(spark, folder).groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("rn", money("l_quantity").alias("q")))).alias("rows"))
+    return lines.select(
         F.col("l_orderkey").alias("claim_id"),
         F.concat(
             F.when(F.col("l_orderkey") % 3 != 0, "about ").otherwise(""),
-            F.col("q1"), F.lit(" and "), F.col("q2"),
+            F.array_join("rows.q", " and "),
         ).alias("text"),
     )
 
 
+def cited_lines() -> Column:
+    """B3 citations of a claim: all lines, but not the second where the order number divides by 5."""
+    lines = F.sequence(F.lit(1), F.size(F.split("text", " and ")))
+    cited = F.filter(lines, lambda n: (F.col("claim_id") % 5 != 0) | (n != 2))
+    return F.transform(
+        cited, lambda n: F.concat_ws("-", F.col("claim_id").cast("string"), n.cast("string")))
+
+
 def numeric_refs(claims: DataFrame) -> DataFrame:
-    """B3 citations: both lines, only the first where the order number divides by 5."""
-    cited = F.when(F.col("claim_id") % 5 == 0, F.array(F.lit(1))).otherwise(
-        F.array(F.lit(1), F.lit(2)))
-    return claims.select("claim_id", F.explode(cited).alias("n")).select(
-        "claim_id",
-        F.concat_ws("-", F.col("claim_id").cast("string"), F.col("n").cast("string"))
-        .alias("source_id"),
-    )
+    return claims.select("claim_id", F.explode(cited_lines()).alias("source_id"))
 
 
 def lexical_refs(units: DataFrame) -> DataFrame:
@@ -280,8 +279,9 @@ def assessments(spark, folder) -> DataFrame:
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("source_id"),
         F.concat(F.lit("assets/"), F.col("doc_id")).alias("asset_path"),
-        F.substring("text", 1, 40).alias("description"),
-        F.substr(F.col("text"), F.lit(1), (F.col("doc_id") % 5 + 10).cast("int")).alias("rationale"),
+        # whole texts; short values by condition, so that both sides of the length rules occur
+        F.when(F.col("doc_id") % 7 == 0, "brief").otherwise(F.col("text")).alias("description"),
+        F.when(F.col("doc_id") % 5 == 0, " because ").otherwise(F.col("text")).alias("rationale"),
         F.when(F.col("lang") == "en", "evidence").when(F.col("lang") == "de", "context")
         .when(F.col("lang") == "fr", "decorative").otherwise("unknown").alias("content_role"),
         level(F.coalesce(F.col("toxic"), F.lit(0)) * 2).alias("information_loss"),

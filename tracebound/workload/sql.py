@@ -107,7 +107,7 @@ typed AS (
     (ord%4 = 2 OR (ord%4 = 1 AND contains(text, '.'))) AS has_rows,
     CASE WHEN ord%4 = 0 AND contains(text, ',')
       THEN 'assets/'||doc_id||'-'||ord||'.png' END AS asset_path,
-    CASE WHEN ord%4 = 0 THEN substr(text,1,20) END AS alt,
+    CASE WHEN ord%4 = 0 THEN text END AS alt,
     CASE WHEN ord%4 <> 3 THEN lang END AS caption,
     length(text) < 15 AS fallback
   FROM units)"""
@@ -172,12 +172,11 @@ src AS (
       ||' price '||l_extendedprice::DECIMAL(15,2) AS text FROM ranked),
 claims AS (
   SELECT l_orderkey AS claim_id, CASE WHEN l_orderkey%3 <> 0 THEN 'about ' ELSE '' END
-    ||max(CASE WHEN rn=1 THEN (l_quantity::DECIMAL(15,2))::VARCHAR END)||' and '
-    ||max(CASE WHEN rn=2 THEN (l_quantity::DECIMAL(15,2))::VARCHAR END) AS text
-  FROM ranked WHERE rn <= 2 GROUP BY l_orderkey HAVING count(*) = 2),
+    ||string_agg((l_quantity::DECIMAL(15,2))::VARCHAR, ' and ' ORDER BY rn) AS text
+  FROM ranked GROUP BY l_orderkey),
 refs AS (
-  SELECT claim_id, claim_id||'-'||n AS source_id FROM claims, (VALUES (1),(2)) v(n)
-  WHERE n = 1 OR claim_id%5 <> 0)"""
+  SELECT l_orderkey AS claim_id, l_orderkey||'-'||rn AS source_id FROM ranked
+  WHERE rn <> 2 OR l_orderkey%5 <> 0)"""
 
 PARSED_CELL = (
     f"nullif(regexp_extract({trim('cell')}, '{fixed.NUMERIC_CELL}', 1), '')"
@@ -231,8 +230,8 @@ NODES = """nodes AS (
   FROM orders JOIN customer ON o_custkey=c_custkey)"""
 
 ASSESSMENTS = """assessments AS (
-  SELECT doc_id AS source_id, 'assets/'||doc_id AS asset_path, substr(text,1,40) AS description,
-    substr(text,1,10+(doc_id%5)::INT) AS rationale,
+  SELECT doc_id AS source_id, 'assets/'||doc_id AS asset_path, CASE WHEN doc_id%7=0 THEN 'brief' ELSE text END AS description,
+    CASE WHEN doc_id%5=0 THEN ' because ' ELSE text END AS rationale,
     CASE lang WHEN 'en' THEN 'evidence' WHEN 'de' THEN 'context' WHEN 'fr' THEN 'decorative'
       ELSE 'unknown' END AS content_role,
     CASE WHEN coalesce(toxic,0)=1 THEN 'high' ELSE 'low' END AS information_loss,

@@ -138,7 +138,7 @@ def _(spark, folder):
 # --- scalar functions -----------------------------------------------------------
 
 
-_HEADED = """CASE WHEN ord=0 THEN substr(text,1,60)||'报告' WHEN ord%4=1 THEN '二、'||text
+_HEADED = """CASE WHEN ord=0 THEN text||'报告' WHEN ord%4=1 THEN '二、'||text
   WHEN ord%4=2 THEN '（三）'||text ELSE text END"""
 
 
@@ -151,7 +151,7 @@ SELECT doc_id, ord, text, CASE WHEN level IS NULL THEN 'paragraph' ELSE 'heading
   FROM h)""")
 def _(spark, folder):
     text = (
-        F.when(F.col("ord") == 0, F.concat(F.substring("text", 1, 60), F.lit("报告")))
+        F.when(F.col("ord") == 0, F.concat("text", F.lit("报告")))
         .when(F.col("ord") % 4 == 1, F.concat(F.lit("二、"), "text"))
         .when(F.col("ord") % 4 == 2, F.concat(F.lit("（三）"), "text"))
         .otherwise(F.col("text"))
