@@ -53,7 +53,7 @@ def test_running_sum(skewed):
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join(skewed, how):
     few = skewed.filter("k <> 'k3'").groupBy("k").agg(F.max("seq").alias("top"))
-    got = salted_join(skewed, few, ["k"], ["seq"], how, hot_rows=50, salts=8)
+    got = salted_join(skewed, few, ["k"], ["seq"], how, hot_rows=50)
     same(skewed.join(few, "k", how), got)
 
 

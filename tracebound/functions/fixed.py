@@ -134,6 +134,8 @@ UNSAFE_CONTENT_RULES = (
      r"(?i)<(?:script|img|source|video|audio|link)\b[^>]*\b(?:src|href|poster)\s*=\s*[\"']https?://"),
     ("literal-color", r"(?i)(?:#[0-9a-f]{3,8}\b|\brgba?\s*\(|\bhsla?\s*\()"),
 )
+#: Rules that only hold for one kind of file.
+UNSAFE_CONTENT_KINDS = {"remote-css": "css", "remote-resource": "html", "literal-color": "css"}
 EXTERNAL_ATTR = r"(?i)(?:src|href)\s*=\s*[\"'](https?://[^\"']+)"
 EXTERNAL_CSS_URL = r"(?i)url\(\s*[\"']?(https?://[^)'\"\s]+)"
 

@@ -422,9 +422,13 @@ def inherited_judgments(current: DataFrame, previous: DataFrame,
     return issue_rows(rows, F.col("code"), "source_id")
 
 
-def all_rows_flags(assessments: DataFrame) -> DataFrame:
-    """A-24: warn when every row is low value, or every row is omitted or decorative."""
-    totals = assessments.agg(
+def all_rows_flags(assessments: DataFrame, group: str | None = None) -> DataFrame:
+    """A-24: warn when every row is low value, or every row is omitted or decorative.
+
+    With ``group`` each group is judged for itself and named in the warning.
+    """
+    rows = assessments.groupBy(group) if group else assessments
+    totals = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("value") == "low").alias("low"),
         F.count_if(
@@ -441,7 +445,7 @@ def all_rows_flags(assessments: DataFrame) -> DataFrame:
             )
         ),
     )
-    return issue_rows(totals, F.col("code"), F.lit("all"), severity="warning")
+    return issue_rows(totals, F.col("code"), group or F.lit("all"), severity="warning")
 
 
 def coverage_division(facets: DataFrame, contents: DataFrame, content_sources: DataFrame,

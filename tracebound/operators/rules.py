@@ -49,10 +49,18 @@ def check_constraints(df: DataFrame, spec: dict[str, dict], subject: str) -> Dat
     return flag_rows(df, flags, subject)
 
 
-def unsafe_content(pages: DataFrame, key: str, text: str,
-                   rules=fixed.UNSAFE_CONTENT_RULES) -> DataFrame:
-    """F-03: one issue per page and matching rule."""
-    return flag_rows(pages, [(code, found(F.col(text), p)) for code, p in rules], key)
+def unsafe_content(files: DataFrame, key: str, text: str, kind: str | None = None,
+                   rules=fixed.UNSAFE_CONTENT_RULES,
+                   kinds: dict[str, str] = fixed.UNSAFE_CONTENT_KINDS) -> DataFrame:
+    """F-03: one issue per file and matching rule.
+
+    ``kind`` names a column with the kind of file; rules in ``kinds`` then only count for theirs.
+    """
+    def test(code: str, pattern: str) -> Column:
+        hit = found(F.col(text), pattern)
+        return hit & (F.col(kind) == kinds[code]) if kind and code in kinds else hit
+
+    return flag_rows(files, [(code, test(code, p)) for code, p in rules], key)
 
 
 def external_resources(pages: DataFrame, key: str, text: str,

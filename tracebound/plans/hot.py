@@ -9,38 +9,29 @@ SALT = "__salt"
 
 
 def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str],
-                how: str = "inner", counts: DataFrame | None = None, hot_keys: int = 200,
-                hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
+                how: str = "inner", counts: DataFrame | None = None,
+                hot_rows: int = 1_000_000) -> DataFrame:
     """Join ``many`` (skewed on ``keys``) with ``few`` (few rows per key).
 
-    Hot keys are the ``hot_keys`` most frequent ones with more than ``hot_rows`` rows: a
-    list of at most ``hot_keys`` entries, small enough to broadcast by construction.
-    ``counts(keys, n)`` gives the frequencies where the caller has them already; otherwise
-    they come from a pre-aggregated count.
-    Rows of hot keys are spread over ``salts`` tasks by a hash of the ``spread`` columns,
-    which gives the same answer when a task is run again; the matching rows of ``few``
-    are repeated once per salt. All other rows carry salt 0.
+    A key with more than ``hot_rows`` rows is spread over ``ceil(n / hot_rows)`` salts by a hash of
+    the ``spread`` columns, which gives the same answer when a task is run again; the
+    matching rows of ``few`` are repeated once per salt. All other rows carry salt 0. However
+    many keys are hot, each is split. ``counts(keys, n)`` gives the frequencies where the
+    caller has them already; otherwise they come from a pre-aggregated count. There is at most
+    one hot key per ``hot_rows`` rows, and Spark broadcasts their list only while it is small.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join {how!r}")
     if counts is None:
         counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = (
-        counts.filter(F.col("n") > hot_rows).orderBy(F.desc("n")).limit(hot_keys)
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
-    spread_hash = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
-    left = many.join(F.broadcast(hot), keys, "left").withColumn(
-        SALT, F.when(F.col("__hot"), spread_hash).otherwise(F.lit(0))
-    )
-    right = few.join(F.broadcast(hot), keys, "left").withColumn(
-        SALT,
-        F.explode(
-            F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-            .otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return left.drop("__hot").join(right.drop("__hot"), [*keys, SALT], how).drop(SALT)
+    hot = counts.filter(F.col("n") > hot_rows).select(
+        *keys, F.ceil(F.col("n") / hot_rows).cast("int").alias("__salts"))
+    salts = F.coalesce("__salts", F.lit(1))
+    spread_hash = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), salts).cast("int")
+    left = many.join(hot, keys, "left").withColumn(SALT, spread_hash)
+    right = few.join(hot, keys, "left").withColumn(
+        SALT, F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.drop("__salts").join(right.drop("__salts"), [*keys, SALT], how).drop(SALT)
 
 
 def fits(df: DataFrame, max_rows: int, size: Column | None = None,

@@ -181,7 +181,7 @@ def _(spark, folder):
 
 
 _PRICE_TEXTS = """texts AS (
-  SELECT CASE WHEN l_orderkey%4=0 THEN l_orderkey::VARCHAR ELSE l_orderkey||'-'||rn END AS text_id,
+  SELECT CASE WHEN l_orderkey%4=0 THEN l_orderkey||'/'||((rn-1)//8) ELSE l_orderkey||'-'||rn END AS text_id,
     'price '||string_agg((l_extendedprice::DECIMAL(15,2))::VARCHAR, ' or ' ORDER BY rn) AS text
   FROM ranked GROUP BY 1)"""
 
@@ -196,10 +196,11 @@ GROUP BY text_id HAVING count(*)=count(ref) AND count(DISTINCT ref)=1""")
 def _(spark, folder):
     lines = B.order_lines(spark, folder)
     price = B.money("l_extendedprice")
-    # one text per line; in every fourth order one text for all its lines
+    # one text per line; in every fourth order one for up to eight of them
     order, line = F.col("l_orderkey").cast("string"), F.col("rn").cast("string")
     texts = lines.groupBy(
-        F.when(F.col("l_orderkey") % 4 == 0, order).otherwise(F.concat_ws("-", order, line)).alias("text_id")
+        F.when(F.col("l_orderkey") % 4 == 0, F.concat_ws("/", order, B.claim_chunk().cast("string")))
+        .otherwise(F.concat_ws("-", order, line)).alias("text_id")
     ).agg(F.array_sort(F.collect_list(F.struct("rn", price.alias("p")))).alias("rows")).select(
         "text_id", F.concat(F.lit("price "), F.array_join("rows.p", " or ")).alias("text"))
     facts = B.numeric_sources(spark, folder).select(
@@ -300,16 +301,26 @@ def _(spark, folder):
     return audit.inherited_judgments(current, previous)
 
 
-@query("a24_all_rows_flags", f"""WITH {S.ASSESSMENTS},
-f AS (SELECT bool_and(low) AS low, bool_and(unused) AS unused FROM (
-  SELECT 'low'='low' AS low, treatment='omit' OR content_role IN ('decorative','context','unknown',
-    'evidence') AS unused FROM assessments))
-SELECT {S.issue("'all-low-value'", "'all'", severity='warning')} FROM f WHERE low
-UNION ALL SELECT {S.issue("'none-used'", "'all'", severity='warning')} FROM f WHERE unused""")
+# One group is all low, one all decorative, one both; the others and the whole are mixed.
+_FLAGGED = f"""{S.ASSESSMENTS},
+f AS (SELECT source_id%7 AS grp, CASE WHEN source_id%7 IN (1,2) THEN 'low' ELSE value END AS value,
+    treatment, CASE WHEN source_id%7 IN (2,3) THEN 'decorative' ELSE content_role END AS content_role
+  FROM assessments),
+g AS (SELECT grp::VARCHAR AS grp, bool_and(value='low') AS low,
+    bool_and(treatment='omit' OR content_role='decorative') AS unused FROM f GROUP BY 1
+  UNION ALL SELECT 'all', bool_and(value='low'), bool_and(treatment='omit' OR content_role='decorative') FROM f)"""
+
+
+@query("a24_all_rows_flags", f"""WITH {_FLAGGED}
+SELECT {S.issue("'all-low-value'", 'grp', severity='warning')} FROM g WHERE low
+UNION ALL SELECT {S.issue("'none-used'", 'grp', severity='warning')} FROM g WHERE unused""")
 def _(spark, folder):
-    rows = B.assessments(spark, folder).withColumns(
-        {"value": F.lit("low"), "content_role": F.lit("decorative")})
-    return audit.all_rows_flags(rows)
+    group = F.col("source_id") % 7
+    rows = B.assessments(spark, folder).withColumns({
+        "grp": group,
+        "value": F.when(group.isin(1, 2), "low").otherwise(F.col("value")),
+        "content_role": F.when(group.isin(2, 3), "decorative").otherwise(F.col("content_role"))})
+    return audit.all_rows_flags(rows, "grp").unionByName(audit.all_rows_flags(rows))
 
 
 # --- coverage ------------------------------------------------------------------------

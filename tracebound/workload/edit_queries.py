@@ -104,12 +104,12 @@ def _(spark, folder):
 
 
 @query("a20_repeated_entities", """
-WITH d AS (SELECT conv_id%40 AS grp, conv_id, count(DISTINCT role) AS labels FROM conversations
+WITH d AS (SELECT conv_id//5 AS grp, conv_id, count(DISTINCT role) AS labels FROM conversations
   GROUP BY 1,2)
 SELECT grp, count(*) AS entities FROM d GROUP BY grp HAVING count(*) >= 4 AND min(labels) >= 2""")
 def _(spark, folder):
     turns = B.table(spark, folder, "conversations").select(
-        (F.col("conv_id") % 40).alias("grp"), "conv_id", F.col("role").alias("label"))
+        F.floor(F.col("conv_id") / 5).alias("grp"), "conv_id", F.col("role").alias("label"))
     return sections.repeated_entities(turns, turns, "grp", "conv_id", min_dimensions=2)
 
 

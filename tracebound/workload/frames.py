@@ -119,25 +119,36 @@ def numeric_sources(spark, folder) -> DataFrame:
     )
 
 
+#: Lines of an order in one claim: a claim stays short however long an order is.
+CLAIM_LINES, CHUNK_STEP = 8, 10**12
+
+
+def claim_chunk() -> Column:
+    return F.floor((F.col("rn") - 1) / CLAIM_LINES)
+
+
 def numeric_claims(spark, folder) -> DataFrame:
-    """B3 claims: ``claim_id, text`` with the quantities of all lines of an order."""
-    lines = order_lines(spark, folder).groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("rn", money("l_quantity").alias("q")))).alias("rows"))
+    """B3 claims: ``claim_id, text`` with the quantities of all lines, eight to a claim."""
+    lines = order_lines(spark, folder).groupBy(
+        (F.col("l_orderkey") + claim_chunk() * CHUNK_STEP).alias("claim_id")
+    ).agg(F.array_sort(F.collect_list(F.struct("rn", money("l_quantity").alias("q")))).alias("rows"))
     return lines.select(
-        F.col("l_orderkey").alias("claim_id"),
+        "claim_id",
         F.concat(
-            F.when(F.col("l_orderkey") % 3 != 0, "about ").otherwise(""),
+            F.when(F.col("claim_id") % 3 != 0, "about ").otherwise(""),
             F.array_join("rows.q", " and "),
         ).alias("text"),
     )
 
 
 def cited_lines() -> Column:
-    """B3 citations of a claim: all lines, but not the second where the order number divides by 5."""
+    """B3 citations of a claim: all its lines, but not the second where its id divides by 5."""
     lines = F.sequence(F.lit(1), F.size(F.split("text", " and ")))
     cited = F.filter(lines, lambda n: (F.col("claim_id") % 5 != 0) | (n != 2))
+    order = F.col("claim_id") % CHUNK_STEP
+    first = F.floor(F.col("claim_id") / CHUNK_STEP) * CLAIM_LINES
     return F.transform(
-        cited, lambda n: F.concat_ws("-", F.col("claim_id").cast("string"), n.cast("string")))
+        cited, lambda n: F.concat_ws("-", order.cast("string"), (first + n).cast("string")))
 
 
 def numeric_refs(claims: DataFrame) -> DataFrame:

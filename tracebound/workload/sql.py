@@ -170,13 +170,14 @@ src AS (
   SELECT l_orderkey||'-'||rn AS source_id,
     CASE WHEN l_linestatus='F' THEN 'about ' ELSE '' END||'qty '||l_quantity::DECIMAL(15,2)
       ||' price '||l_extendedprice::DECIMAL(15,2) AS text FROM ranked),
+parts AS (SELECT *, l_orderkey + ((rn-1)//8)*1000000000000 AS claim_id FROM ranked),
 claims AS (
-  SELECT l_orderkey AS claim_id, CASE WHEN l_orderkey%3 <> 0 THEN 'about ' ELSE '' END
+  SELECT claim_id, CASE WHEN claim_id%3 <> 0 THEN 'about ' ELSE '' END
     ||string_agg((l_quantity::DECIMAL(15,2))::VARCHAR, ' and ' ORDER BY rn) AS text
-  FROM ranked GROUP BY l_orderkey),
+  FROM parts GROUP BY claim_id),
 refs AS (
-  SELECT l_orderkey AS claim_id, l_orderkey||'-'||rn AS source_id FROM ranked
-  WHERE rn <> 2 OR l_orderkey%5 <> 0)"""
+  SELECT claim_id, l_orderkey||'-'||rn AS source_id FROM parts
+  WHERE (rn-1)%8 <> 1 OR claim_id%5 <> 0)"""
 
 PARSED_CELL = (
     f"nullif(regexp_extract({trim('cell')}, '{fixed.NUMERIC_CELL}', 1), '')"
