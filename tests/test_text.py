@@ -121,6 +121,9 @@ def test_resources(one):
 
 def test_timestamps_and_json(one):
     assert one("2024-01-05T10:00:00Z", T.is_timestamp) and not one("yesterday", T.is_timestamp)
+    assert one("2024-02-29", T.is_timestamp) and one("2024-01-05 10:00:00", T.is_timestamp)
+    for bad in ("10:00", "2023-02-29", "2024-13-01", "2024", "Jan 5, 2024", ""):
+        assert not one(bad, T.is_timestamp)
     assert one('{"a":[1]}', T.is_json) and not one("{a", T.is_json)
 
 

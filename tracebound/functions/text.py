@@ -282,7 +282,10 @@ def comparable_value(value: Column, unit: Column, calendar=fixed.CALENDAR_UNITS)
 
 
 def is_timestamp(value: Column) -> Column:
-    return F.try_to_timestamp(value).isNotNull()
+    """An ISO date, or date and time with an optional offset, that exists."""
+    form = (r"^\d{4}-\d{2}-\d{2}"
+            r"([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
+    return value.rlike(form) & F.try_to_timestamp(value).isNotNull()
 
 
 def is_json(value: Column) -> Column:

@@ -205,8 +205,11 @@ def derived_without_formula(pages: DataFrame, key: str, html: str,
 def charts_without_data(charts: DataFrame, payloads: DataFrame) -> DataFrame:
     """Q-05: charts need a source, a payload and valid JSON.
 
-    ``charts(chart_id, source_ref)``, ``payloads(chart_id, json)``.
+    ``charts(chart_id, source_ref)``, ``payloads(chart_id, json)``; of several payloads of a
+    chart only the first counts, where a column ``pos`` gives their order.
     """
+    if "pos" in payloads.columns:
+        payloads = payloads.groupBy("chart_id").agg(F.min_by("json", "pos").alias("json"))
     rows = charts.join(
         payloads.withColumn("__present", F.lit(True)), "chart_id", "left"
     )
@@ -234,9 +237,11 @@ def page_charts(pages: DataFrame, key: str, html: str) -> tuple[DataFrame, DataF
         .alias("chart_id"),
         extract("t", attribute_pattern("data-source-ref"), 1).alias("source_ref"),
     )
-    payloads = pages.select(key, F.explode(matches(F.col(html), payload)).alias("s")).select(
+    payloads = pages.select(
+        key, F.posexplode(matches(F.col(html), payload)).alias("pos", "s")
+    ).select(
         F.concat_ws("/", key, extract("s", payload, 1)).alias("chart_id"),
-        extract("s", payload, 2).alias("json"),
+        extract("s", payload, 2).alias("json"), "pos",
     )
     return charts, payloads
 

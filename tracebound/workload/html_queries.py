@@ -260,6 +260,11 @@ def _(spark, folder):
     return rules.derived_without_formula(pages, "page_id", "html")
 
 
+def _payload(json: str) -> str:
+    return f'<script data-chart-data-for="c1">{json}</script>'
+
+
+# Of two payloads the first counts.
 @query("q05_charts_without_data", f"""
 SELECT {S.issue("'source-missing'", "page_id||'/c1'")} FROM pages WHERE page_id%5=0
 UNION ALL SELECT {S.issue("'payload-missing'", "page_id||'/c1'")} FROM pages WHERE page_id%3=2
@@ -267,8 +272,8 @@ UNION ALL SELECT {S.issue("'payload-invalid'", "page_id||'/c1'")} FROM pages WHE
 def _(spark, folder):
     source = F.when(F.col("page_id") % 5 != 0, ' data-source-ref="s"').otherwise("")
     payload = (
-        F.when(F.col("page_id") % 3 == 0, '<script data-chart-data-for="c1">{"a":[1]}</script>')
-        .when(F.col("page_id") % 3 == 1, '<script data-chart-data-for="c1">{"a":[1</script>')
+        F.when(F.col("page_id") % 3 == 0, _payload('{"a":[1]}') + _payload('{"a":[1'))
+        .when(F.col("page_id") % 3 == 1, _payload('{"a":[1') + _payload("[]"))
         .otherwise(""))
     chart = F.concat(payload, F.lit('<div data-chart-id="c1"'), source, F.lit(">"))
     pages = B.table(spark, folder, "pages").select(
