@@ -22,10 +22,10 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 MAGIC = b"CMR1"
 #: Hash slots per block of the order-1 and order-2 predictions, and rows of the last hex digit.
-SLOTS, ROWS = 2048, 512
+SLOTS, ROWS = 1024, 256
 #: Weight of one observation, and the totals at which frequencies are halved.
 GAIN, MOST = np.float32(16), np.float32(8000)
 U = np.uint64
@@ -48,8 +48,8 @@ class Model:
 
     def predict(self, n: int, last: np.ndarray, before: np.ndarray):
         h1 = last * 0x9E3779B1 & 0xFFFFFFFF
-        self.i1 = self.slot[:n] + (h1 >> 21)
-        self.i2 = self.slot[:n] + (((h1 ^ before) * 0x85EBCA6B & 0xFFFFFFFF) >> 21)
+        self.i1 = self.slot[:n] + (h1 >> 22)
+        self.i2 = self.slot[:n] + (((h1 ^ before) * 0x85EBCA6B & 0xFFFFFFFF) >> 22)
         self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
         self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
         self.row = (self.mix_row[:n] + ((self.e2 & 7) << 3) + (self.e1 & 7)
@@ -85,15 +85,15 @@ class Model:
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A chunk that holds ``ids``."""
-    ids = np.ascontiguousarray(ids, np.int64)
+    ids = np.ascontiguousarray(ids, np.int32)
     n = -(-len(ids) // block)
-    padded = np.zeros(n * block, np.int64)
+    padded = np.zeros(n * block, np.int32)
     padded[:len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(n, block).T)
     tail = len(ids) - (n - 1) * block if n else 0
     model = Model(n)
     low, span = np.zeros(n, U), np.full(n, 1 << 48, U)
-    out, filled = np.zeros((n, block), U), np.zeros(n, np.int64)
+    out, filled = np.zeros((n, block // 2 + 8), U), np.zeros(n, np.int64)
 
     def put(lanes, start, freq, total):
         nonlocal out
@@ -116,7 +116,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     every = np.arange(n)
     for t in range(block if n > 1 else tail):
         live = n if t < tail else n - 1
-        x = steps[t][:live]
+        x = steps[t][:live].astype(np.int64)
         w = model.predict(live, last[:live], before[:live])
         kind = np.where(x == model.c2, 0, np.where(x == model.c1, 1, 2))
         freq = w[every[:live], kind]
@@ -162,7 +162,7 @@ def decode(chunk: bytes) -> np.ndarray:
     block, n = np.frombuffer(chunk, "<u4", 2, 4).tolist()
     sizes, lengths, sums_read = np.frombuffer(chunk, "<u4", 3 * n, 12).reshape(3, n)
     if not n:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     body = np.frombuffer(chunk, np.uint8, offset=12 + 12 * n).reshape(-1, 3)
     digits = (body[:, 0].astype(U) | body[:, 1].astype(U) << U(8) | body[:, 2].astype(U) << U(16))
     digits = np.concatenate([digits, np.zeros(4, U)])
@@ -170,7 +170,7 @@ def decode(chunk: bytes) -> np.ndarray:
     code, span = digits[at] << DIGIT | digits[at + 1], np.full(n, 1 << 48, U)
     at = at + 2
     model = Model(n)
-    steps = np.zeros((block, n), np.int64)
+    steps = np.zeros((block, n), np.int32)
     tail, every = int(sizes[-1]), np.arange(n)
 
     def taken(lanes, unit, start, freq):

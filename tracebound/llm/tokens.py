@@ -25,9 +25,11 @@ from tracebound.llm.idcoder import decode, encode
 
 END_ID = 2
 #: Ids in one chunk, unless a single document has more.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 #: Distinct words whose ids a task remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 80_000
+#: Bytes of text that are tokenized together.
+PIECE = 2 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -115,7 +117,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, key: str
             ], names=["part", "before", "n", "keys", "lengths", "ids"])
             return row
 
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, limit=PIECE):
             found = words(texts)
             at = 0
             for k, ids in enumerate(found):
