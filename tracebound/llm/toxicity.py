@@ -26,7 +26,7 @@ BUCKETS, DIMENSIONS, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 #: Code points of the word openings that have an embedding of their own.
 OPENINGS = (3, 4, 5, 6, 7, 8)
 #: Bounds of the training sample, by hash order of the key: rows per class, and words in all.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_WORDS = 2500, 5000, 4_000_000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_WORDS = 1500, 2500, 2_000_000
 STEPS, BATCH, RATE = 1600, 32, 0.03
 #: Shares of words whose own embedding, or all of them, are hidden in a training step.
 HIDE_WORD, HIDE_ALL = 0.85, 0.15
@@ -129,7 +129,7 @@ def train(examples: list[tuple[np.ndarray, int]], seed: int = SEED) -> Network:
             rate = RATE * max(0.02, 1 - step / STEPS)
             texts = [examples[k][0] for k in batch]
             offsets = np.cumsum([0, *map(len, texts)])
-            rows = np.concatenate([*texts, np.zeros((1, 1 + len(OPENINGS)), np.int64)])
+            rows = np.concatenate([*texts, np.zeros((1, 1 + len(OPENINGS)), np.int32)])
             rows[rng.random(len(rows)) < HIDE_WORD, 0] = 0
             rows[rng.random(len(rows)) < HIDE_ALL] = 0
             vectors = net.table[rows].sum(axis=1)
@@ -201,7 +201,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Network
     )
     taken, words = [], 0
     for r in sample.orderBy("h", "rows").limit(TOXIC_ROWS + CLEAN_ROWS).toLocalIterator():
-        rows = np.frombuffer(bytes(r.rows), np.int32).reshape(-1, 1 + len(OPENINGS)).astype(np.int64)
+        rows = np.frombuffer(bytes(r.rows), np.int32).reshape(-1, 1 + len(OPENINGS))
         if words + len(rows) <= TRAIN_WORDS:
             taken.append((rows, int(r.toxic > 0)))
             words += len(rows)
