@@ -54,12 +54,13 @@ class Model:
         self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
         self.row = (self.mix_row[:n] + ((self.e2 & 7) << 3) + (self.e1 & 7)
                     + ((self.c1 == self.c2) << 6))
+        self.cell = self.row * 4
         return self.mix.take(self.row, axis=0)
 
     def learn(self, ids: np.ndarray, kind: np.ndarray, weights: np.ndarray):
-        flat = self.row * 4 + kind
         mix = self.mix.reshape(-1)
-        mix[flat] += GAIN
+        cell = self.cell + kind
+        mix[cell] = mix.take(cell) + GAIN
         full = np.flatnonzero(weights[:, 0] + weights[:, 1] + weights[:, 2] > MOST)
         if len(full):
             self.mix[self.row[full]] = np.floor(self.mix[self.row[full]] / 2) + (1, 1, 1, 0)
@@ -114,24 +115,26 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     last = np.zeros(n, np.int64)
     before = np.zeros(n, np.int64)
     every = np.arange(n)
+    four, sixteen = 4 * every, 16 * every
     for t in range(block if n > 1 else tail):
         live = n if t < tail else n - 1
         x = steps[t][:live].astype(np.int64)
         w = model.predict(live, last[:live], before[:live])
         kind = np.where(x == model.c2, 0, np.where(x == model.c1, 1, 2))
-        freq = w[every[:live], kind]
+        freq = w.reshape(-1).take(four[:live] + kind)
         start = np.where(kind == 0, 0, np.where(kind == 1, w[:, 0], w[:, 0] + w[:, 1]))
         put(slice(0, live), start, freq, w[:, 0] + w[:, 1] + w[:, 2])
         lanes = np.flatnonzero(kind == 2)
         if len(lanes):
-            values, order = x[lanes], every[:len(lanes)]
+            values, order = x[lanes], sixteen[:len(lanes)]
             for level in range(4):
                 digit = values >> 12 - 4 * level & 15
                 rows = model.digit_rows(level, lanes, values >> 16 - 4 * level)
                 found = model.digits[level].take(rows, axis=0)
                 sums = found @ SUMS
-                freq, total = found[order, digit], sums[:, 15]
-                put(lanes, sums[order, digit] - freq, freq, total)
+                at = order + digit
+                freq, total = found.reshape(-1).take(at), sums[:, 15]
+                put(lanes, sums.reshape(-1).take(at) - freq, freq, total)
                 model.count(level, rows, freq, digit, total)
         model.learn(x, kind, w)
         before[:live], last[:live] = last[:live], x
@@ -172,6 +175,7 @@ def decode(chunk: bytes) -> np.ndarray:
     model = Model(n)
     steps = np.zeros((block, n), np.int32)
     tail, every = int(sizes[-1]), np.arange(n)
+    four, sixteen = 4 * every, 16 * every
 
     def taken(lanes, unit, start, freq):
         new_code, new_span = code[lanes] - unit * start.astype(U), unit * freq.astype(U)
@@ -194,12 +198,12 @@ def decode(chunk: bytes) -> np.ndarray:
         unit = span[:live] // total
         value = np.minimum(code[:live] // unit, total - U(1)).astype(np.float32)
         kind = (value >= first).astype(np.int64) + (value >= second)
-        freq = w[every[:live], kind]
+        freq = w.reshape(-1).take(four[:live] + kind)
         taken(slice(0, live), unit, np.where(kind == 0, 0, np.where(kind == 1, first, second)), freq)
         x = np.where(kind == 0, model.c2, model.c1).astype(np.int64)
         lanes = np.flatnonzero(kind == 2)
         if len(lanes):
-            values, order = np.zeros(len(lanes), np.int64), every[:len(lanes)]
+            values, order = np.zeros(len(lanes), np.int64), sixteen[:len(lanes)]
             for level in range(4):
                 rows = model.digit_rows(level, lanes, values)
                 found = model.digits[level].take(rows, axis=0)
@@ -209,8 +213,9 @@ def decode(chunk: bytes) -> np.ndarray:
                 value = np.minimum(code[lanes] // unit, total.astype(U) - U(1)).astype(np.float32)
                 below = (sums <= value[:, None]).view(U)  # 16 flags of one byte
                 digit = (np.bitwise_count(below[:, 0]) + np.bitwise_count(below[:, 1])).astype(np.int64)
-                freq = found[order, digit]
-                taken(lanes, unit, sums[order, digit] - freq, freq)
+                at_digit = order + digit
+                freq = found.reshape(-1).take(at_digit)
+                taken(lanes, unit, sums.reshape(-1).take(at_digit) - freq, freq)
                 model.count(level, rows, freq, digit, total)
                 values = values << 4 | digit
             x[lanes] = values

@@ -10,6 +10,7 @@ independently.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ END_ID = 2
 #: Ids in one chunk, unless a single document has more.
 CHUNK = 1_500_000
 #: Distinct words whose ids a task remembers; then it starts anew.
-REMEMBERED = 80_000
+REMEMBERED = 250_000
 #: Bytes of text that are tokenized together.
 PIECE = 2 << 20
 
@@ -42,11 +43,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where a word ends in a letter or digit and punctuation other than apostrophes follows up to
+#: the next blank. The tokenizer cuts there too, so "word," needs no ids besides "word" and ",".
+TAIL = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~]+(?:[\x20\x09-\x0D]|\Z))")
+
+
 class WordTokens:
     """Ids of texts whose tokens never cross ASCII blanks, through one lookup per word.
 
     Words are compared after ASCII lower-casing, which a lower-casing tokenizer does itself;
-    words with ``<|`` are kept as they are, since special tokens are matched before it.
+    texts with ``<|`` are kept as they are, since special tokens are matched before it.
     """
 
     def __init__(self, definition: str, lower: bool):
@@ -64,7 +70,9 @@ class WordTokens:
             self.forget()
         number, parts = self.index.__getitem__, []
         for text in texts:
-            words = (text.lower() if self.lower and b"<|" not in text else text).split()
+            if b"<|" not in text:
+                text = TAIL.sub(b" ", text.lower() if self.lower else text)
+            words = text.split()
             parts.append(np.fromiter(map(number, words), np.int64, len(words)))
         self.learn()
         return [self.joined(p) for p in parts]
