@@ -60,6 +60,33 @@ def test_copies_of_an_article_stay(spark):
     assert all(got[r[0]] == r[3] for r in rows)
 
 
+def article(rng, host, k):
+    parts = [words(rng, 20) for _ in range(10)]
+    title = words(rng, 4)
+    body = f"<html><body><div class=q2><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in parts)
+    return f"http://{host}/{k}", body, " ".join([title, *parts])
+
+
+@pytest.mark.parametrize("share", [0.6, 1.0])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_copies_add_no_weight(spark, share, repeated):
+    rng, n = random.Random(2), 300
+    copy = article(rng, "h.example.com", "copy")
+    rows = [(k, copy[0] + ("" if repeated else f"?{k}"), *copy[1:]) if k < share * n
+            else (k, *article(rng, "h.example.com", k)) for k in range(n)]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in S.extract(df).collect()}
+    assert all(got[r[0]] == r[3] for r in rows)
+
+
+def test_copies_on_many_hosts_add_no_weight(spark):
+    rng = random.Random(4)
+    _, page, text = article(rng, "", 0)
+    df = spark.createDataFrame(
+        [(k, f"http://h{k}.example.com/", page) for k in range(60)], "page_id long, url string, html string")
+    assert {r.text for r in S.extract(df).collect()} == {text}
+
+
 def test_presentation_nodes_and_odd_markup():
     def text(page):
         return " ".join(t for _, t in S.blocks(page))

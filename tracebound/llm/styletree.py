@@ -8,8 +8,8 @@ to page come out near zero, articles near one. A host with few pages leans on th
 hosts. Elements that say by their tag or class what they are (navigation, forms, comments, ...) are
 presentation nodes of no importance in every tree. Branches below THRESHOLD are cut from each page.
 
-The tree is two aggregations over (host, path, text hash) counts, so a host with a third of all pages
-is spread like any other; only nodes to cut go back to the pages.
+The tree is a distinct over page bodies and two aggregations over (host, path, text hash), so a host
+with a third of all pages is spread like any other; only nodes to cut go back to the pages.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -53,6 +54,8 @@ CUES = frozenset(
 #: Elements that end when another of the same group begins inside the same parent.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}}
+#: One block of a page in the tree.
+NODE = pa.struct([("path", pa.int64()), ("text", pa.int64())])
 SCOPES = frozenset("ul ol dl table tbody thead tfoot section article div body main nav".split())
 
 
@@ -131,27 +134,40 @@ def number(text: str) -> int:
 
 
 def page_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, text, pages) counts of one piece, every text of a node once per page."""
+    """(host, body, nodes) of every different page of one piece.
+
+    ``body`` is a digest of the blocks in order; ``nodes`` holds (path, text) once per page.
+    """
     for batch, texts in pieces(batches, "html"):
-        counts: dict[tuple, int] = {}
+        found: dict[tuple, list] = {}
         for url, raw in zip(batch.column("url").to_pylist(), texts):
-            host = host_of(url)
-            for path, text in {(number(p), number(t)) for p, t in blocks(raw.decode(errors="replace"))}:
-                key = host, path, text
-                counts[key] = counts.get(key, 0) + 1
-        columns = list(zip(*counts)) or [()] * 3
+            page = [(number(p), number(t)) for p, t in blocks(raw.decode(errors="replace"))]
+            if page:
+                found.setdefault((host_of(url), xxhash.xxh3_128_digest(np.array(page, np.int64).tobytes())), page)
+        nodes = [[{"path": p, "text": t} for p, t in dict.fromkeys(page)] for page in found.values()]
         yield pa.record_batch(
-            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-             pa.array(list(counts.values()), pa.int64())], names=["host", "path", "text", "n"])
+            [pa.array([h for h, _ in found], pa.string()), pa.array([d for _, d in found], pa.binary()),
+             pa.array(nodes, pa.list_(NODE))], names=["host", "body", "nodes"])
+
+
+def counted(bodies: DataFrame, *keys: str) -> DataFrame:
+    """In how many rows of ``bodies`` each text of a node stands."""
+    return bodies.select(*keys, F.inline("nodes")).groupBy(*keys, "path", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every style node of ``pages(url, html)``."""
-    texts = cut(
-        pages.select("url", "html").mapInArrow(page_nodes, "host string, path bigint, text bigint, n bigint")
-        .groupBy("host", "path", "text").agg(F.sum("n").alias("n")))
-    return weighed(texts, ["host", "path"]).join(
-        weighed(texts.groupBy("path", "text").agg(F.sum("n").alias("n")), ["path"])
+    """(host, path, pages, importance) of every style node of ``pages(url, html)``.
+
+    Pages with the same blocks in the same order count once in the tree of a host, and once in the
+    common tree: copies of an article and repeated rows say nothing about a template.
+    """
+    # The nodes follow from the body, so a hot body is one row of each task after the first step.
+    bodies = cut(
+        pages.select("url", "html")
+        .mapInArrow(page_nodes, "host string, body binary, nodes array<struct<path bigint, text bigint>>")
+        .distinct())
+    return weighed(counted(bodies, "host"), ["host", "path"]).join(
+        weighed(counted(bodies.drop("host").distinct()), ["path"])
         .withColumnsRenamed({"texts": "all_texts", "alike": "all_alike"}), "path"
     ).withColumns({
         "own": importance("texts", "alike"), "common": importance("all_texts", "all_alike")
@@ -180,8 +196,8 @@ def main_text(page: str, low: set[int]) -> str:
 def extract(pages: DataFrame, key: str = "page_id", limit: int = BROADCAST_NODES) -> DataFrame:
     """Key, url, text and n_chars (code points) of every row of ``pages(key, url, html)``.
 
-    Null and empty pages give an empty text; a null url belongs to the host ""; repeated rows are pages
-    of their own; other columns are not read; an empty table stays empty.
+    Null and empty pages give an empty text; a null url belongs to the host ""; every repeated row has
+    its text, and together they count once in the trees; other columns are not read; an empty table stays empty.
     """
     low = cut(style_tree(pages).filter(F.col("importance") < THRESHOLD).select("host", "path"))
     kind = pages.schema[key].dataType.simpleString()
