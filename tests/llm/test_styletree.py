@@ -87,6 +87,35 @@ def test_copies_on_many_hosts_add_no_weight(spark):
     assert {r.text for r in S.extract(df).collect()} == {text}
 
 
+@pytest.mark.parametrize("old, new", [
+    ("<body>", '<body class="single-post no-ads">'), ("<div class='q2 z'>", "<div class='post has-sidebar'>"),
+    ("<div class='q2 z'>", "<article class='comments-open'>"), ("<div class='q2 z'>", "<form><div class=z>"),
+    ("<body>", "<body><form id=search role=form>")])
+def test_hints_do_not_empty_an_article(spark, old, new):
+    rows = [(i, u, p.replace(old, new), t) for i, u, p, t in site()]
+    assert all(new in p for _, _, p, _ in rows)
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in S.extract(df).collect()}
+    assert all(got[r[0]] == r[3] for r in rows)
+
+
+def test_hints_beside_an_article_count(spark):
+    rng, rows = random.Random(8), site()
+    pages = [(i, u, p.replace("<div class=q3>", f"<div id=comments><div class=x><p>{words(rng, 15)}</div></div><div class=q3>"))
+             for i, u, p, _ in rows]
+    copy = pages[0][2].replace("</body>", "<div class=ad>{}</div></body>")
+    copies = [(100 + k, f"http://a.example.com/c{k}", copy.format(words(rng, 5)), rows[0][3]) for k in range(300)]
+    df = spark.createDataFrame(pages + [r[:3] for r in copies], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in S.extract(df).collect()}
+    assert all(got[r[0]] == r[3] for r in rows + copies)
+
+
+def test_a_short_article_outweighs_its_footer(spark):
+    page = "<nav>far longer than this</nav><article>short</article><footer>also longer than the article</footer>"
+    df = spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")
+    assert [r.text for r in S.extract(df).collect()] == ["short"]
+
+
 def test_presentation_nodes_and_odd_markup():
     def text(page):
         return " ".join(t for _, t in S.blocks(page))

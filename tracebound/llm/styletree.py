@@ -5,8 +5,11 @@ one style node. A node is important when its text differs from page to page. For
 stands on n of a node's m pages the entropy of its pages is log n / log m, and the importance of
 the node is one minus the mean over its texts; menus, notices and adverts that return from page
 to page come out near zero, articles near one. A host with few pages leans on the tree of all
-hosts. Elements that say by their tag or class what they are (navigation, forms, comments, ...) are
-presentation nodes of no importance in every tree. Branches below THRESHOLD are cut from each page.
+hosts. Branches below THRESHOLD are cut from each page.
+
+Elements that hint by their tag or class at what they are (navigation, forms, comments, ...) have nodes
+of their own in the trees. Of what entropy leaves of a page they are cut too, but only while more
+text stands outside them: an element that holds most of it is an article, whatever its name.
 
 The tree is a distinct over page bodies and two aggregations over (host, path, text hash), so a host
 with a third of all pages is spread like any other; only nodes to cut go back to the pages.
@@ -43,9 +46,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
     "span strike strong sub sup time tt u var wbr".split())
-#: Tags whose text is never part of an article.
-OUTSIDE = frozenset("head nav footer aside form button menu dialog title".split())
-#: Words of class, id or role names with the same meaning.
+#: Tags whose text is never part of a page's body text, tags that hint at no article, and tags that no
+#: hint counts for.
+HIDDEN = frozenset("head title button".split())
+OUTSIDE = frozenset("nav footer aside form menu dialog".split())
+CONTENT = frozenset("html body main article".split())
+#: Words of class, id or role names with the meaning of OUTSIDE.
 CUES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent "
     "cookie cookies disclaimer footer form header login masthead menu modal nav navbar navigation "
@@ -54,6 +60,8 @@ CUES = frozenset(
 #: Elements that end when another of the same group begins inside the same parent.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}}
+#: Style paths inside article or main, and how often their characters count against those of others.
+NAMED, NAMED_WEIGHT = re.compile(r"/(?:article|main)(?![a-z0-9:-])"), 10
 #: One block of a page in the tree.
 NODE = pa.struct([("path", pa.int64()), ("text", pa.int64())])
 SCOPES = frozenset("ul ol dl table tbody thead tfoot section article div body main nav".split())
@@ -65,7 +73,7 @@ def host_of(url: str | None) -> str:
 
 
 def node_name(tag: str, attributes: str) -> tuple[str, bool]:
-    """(tag with its classes, whether the element says that it is no article text)."""
+    """(tag with its classes, whether the element hints that it is no article text)."""
     names = []
     cue = tag in OUTSIDE
     for kind, *values in CLASS.findall(attributes) if "=" in attributes else ():
@@ -74,13 +82,18 @@ def node_name(tag: str, attributes: str) -> tuple[str, bool]:
         cue |= not CUES.isdisjoint(words)
         if kind.lower() == "class":
             names += sorted(value.split())
-    return ".".join([tag, *(re.sub(r"\d+", "#", n) for n in names)]), cue
+    return ".".join([tag, *(re.sub(r"\d+", "#", n) for n in names)]), cue and tag not in CONTENT
 
 
 def blocks(page: str) -> Iterator[tuple[str, str]]:
-    """(style path, text) of every block of a page in order; presentation nodes are left out."""
-    stack: list[tuple[str, str, bool]] = []  # tag, path, outside
-    path, outside, held = "", False, []
+    """(style path, text) of every block of a page in order; elements with a hint are left out."""
+    return ((path, text) for path, text, hints in hinted_blocks(page) if not hints)
+
+
+def hinted_blocks(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    """(style path, text, style paths of the elements with a hint around it) of every block in order."""
+    stack: list[tuple[str, str, tuple | None]] = []  # tag, path, hints or None where text is hidden
+    path, hints, held = "", (), []
 
     def block():
         text = " ".join(html.unescape("".join(held)).split())
@@ -91,14 +104,14 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
         tag = m[3]
         if tag is None:
             token = m[0]
-            if not outside and (token[0] != "<" or token == "<"):
+            if hints is not None and (token[0] != "<" or token == "<"):
                 held.append(token)
             continue
         tag = tag.lower()
         if tag in INLINE:
             continue  # a block is read across its inline elements
         if held and (text := block()):
-            yield path, text
+            yield path, text, hints
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -121,11 +134,35 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
             name, cue = node_name(tag, m[4])
             if tag == "header":  # the heading of an article is part of it
                 cue |= not any(x[0] in ("article", "main") for x in stack)
-            before = stack[-1] if stack else ("", "", False)
-            stack.append((tag, f"{before[1]}/{name}", before[2] or cue))
-        _, path, outside = stack[-1] if stack else ("", "", False)
+            _, above, hints = stack[-1] if stack else ("", "", ())
+            path = f"{above}/{name}{'!' * cue}"
+            if tag in HIDDEN or hints is None:
+                hints = None
+            elif cue:
+                hints = (*hints, path)
+            stack.append((tag, path, hints))
+        _, path, hints = stack[-1] if stack else ("", "", ())
     if held and (text := block()):
-        yield path, text
+        yield path, text, hints
+
+
+def main_blocks(found: list[tuple[str, str, tuple[str, ...]]]) -> list[tuple[str, str]]:
+    """(style path, text) of the blocks without those that hints put outside.
+
+    A hint counts for nothing where the elements of its style path hold more characters than stand
+    outside all hints; then the hints inside them are looked at in the same way. Characters of article
+    and main count NAMED_WEIGHT times, so that a short article is not outweighed by its footer.
+    """
+    void: set[str] = set()
+    while True:
+        firsts = [next((h for h in hints if h not in void), None) for _, _, hints in found]
+        chars: dict[str | None, int] = {None: 0}
+        for first, (path, text, _) in zip(firsts, found):
+            chars[first] = chars.get(first, 0) + len(text) * (NAMED_WEIGHT if NAMED.search(path) else 1)
+        more = {h for h, n in chars.items() if n > chars[None]}
+        if not more:
+            return [(path, text) for first, (path, text, _) in zip(firsts, found) if first is None]
+        void |= more
 
 
 def number(text: str) -> int:
@@ -133,20 +170,29 @@ def number(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def numbered(found: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    return [(number(p), number(t)) for p, t in found]
+
+
 def page_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, body, nodes) of every different page of one piece.
 
-    ``body`` is a digest of the blocks in order; ``nodes`` holds (path, text) once per page.
+    ``body`` is a digest of the blocks in order; ``nodes`` holds (path, text) once per page. Nodes
+    inside a hint are a row of their own, with the digest of the whole page, so that the other nodes
+    of a copied article count once, whatever adverts stand around the copies.
     """
     for batch, texts in pieces(batches, "html"):
-        found: dict[tuple, list] = {}
+        rows: dict[tuple, list] = {}
         for url, raw in zip(batch.column("url").to_pylist(), texts):
-            page = [(number(p), number(t)) for p, t in blocks(raw.decode(errors="replace"))]
-            if page:
-                found.setdefault((host_of(url), xxhash.xxh3_128_digest(np.array(page, np.int64).tobytes())), page)
-        nodes = [[{"path": p, "text": t} for p, t in dict.fromkeys(page)] for page in found.values()]
+            found, host = list(hinted_blocks(raw.decode(errors="replace"))), host_of(url)
+            for hinted, body in (False, main_blocks(found)), (True, [x[:2] for x in found]):
+                nodes = numbered([(p, t) for p, t, hints in found if bool(hints) == hinted])
+                if nodes:
+                    digest = xxhash.xxh3_128_digest(np.array(numbered(body), np.int64).tobytes())
+                    rows.setdefault((host, digest, hinted), nodes)
+        nodes = [[{"path": p, "text": t} for p, t in dict.fromkeys(x)] for x in rows.values()]
         yield pa.record_batch(
-            [pa.array([h for h, _ in found], pa.string()), pa.array([d for _, d in found], pa.binary()),
+            [pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.binary()),
              pa.array(nodes, pa.list_(NODE))], names=["host", "body", "nodes"])
 
 
@@ -158,7 +204,7 @@ def counted(bodies: DataFrame, *keys: str) -> DataFrame:
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of every style node of ``pages(url, html)``.
 
-    Pages with the same blocks in the same order count once in the tree of a host, and once in the
+    Pages with the same main blocks in the same order count once in the tree of a host, and once in the
     common tree: copies of an article and repeated rows say nothing about a template.
     """
     # The nodes follow from the body, so a hot body is one row of each task after the first step.
@@ -190,7 +236,7 @@ def importance(texts: str, alike: str):
 
 
 def main_text(page: str, low: set[int]) -> str:
-    return " ".join(text for path, text in blocks(page) if number(path) not in low)
+    return " ".join(text for _, text in main_blocks([x for x in hinted_blocks(page) if number(x[0]) not in low]))
 
 
 def extract(pages: DataFrame, key: str = "page_id", limit: int = BROADCAST_NODES) -> DataFrame:
