@@ -64,6 +64,28 @@ def test_forest_rejects_what_labels_call_bad(spark):
     assert sorted(r.doc_id for r in stay.collect()) == sorted(i for i, k in rows if k == "clean")
 
 
+def test_every_rule_statistic_reaches_a_forest(spark):
+    rng = random.Random(8)
+
+    def text(kind):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(9 if kind == "long" else 5)) for _ in range(100)]
+        if kind == "lines":
+            return "\n".join([" ".join(words[:75]), *["z y"] * 9, " ".join(words[75:])])
+        if kind == "signs":
+            words[10] += "#" * 9
+        if kind == "huge":
+            words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(6000)]
+        return " ".join(words)
+
+    for bad in ("lines", "long", "signs", "huge"):
+        rows = [(i, bad if i % 10 == 0 else "clean") for i in range(300)]
+        df = spark.createDataFrame([(i, text(k)) for i, k in rows], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(k == "clean")) for i, k in rows], "doc_id long, quality int")
+        got = Q.quality(df, labels).collect()
+        assert not any(r.base_failed for r in got)
+        assert {r.doc_id for r in got if not r.kept} == {i for i, k in rows if k == bad}, bad
+
+
 def test_isolation_depth():
     rows = np.concatenate([np.random.default_rng(0).normal(size=(500, 2)), [[9.0, 9.0]]])
     score = Q.Forest.grown(rows).score(rows)

@@ -1,9 +1,11 @@
 """Quality rules with an isolation forest over rule statistics (operator 1).
 
 Every text gets a few rule statistics. Two rules reject on their own (too few words, too many
-repeated ones). For the others a forest of random splits is grown on a bounded sample of labelled
-rows: a row that few splits separate from the rest is anomalous. The score above which a row is
-rejected comes from a histogram over all labelled rows, so that clean rows stay.
+repeated ones). For the others forests of random splits are grown on a bounded sample of labelled
+rows, one over each statistic and one over all: a row that few splits separate from the rest is
+anomalous. In the forest over all, the widest statistics hide the others; a row that is odd in one
+statistic alone stands out in that one's forest. The score above which a forest rejects a row comes
+from a histogram over all labelled rows, so that clean rows stay.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ UPPER = bytes(range(65, 91))
 CONTINUED = bytes(range(0x80, 0xC0))
 
 TREES, TREE_ROWS = 100, 256
-#: Labelled rows that the forest may see; a sample by hash of the key.
+#: Labelled rows that the forests may see; a sample by hash of the key.
 SAMPLE_ROWS = TREES * TREE_ROWS
 #: At least this share of the rows labelled good must stay, and of the rejected labelled rows
-#: at least PRECISION must be labelled bad; otherwise the forest rejects nothing.
+#: at least PRECISION must be labelled bad; otherwise a forest rejects nothing. The forests share what may be lost.
 KEEP, PRECISION = 0.999, 0.9
 BINS = 2000
-#: Shares that are about zero in clean texts of any length. Mean lengths and shares of repeats
-#: spread most in short clean texts, which would then be the outliers. The shares count in steps of
-#: STEP: a single shouted word in a clean text lies between the groups, where a forest sees it alone.
-STEP = 0.1
-FEATURES = ("symbols_per_word", "shouted_share", "marks_per_word")
+#: The score of a row that is just rejected.
+LIMIT = 0.5
+#: What the forests see: shares by the number of words, the mean length of a word, and the number of
+#: words as a logarithm.
+FEATURES = ("symbols_per_word", "shouted_share", "marks_per_word", "dup_lines_per_word", "repeat_share",
+            "word_length", "log_words")
+#: The columns of each forest.
+FORESTS = (*([k] for k in range(len(FEATURES))), list(range(len(FEATURES))))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SEED = 7
 
@@ -50,10 +55,6 @@ def triples(ids: np.ndarray, distinct: int) -> np.ndarray:
     return pair * distinct + third
 
 
-def stepped(share: np.ndarray) -> np.ndarray:
-    return np.floor(share / STEP) * STEP
-
-
 def statistics_of(texts: list[bytes]) -> dict[str, np.ndarray]:
     ids, offsets, words = index_words(texts)
     n_words = np.diff(offsets)
@@ -81,10 +82,11 @@ def statistics_of(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols,
         "n_dup_lines": n_dup, "n_repeat_words": n_repeat,
-        "symbols_per_word": stepped(n_symbols / per_word),
-        "shouted_share": stepped(
-            (sum_by_text(shouted[ids], offsets) if words else 0 * n_words) / per_word),
-        "marks_per_word": stepped(count(b"!?") / per_word),
+        "symbols_per_word": n_symbols / per_word,
+        "shouted_share": (sum_by_text(shouted[ids], offsets) if words else 0 * n_words) / per_word,
+        "marks_per_word": count(b"!?") / per_word,
+        "dup_lines_per_word": n_dup / per_word, "repeat_share": n_repeat / per_word,
+        "word_length": word_chars / per_word, "log_words": np.log(per_word),
     }
 
 
@@ -166,33 +168,48 @@ class Forest:
         return 2.0 ** (-depth / len(self.trees) / max(expected_path(self.rows), 1e-9))
 
 
-def scores(stats: DataFrame, forest: Forest) -> DataFrame:
-    """``stats`` with ``base_failed`` and ``score``."""
-    names = stats.columns
-    sent = shared(stats.sparkSession, forest)
+@dataclass
+class Rules:
+    """Grown forests with their columns, and the score from which on each rejects a row."""
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {c: batch.column(c).to_numpy() for c in COUNTS + FEATURES}
-            rows = np.stack([columns[c] for c in FEATURES], axis=1)
-            yield pa.record_batch(
-                [*batch.columns, pa.array(failed(columns)), pa.array(sent().score(rows))],
-                names=[*names, "base_failed", "score"])
+    forests: list
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema)
-    return stats.mapInArrow(judged, schema + ", base_failed boolean, score double")
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        """Between 0 and 1, the highest of all forests; LIMIT is where a row is rejected."""
+        found = [forest.score(rows[:, columns]) * LIMIT / threshold for columns, forest, threshold in self.forests]
+        return np.minimum(np.max(found, axis=0), 1.0) if found else np.zeros(len(rows))
 
 
-@dataclass
-class Rules:
-    """A grown forest and the score from which on a row is rejected."""
+def features_of(columns: dict) -> np.ndarray:
+    return np.stack([columns[c] for c in FEATURES], axis=1).astype(float)
 
-    forest: Forest | None
-    threshold: float
+
+def histogram(labelled: DataFrame, forests: list) -> np.ndarray:
+    """Counts of ``labelled(*FEATURES, quality)`` by forest, quality (0 or 1) and bin of the score."""
+    sent = shared(labelled.sparkSession, forests)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(FORESTS), 2, BINS), np.int64)
+        for batch in batches:
+            good = (batch.column("quality").to_numpy() > 0).astype(int)
+            rows = features_of({c: batch.column(c).to_numpy() for c in FEATURES})
+            for k, (columns, forest) in enumerate(sent()):
+                at = np.minimum((forest.score(rows[:, columns]) * BINS).astype(int), BINS - 1)
+                np.add.at(counts[k], (good, at), 1)
+        used = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(used), pa.array(counts.ravel()[used])], names=["slot", "n"])
+
+    out = np.zeros(len(FORESTS) * 2 * BINS)
+    for slot, n in (
+        labelled.select(*FEATURES, "quality").mapInArrow(binned, "slot bigint, n bigint")
+        .groupBy("slot").agg(F.sum("n")).collect()  # at most one row per forest, quality and bin
+    ):
+        out[slot] = n
+    return out.reshape(len(FORESTS), 2, BINS)
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, key: str = "doc_id") -> Rules:
-    """Grow the forest on at most SAMPLE_ROWS labelled rows and calibrate it on all of them.
+    """Grow the forests on at most SAMPLE_ROWS labelled rows and calibrate them on all of them.
 
     ``labels(key, quality)``: 1 is good, 0 is bad; null labels are no labels, and a key with both
     counts as bad. Without labels of both kinds nothing is rejected beyond the base rules.
@@ -206,26 +223,19 @@ def fit_rules(stats: DataFrame, labels: DataFrame, key: str = "doc_id") -> Rules
         .select(*FEATURES).toPandas().to_numpy(float)
     )
     if len(sample) < 2:
-        return Rules(None, 1.0)
-    forest = Forest.grown(sample)
-    bins = np.zeros((2, BINS))
-    for r in (
-        scores(joined, forest)
-        .groupBy((F.col("quality") > 0).cast("int").alias("q"),
-                 F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"))
-        .count().collect()  # at most 2 * BINS rows
-    ):
-        bins[r.q, r.bin] = r["count"]
-    return Rules(forest, calibrated(bins[1], bins[0]))
+        return Rules([])
+    grown = [(columns, Forest.grown(sample[:, columns])) for columns in FORESTS]
+    limits = [calibrated(good, bad, 1 / len(FORESTS)) for bad, good in histogram(joined, grown)]
+    return Rules([(*x, limit) for x, limit in zip(grown, limits) if limit < 1])
 
 
-def calibrated(good: np.ndarray, bad: np.ndarray) -> float:
-    """The score from which on rejection loses few good rows; 1 if there is none.
+def calibrated(good: np.ndarray, bad: np.ndarray, share: float = 1.0) -> float:
+    """The score from which on rejection loses few good rows, ``share`` of those that may be lost; 1 if there is none.
 
     Of all bins with the same outcome as the lowest one allowed, the middle one is taken.
     """
     lost, caught = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1]
-    allowed = (lost <= (1 - KEEP) * good.sum()) & (caught >= PRECISION * (lost + caught)) & (caught > 0)
+    allowed = (lost <= share * (1 - KEEP) * good.sum()) & (caught >= PRECISION * (lost + caught)) & (caught > 0)
     if not allowed.any():
         return 1.0
     first = int(np.argmax(allowed))
@@ -235,11 +245,19 @@ def calibrated(good: np.ndarray, bad: np.ndarray) -> float:
 
 def verdicts(stats: DataFrame, rules: Rules) -> DataFrame:
     """``stats`` with base_failed, score and kept."""
-    judged = scores(stats, rules.forest or Forest([], 0)) if rules.forest else stats.withColumns({
-        "base_failed": (F.col("n_words") < MIN_WORDS)
-        | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-        "score": F.lit(0.0)})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") < rules.threshold))
+    names = stats.columns
+    sent = shared(stats.sparkSession, rules)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy() for c in COUNTS + FEATURES}
+            base, score = failed(columns), sent().score(features_of(columns))
+            yield pa.record_batch(
+                [*batch.columns, pa.array(base), pa.array(score), pa.array(~base & (score < LIMIT))],
+                names=[*names, "base_failed", "score", "kept"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema)
+    return stats.mapInArrow(judged, schema + ", base_failed boolean, score double, kept boolean")
 
 
 def quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -259,11 +277,8 @@ def kept_documents(documents: DataFrame, labels: DataFrame, key: str = "doc_id")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
-            stats, rules = statistics_of(texts), sent()
-            keep = ~failed(stats)
-            if rules.forest:
-                rows = np.stack([stats[c] for c in FEATURES], axis=1).astype(float)
-                keep &= rules.forest.score(rows) < rules.threshold
+            stats = statistics_of(texts)
+            keep = ~failed(stats) & (sent().score(features_of(stats)) < LIMIT)
             yield batch.filter(pa.array(keep))
 
     return documents.mapInArrow(chosen, documents.schema)
