@@ -198,6 +198,15 @@ def test_near_duplicates_against_brute_force(spark, threshold):
     assert got == want
 
 
+def test_members_of_equal_sets(spark):
+    data = [(i, f"t{t}") for i, ts in enumerate(["ab", "ba", "xyz", "ab"]) for t in ts]
+    items = spark.createDataFrame([(i,) for i in range(6)], "item int")
+    got = reuse.set_members(spark.createDataFrame(data, "item int, shingle string"), "item", items).collect()
+    assert sorted((r.item, r.first_item, r.members) for r in got) == [
+        (0, 0, 3), (1, 0, 3), (2, 2, 1), (3, 0, 3), (4, 4, 2), (5, 4, 2)]
+    assert len({r.set_id for r in got}) == 3
+
+
 def test_row_order_does_not_matter(spark):
     lines = [(i, f"line {i % 4}.") for i in range(40)]
     schema = "id int, text string"

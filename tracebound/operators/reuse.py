@@ -198,23 +198,47 @@ def trigrams(seq: DataFrame, key: str, order: str, value: str) -> DataFrame:
     )
 
 
+def shingle_sets(shingles: DataFrame, key: str) -> DataFrame:
+    """The shingle set of every item, as sorted hashes: ``key, hashes``."""
+    return (
+        shingles.select(key, F.xxhash64("shingle").alias("h"))
+        .groupBy(key).agg(F.array_sort(F.collect_set("h")).alias("hashes"))
+    )
+
+
+def set_id() -> Column:
+    return F.sha2(F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","), 256)
+
+
 def structure_sets(shingles: DataFrame, key: str) -> DataFrame:
     """Items with the same shingle set become one row: ``set_id, members, first_item, hashes``.
 
     A corpus made from one template collapses here, before anything is compared.
     """
     return (
-        shingles.select(key, F.xxhash64("shingle").alias("h"))
-        .groupBy(key).agg(F.array_sort(F.collect_set("h")).alias("hashes"))
-        .withColumn(
-            "set_id",
-            F.sha2(F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","), 256),
-        )
+        shingle_sets(shingles, key).withColumn("set_id", set_id())
         .groupBy("set_id", "hashes")
         .agg(F.count(F.lit(1)).alias("members"), F.min(key).alias("first_item"))
     )
 
 
+def set_members(shingles: DataFrame, key: str, items: DataFrame | None = None) -> DataFrame:
+    """J-12: every item with its set: ``key, set_id, first_item, members``.
+
+    ``items(key)`` adds the items that have no shingle; they share the empty set. A set that
+    holds much of the corpus is spread over salts.
+    """
+    rows = shingle_sets(shingles, key)
+    if items is not None:
+        rows = items.select(key).distinct().join(rows, key, "left").withColumn(
+            "hashes", F.coalesce("hashes", F.array().cast("array<bigint>")))
+    rows = cut(rows.select(key, set_id().alias("set_id")))
+    sets = rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("members"), F.min(key).alias("first_item"))
+    counts = sets.select("set_id", F.col("members").alias("n"))
+    return salted_join(rows, sets, ["set_id"], [key], counts=counts).select(
+        key, "set_id", "first_item", "members")
+
+
 def near_duplicates(sets: DataFrame,
                     threshold: float = fixed.NEAR_DUPLICATE_THRESHOLD) -> DataFrame:
     """J-12: pairs of distinct sets with Jaccard similarity above ``threshold``. Exact.

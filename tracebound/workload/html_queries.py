@@ -90,6 +90,16 @@ def _(spark, folder):
     return reuse.near_duplicates(sets).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("j12_members", f"""WITH {_SHINGLES},
+p AS (SELECT page_id, list_sort(list(shingle)) AS s FROM tri GROUP BY page_id),
+a AS (SELECT DISTINCT page_id, coalesce(s, []) AS s FROM pages LEFT JOIN p USING (page_id))
+SELECT page_id, min(page_id) OVER w AS first_item, count(*) OVER w AS members FROM a
+WINDOW w AS (PARTITION BY s)""")
+def _(spark, folder):
+    return reuse.set_members(
+        _shingles(spark, folder), "page_id", B.table(spark, folder, "pages")).drop("set_id")
+
+
 @query("a12_duplicate_structures", f"""WITH {_SHINGLES},
 p AS (SELECT page_id, list_sort(list(shingle)) AS s FROM tri GROUP BY page_id)
 SELECT min(page_id) AS first_item, count(*) AS members FROM p GROUP BY s HAVING count(*) > 1""")
