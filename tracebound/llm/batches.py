@@ -108,3 +108,9 @@ def shared(spark, value) -> Callable[[], object]:
         return loaded[0]
 
     return get
+
+
+def removed_folder(spark, path: str) -> None:
+    """Delete a folder of the shared store that this library has written and read to the end."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

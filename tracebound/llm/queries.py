@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracebound.llm.decontaminate import contamination
+from tracebound.llm.filteraudit import filter_audit
 from tracebound.llm.mixing import mix
 from tracebound.llm.pii import personal_data
 from tracebound.llm.quality import quality
@@ -16,6 +17,7 @@ from tracebound.llm.substrings import without_repeats
 from tracebound.llm.tokencount import Vocabulary, token_counts
 from tracebound.llm.tokens import round_trip
 from tracebound.llm.toxicity import toxicity
+from tracebound.llm.vafile import centroid_clusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +140,86 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_main_text")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
+
+
+def op13_sql(rounds: int = 3) -> str:
+    nearest = """
+n{t} AS (
+  SELECT v.r, v.v, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+  FROM k v, c{t} c),
+a{t} AS (SELECT r, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM n{t} GROUP BY r)"""
+    moved = """
+m{t} AS (
+  SELECT c, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT c, v, unnest(range(1, 65)) AS j FROM a{t}) GROUP BY c, j),
+c{n} AS (
+  SELECT c.c, coalesce(x.v, c.v) AS v FROM c{t} c LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM m{t} GROUP BY c) x USING (c))"""
+    parts = ["""
+k AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (
+  SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, v FROM k ORDER BY h LIMIT 16))"""]
+    for t in range(rounds):
+        parts += [nearest.format(t=t), moved.format(t=t, n=t + 1)]
+    parts.append(nearest.format(t=rounds))
+    return f"""
+WITH {",".join(parts)}
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN k USING (r) JOIN c{rounds} c ON a.c = c.c
+"""
+
+
+@query("op13_centroid_clusters", op13_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters(table(spark, folder, "embeddings"))
+
+
+OP12 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+             max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END AS a,
+    CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 1 ELSE 0 END AS b,
+    CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 1 ELSE 0 END AS c,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 1 ELSE 0 END AS d,
+    CASE WHEN least_id < coalesce(w.doc_id, 9223372036854775807) THEN 1 ELSE 0 END AS e
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS least_id FROM w) w LEFT JOIN l ON w.doc_id = l.doc_id),
+n AS (SELECT part, good, toxic, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(x, bit)),
+o AS (
+  SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+  FROM f p, f q, f r, f s, f t WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31
+    AND len(list_distinct([p.bit, q.bit, r.bit, s.bit, t.bit])) = 5),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::BIGINT AS earlier
+      FROM (SELECT filter_order, bits, unnest(range(1, 6)) AS step FROM o)),
+r AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (bit | earlier) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n * good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM n, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+  CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@query("op12_filter_interaction_audit", OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(spark, f"{folder}/documents.parquet", table(spark, folder, "labels"))
