@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracebound.llm.decontaminate import contamination
 from tracebound.llm.filteraudit import filter_audit
+from tracebound.llm.logbilinear import language_scores
 from tracebound.llm.mixing import mix
 from tracebound.llm.pii import personal_data
 from tracebound.llm.quality import quality
@@ -223,3 +224,8 @@ FROM r
 @query("op12_filter_interaction_audit", OP12)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit(spark, f"{folder}/documents.parquet", table(spark, folder, "labels"))
+
+
+@query("op11_language_scores")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return language_scores(table(spark, folder, "documents"))
