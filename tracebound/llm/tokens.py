@@ -29,8 +29,8 @@ END_ID = 2
 CHUNK = 1_500_000
 #: Distinct words whose ids a task remembers; then it starts anew.
 REMEMBERED = 250_000
-#: Bytes of text that are tokenized together.
-PIECE = 2 << 20
+#: Bytes of text that are tokenized together, and of a row group of the written files.
+PIECE, ROW_GROUP = 2 << 20, 8 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -90,6 +90,20 @@ class WordTokens:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)])
         self.known = len(self.index)
 
+    @classmethod
+    def of_worker(cls, definition: str, lower: bool) -> WordTokens:
+        """The one of this Python worker: what a tokenizer takes of memory is never given back.
+
+        Kept at the module of the library, which outlives the task.
+        """
+        import tokenizers
+
+        name, held = (hash(definition), lower), vars(tokenizers).setdefault("_of_worker", {})
+        if name not in held:
+            held.clear()
+            held[name] = cls(definition, lower)
+        return held[name]
+
     def joined(self, words: np.ndarray) -> np.ndarray:
         first = self.starts[words]
         counts = self.starts[words + 1] - first
@@ -110,7 +124,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, key: str
         definition = spark.sparkContext.broadcast(file.read())  # one vocabulary: a few MB
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(definition.value, lower)
+        words = WordTokens.of_worker(definition.value, lower)
         part, before = TaskContext.get().partitionId(), 0
         keys, held, n = [], [], 0
 
@@ -147,7 +161,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, key: str
         .sortWithinPartitions(F.col(key).asc_nulls_first(), "text")
         .mapInArrow(encoded, "part bigint, before bigint, n bigint, "
                              f"keys array<{kind}>, lengths array<bigint>, ids binary")
-        .write.mode("overwrite").parquet(path)
+        # chunks are large cells: small row groups keep few of them in memory
+        .write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
     )
 
 
