@@ -323,28 +323,28 @@ def exploded_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def repeats(documents: DataFrame, key: str = "doc_id", most: int = PASSAGES,
             limit: int = BROADCAST_ANCHORS) -> DataFrame:
     """``row`` (see ``row_keys``) and the first words of its windows that occur twice or more."""
-    found = cut(passages(documents, key, limit))
-    distinct = found.groupBy("anchor", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.max("words").alias("words"))
-    sizes = distinct.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("different"), F.sum("n").alias("all"))
-    sized = cut(distinct.join(sizes.filter("all > 1"), "anchor"))
-    columns = ["anchor", "digest", "n", "words"]
+    found = passages(documents, key, limit)
+    # words are written once per different passage; the occurrences are found again without them
+    distinct = cut(found.groupBy("anchor", "digest").agg(
+        F.count(F.lit(1)).alias("n"), F.max("words").alias("words")))
+    crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).filter(
+        F.col("different") > most).select("anchor")
     judged = (
-        sized.filter(F.col("different") <= most).select(*columns).repartition("anchor")
-        .sortWithinPartitions("anchor").mapInArrow(judge_anchors, JUDGED)
+        distinct.join(crowded, "anchor", "left_anti").repartition("anchor")
+        .sortWithinPartitions("anchor").select("anchor", "digest", "n", "words").mapInArrow(judge_anchors, JUDGED)
     )
-    hot = sized.filter(F.col("different") > most).select(*columns)
-    if not hot.isEmpty():
+    hot = distinct.join(crowded, "anchor", "left_semi").select("anchor", "digest", "n", "words")
+    if not crowded.isEmpty():
         windows = hot.mapInArrow(
             exploded_windows, "anchor bigint, digest bigint, k int, n bigint, w binary")
         twice = windows.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").select("w")
         judged = judged.unionByName(
             windows.join(twice, "w").groupBy("anchor", "digest").agg(F.collect_set("k").alias("found")))
     return (
+        # a set, since repeated rows share their number
         found.select("row", "first", "anchor", "digest").join(judged, ["anchor", "digest"])
         .select("row", F.transform("found", lambda k: k + F.col("first")).alias("found"))
-        .groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+        .groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"))
     )
 
 
@@ -364,40 +364,54 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", texts: bool = Tru
     input. Null and empty texts have no words; texts below ``WINDOW`` words stay whole; repeated
     rows are copies of each other; other columns are not read; an empty table stays empty.
     """
-    found = repeats(documents, key, most, limit)
+    found = cut(repeats(documents, key, most, limit))
     kind = documents.schema[key].dataType.simpleString()
+    known = None
+    if found.count() <= limit:  # 8 bytes a row with repeats; above it all texts are joined
+        known = shared(documents.sparkSession, np.sort(found.select("row").toArrow().column("row").to_numpy()))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, parts in pieces(batches):
-            yield pa.record_batch([pa.array(row_keys(batch.column(key).to_pylist(), parts)), *batch.columns],
-                                  names=["__row", key, "text"])
+            rows = row_keys(batch.column(key).to_pylist(), parts)
+            own = np.ones(len(rows), bool) if known is None else in_sorted(known(), rows)
+            yield pa.record_batch([pa.array(rows), *batch.columns], names=["__row", key, "text"]).filter(pa.array(own))
+
+    def described(column: pa.Array, parts: list[bytes], lists: list) -> pa.RecordBatch:
+        n, gone, kept = [], [], []
+        for text, starts in zip(parts, lists):
+            count = len(text.split())
+            mask = None
+            if starts:
+                at = np.array(starts, np.int64)
+                mask = covered(at, at + WINDOW, count)
+            n.append(count)
+            gone.append(0 if mask is None else int(mask.sum()))
+            kept.append(kept_text(text, mask))
+        columns = [column, pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                   pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+        if texts:
+            columns.append(pa.array([x.decode() for x in kept], pa.string()))
+        return pa.record_batch(columns, names=[key, "n_words", "n_removed", "kept_sha256", "kept"][:len(columns)])
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, parts in pieces(batches):
-            lists = batch.column("found").to_pylist()
-            n, gone, kept = [], [], []
-            for text, starts in zip(parts, lists):
-                count = len(text.split())
-                mask = None
-                if starts:
-                    at = np.array(starts, np.int64)
-                    mask = covered(at, at + WINDOW, count)
-                n.append(count)
-                gone.append(0 if mask is None else int(mask.sum()))
-                kept.append(kept_text(text, mask))
-            columns = [batch.column(key), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                       pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-            if texts:
-                columns.append(pa.array([x.decode() for x in kept]))
-            yield pa.record_batch(
-                columns, names=[key, "n_words", "n_removed", "kept_sha256", "kept"][:len(columns)])
+            yield described(batch.column(key), parts, batch.column("found").to_pylist())
 
-    return (
-        documents.select(key, "text").mapInArrow(keyed, f"__row bigint, `{key}` {kind}, text string")
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, parts in pieces(batches):
+            own = ~in_sorted(known(), row_keys(batch.column(key).to_pylist(), parts))
+            kept = [t for t, mine in zip(parts, own.tolist()) if mine]
+            yield described(batch.column(key).filter(pa.array(own)), kept, [None] * len(kept))
+
+    schema = f"`{key}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if texts else "")
+    rows = documents.select(key, "text")
+    joined = (
+        rows.mapInArrow(keyed, f"__row bigint, `{key}` {kind}, text string")
         .join(found.withColumnRenamed("row", "__row"), "__row", "left").select(key, "text", "found")
-        .mapInArrow(removed, f"`{key}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string"
-                    + (", kept string" if texts else ""))
+        .mapInArrow(removed, schema)
     )
+    # rows without repeats end where they are read
+    return joined if known is None else joined.unionByName(rows.mapInArrow(untouched, schema))
 
 
 def remove_references(documents: DataFrame, references: DataFrame, key: str = "doc_id",
