@@ -110,7 +110,17 @@ def shared(spark, value) -> Callable[[], object]:
     return get
 
 
+def _store(spark, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_exists(spark, path: str) -> bool:
+    target, store = _store(spark, path)
+    return store.exists(target)
+
+
 def removed_folder(spark, path: str) -> None:
     """Delete a folder of the shared store that this library has written and read to the end."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, store = _store(spark, path)
+    store.delete(target, True)

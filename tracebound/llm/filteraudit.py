@@ -3,7 +3,8 @@
 All files of a table are read as a few available-now micro-batches. Four filters judge a text alone
 (too short, too repetitive, too many capitals, special characters); the fifth rejects a text that
 also stands under a smaller id anywhere in the table, which a batch cannot know. Keyed state holds,
-for every distinct text, the smallest id so far and the rows that have it. A row with a larger id
+for every distinct text, the smallest id so far and the rows that have it; the texts of a bucket of
+digests share a row of state, since a call of Python per text would cost more than all else. A row with a larger id
 counts as a copy at once; a smaller id takes over, and the rows that it displaces are retracted from
 the counter of their mask and counted again as copies.
 
@@ -29,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracebound.llm.batches import pieces, removed_folder
+from tracebound.llm.batches import folder_exists, pieces, removed_folder
 from tracebound.llm.tokens import shared_folder
 from tracebound.plans.lineage import cut
 
 FILTERS = "ABCDE"
 #: Micro-batches over the files of a table.
 BATCHES = 4
+#: Texts that share a row of state, about: their number of buckets follows the rows of the table.
+BUCKET_TEXTS = 128
 #: Stands for a null id: no id is larger.
 NO_ID = 2 ** 63 - 1
 CAPITALS = bytes(range(65, 91))
@@ -98,34 +101,47 @@ def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 COUNTS = "part string, mask int, flags int, n bigint"
+STATE = ("h1 array<bigint>, h2 array<bigint>, masks array<int>, least array<bigint>, "
+         "owner array<int>, parts array<string>, flags array<int>, counts array<bigint>")
 
 
-def least_id(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Counter changes of one text: copies, owners of the smallest id, and retractions."""
-    least, parts, flag_list, counts = state.get if state.exists else (None, [], [], [])
-    owners = Counter(dict(zip(zip(parts, flag_list), counts)))
+def least_ids(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Counter changes of the texts of one bucket: copies, owners of the smallest ids, and retractions.
+
+    State has a text's digest, mask, smallest id and the rows with it, by part and flags.
+    """
+    texts: dict[tuple, list] = {}
+    if state.exists:
+        h1, h2, masks, least, *owned = state.get
+        ordered = [(mask, i, Counter()) for mask, i in zip(masks, least)]
+        for k, p, f, n in zip(*owned):
+            ordered[k][2][p, f] = n
+        texts = {text: list(row) for text, row in zip(zip(h1, h2), ordered)}
     changes: Counter = Counter()
     for frame in frames:
-        rows = zip(*(frame[c].tolist() for c in ("id", "later", "part", "flags", "n")))
-        for i, later, part, flags, n in rows:
-            if later or (least is not None and i > least):
-                changes[part, flags, COPY] += n
+        columns = ("h1", "h2", "mask", "id", "later", "part", "flags", "n")
+        for h1, h2, mask, i, later, p, f, n in zip(*(frame[c].tolist() for c in columns)):
+            held = texts.setdefault((h1, h2), [mask, NO_ID + 1, Counter()])
+            if later or i > held[1]:
+                changes[p, mask | COPY, f] += n
                 continue
-            if least is None or i < least:
-                for (p, f), m in owners.items():
-                    changes[p, f, 0] -= m
-                    changes[p, f, COPY] += m
-                least, owners = i, Counter()
-            owners[part, flags] += n
-            changes[part, flags, 0] += n
-    names = sorted(owners)
-    state.update((least, [p for p, _ in names], [f for _, f in names], [owners[k] for k in names]))
-    mask = int(key[2])
-    out = [(p, mask | copy, f, n) for (p, f, copy), n in changes.items() if n]
+            if i < held[1]:
+                for (old_part, old_flags), m in held[2].items():
+                    changes[old_part, mask, old_flags] -= m
+                    changes[old_part, mask | COPY, old_flags] += m
+                held[1:] = [i, Counter()]
+            held[2][p, f] += n
+            changes[p, mask, f] += n
+    names = list(texts)
+    owned = [(k, p, f, n) for k, name in enumerate(names) for (p, f), n in sorted(texts[name][2].items())]
+    state.update((
+        [h1 for h1, _ in names], [h2 for _, h2 in names], [texts[x][0] for x in names], [texts[x][1] for x in names],
+        *([row[c] for row in owned] for c in range(4))))
+    out = [(p, mask, f, n) for (p, mask, f), n in changes.items() if n]
     yield pd.DataFrame(out, columns=["part", "mask", "flags", "n"])
 
 
-def counted(stream: DataFrame, labels: DataFrame, key: str, part: str) -> DataFrame:
+def counted(stream: DataFrame, labels: DataFrame, key: str, part: str, buckets: int) -> DataFrame:
     """Changes of the counters (part, mask, flags), flags 1: quality, 2: toxic."""
     one = lambda c: F.max(F.coalesce((F.col(c) == 1).cast("int"), F.lit(0)))
     known = cut(
@@ -138,9 +154,16 @@ def counted(stream: DataFrame, labels: DataFrame, key: str, part: str) -> DataFr
         F.when(F.col("id") == NO_ID, F.col("h1")).otherwise(F.col("id")).alias("look"))
     met = rows.join(known, (rows.look == known.label_id) & (rows.has_id == known.known), "left").select(
         "h1", "h2", "mask", "id", "part", F.coalesce("flags", F.lit(0)).alias("flags"), "n")
-    return met.mapInArrow(combined, ROWS).groupBy("h1", "h2", "mask").applyInPandasWithState(
-        least_id, COUNTS, "least bigint, parts array<string>, flags array<int>, counts array<bigint>",
-        "append", "NoTimeout")
+    return met.mapInArrow(combined, ROWS).withColumn("bucket", F.pmod("h1", F.lit(buckets))).groupBy(
+        "bucket").applyInPandasWithState(least_ids, COUNTS, STATE, "append", "NoTimeout")
+
+
+def buckets_of(spark: SparkSession, folder: str, rows: int) -> int:
+    """Buckets of the state: set by the rows at the first start, then by what the folder says."""
+    path = f"{folder}/buckets"
+    if not folder_exists(spark, path):
+        spark.range(max(1, rows // BUCKET_TEXTS), max(1, rows // BUCKET_TEXTS) + 1).write.parquet(path)
+    return spark.read.parquet(path).first().id
 
 
 def counters(spark: SparkSession, path: str, labels: DataFrame, folder: str, key: str = "doc_id",
@@ -162,7 +185,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, folder: str, key
     pattern = f"{path[:-1]}[{path[-1]}]"
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(pattern)
     query = (
-        counted(stream, labels, key, part).writeStream.foreachBatch(add).outputMode("append")
+        counted(stream, labels, key, part, buckets_of(spark, folder, table.count())).writeStream.foreachBatch(add).outputMode("append")
         .option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
     )
     query.awaitTermination()
