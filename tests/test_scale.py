@@ -134,6 +134,25 @@ def test_replay_in_rounds(logs, size):
     assert applied == {p: s for p, s in stacks.items() if s}
 
 
+@pytest.mark.parametrize("size, mix", [
+    (2, "undo undo undo redo patch"), (5, "undo redo redo patch patch"), (7, "undo redo"), (1, "patch undo")])
+def test_replay_composes_pieces(spark, size, mix):
+    """Logs that keep running into both ends, cut into pieces of a few operations."""
+    rng = random.Random(mix)
+    data = [("hot", seq, None, rng.choice(mix.split())) for seq in range(1, 81)]
+    data += [(f"p{i}", seq, None, rng.choice([*mix.split(), None])) for i in range(5) for seq in range(1, 12 * i + 2)]
+    df = spark.createDataFrame(data, "project string, seq bigint, base_revision bigint, op string").repartition(3)
+    got = edits.replay(df, ["project"], round_size=size)
+    columns = ("project", "seq", "op", "effective", "cursor", "length", "revision")
+    rows = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=lambda r: r[:2])
+    assert rows == replay_all(data)[0]
+
+
+def test_replay_has_no_python_in_its_plan(logs):
+    plan = edits.replay(logs[1], ["project"])._jdf.queryExecution().executedPlan().toString()
+    assert not any(name in plan for name in ("Python", "Pandas", "Arrow"))
+
+
 # --- reuse ------------------------------------------------------------------------
 
 

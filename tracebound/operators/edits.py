@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +9,8 @@ from tracebound.functions.text import stable_id
 from tracebound.operators.rules import valid_override
 from tracebound.operators.tree import subtree
 from tracebound.plans.lineage import cut
-from tracebound.plans.ordered import carry_last
+from tracebound.plans.ordered import carry_last, running_sum
+from tracebound.plans.prefix import chunk_starts
 
 # Edits of one project folded inside one row; longer logs are cut into such chunks.
 CHUNK = 256
@@ -66,40 +64,6 @@ def _transfer(entries: Column) -> Column:
     )
 
 
-def _chunk_starts(transfers: DataFrame, key: list[str], chunks: int, initial: int) -> DataFrame:
-    """Revision at the start of every chunk, by a parallel prefix scan over the chunks.
-
-    ``transfers(key, chunk, start, end)``: identity where no row exists. Up the tree,
-    neighbours are composed by a join on (key, chunk, revision); down the tree, the start of
-    a right neighbour is the left one applied to the parent's start. A log of n chunks takes
-    log2(n) rounds, and no key of any join is shared by more than a few rows.
-    """
-    levels = [transfers]
-    while chunks > 1:
-        below = levels[-1]
-        parent = F.floor(F.col("chunk") / 2).cast("bigint")
-        left = below.filter(F.col("chunk") % 2 == 0).select(
-            *key, parent.alias("chunk"), "start", F.col("end").alias("mid"))
-        right = below.filter(F.col("chunk") % 2 == 1).select(
-            *key, parent.alias("chunk"), F.col("start").alias("mid"), "end")
-        both = left.join(right, [*key, "chunk", "mid"], "left").select(
-            *key, "chunk", "start", F.coalesce("end", "mid").alias("end"))
-        only_right = right.withColumnRenamed("mid", "start").join(
-            left.select(*key, "chunk", "start"), [*key, "chunk", "start"], "left_anti"
-        ).select(*key, "chunk", "start", "end")
-        levels.append(cut(both.unionByName(only_right)))
-        chunks = (chunks + 1) // 2
-    starts = levels[0].select(*key).distinct().select(
-        *key, F.lit(0).cast("bigint").alias("chunk"), F.lit(initial).cast("bigint").alias("start")
-    )
-    for below in reversed(levels[:-1]):
-        doubled = starts.select(*key, (F.col("chunk") * 2).alias("chunk"), "start")
-        applied = doubled.join(below, [*key, "chunk", "start"], "left").select(
-            *key, (F.col("chunk") + 1).alias("chunk"), F.coalesce("end", "start").alias("start"))
-        starts = doubled.unionByName(applied)
-    return starts
-
-
 def apply_patches(log: DataFrame, key: list[str], initial: int = 0,
                   chunk: int = CHUNK) -> DataFrame:
     """T-01: per project, an edit is accepted when its base is the current revision.
@@ -115,16 +79,17 @@ def apply_patches(log: DataFrame, key: list[str], initial: int = 0,
     chunks = log.groupBy(*key, chunk_no.alias("chunk")).agg(
         F.array_sort(F.collect_list(entry)).alias("entries")
     )
-    last = log.agg(F.max(chunk_no)).first()[0] or 0
-    if last == 0:
+    if not log.agg(F.max(chunk_no)).first()[0]:
         placed = chunks.withColumn("start", F.lit(initial).cast("bigint"))
     else:
         long_logs = chunks.filter(F.col("chunk") > 0).select(*key).distinct()
-        transfers = cut(
+        maps = cut(
             chunks.join(long_logs, key, "left_semi")
-            .select(*key, "chunk", F.explode(_transfer(F.col("entries"))).alias("start", "end"))
+            .select(*key, "chunk", _transfer(F.col("entries")).alias("map"))
         )
-        starts = _chunk_starts(transfers, key, last + 1, initial)
+        starts = chunk_starts(
+            maps.select(*key, "chunk", F.explode("map").alias("start", "end")),
+            maps.select(*key, "chunk", F.lit(0).cast("bigint").alias("shift")), key, initial)
         placed = chunks.join(starts, [*key, "chunk"], "left").withColumn(
             "start", F.coalesce("start", F.lit(initial).cast("bigint"))
         )
@@ -146,88 +111,139 @@ def apply_patches(log: DataFrame, key: list[str], initial: int = 0,
 # --- T-02 ------------------------------------------------------------------------
 
 
-def _replay_partition(key: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, cursor, length, revision = None, 0, 0, 0
-        for batch in batches:
-            keys = list(zip(*[batch[k] for k in key])) if len(batch) else []
-            starts = list(zip(batch["c0"], batch["l0"], batch["r0"]))
-            done, cursors, lengths, revisions = [], [], [], []
-            for at, op in enumerate(batch["op"]):
-                if keys[at] != current:
-                    current = keys[at]
-                    cursor, length, revision = (int(v) for v in starts[at])
-                if op == "undo":
-                    effective = cursor > 0
-                    cursor -= effective
-                elif op == "redo":
-                    effective = cursor < length
-                    cursor += effective
-                else:
-                    effective = True
-                    cursor += 1
-                    length = cursor
-                revision += effective
-                done.append(bool(effective))
-                cursors.append(cursor)
-                lengths.append(length)
-                revisions.append(revision)
-            yield batch[[*key, "seq", "op"]].assign(
-                effective=done, cursor=cursors, length=lengths, revision=revisions
-            )
+def _moved(cursor: Column, length: Column, op: Column) -> tuple[Column, Column]:
+    """Cursor and length after an operation."""
+    undo, redo = op.eqNullSafe("undo"), op.eqNullSafe("redo")
+    after = (
+        F.when(undo, F.greatest(cursor - 1, F.lit(0)))
+        .when(redo, F.least(cursor + 1, length)).otherwise(cursor + 1)
+    )
+    return after, F.when(undo | redo, length).otherwise(cursor + 1)
 
-    return run
 
+def _bigints(**fields) -> Column:
+    return F.struct(*[F.lit(v).cast("bigint").alias(k) if isinstance(v, int) else v.alias(k)
+                      for k, v in fields.items()])
 
-def replay(log: DataFrame, key: list[str], round_size: int = 1_000_000) -> DataFrame:
+
+def _replayed(ops: Column, cursor: Column) -> Column:
+    """Every operation of a piece with the state after it; the revision counts from the piece's start."""
+    state = F.struct(
+        cursor.alias("cursor"), cursor.alias("length"), F.lit(0).cast("bigint").alias("revision"),
+        F.array().cast("array<struct<seq:bigint,op:string,effective:boolean,cursor:bigint,"
+                       "length:bigint,revision:bigint>>").alias("out"))
+
+    def step(acc, e):
+        cursor, length = _moved(acc["cursor"], acc["length"], e["op"])
+        effective = cursor != acc["cursor"]
+        revision = acc["revision"] + effective.cast("bigint")
+        row = F.struct(
+            e["seq"].alias("seq"), e["op"].alias("op"), effective.alias("effective"),
+            cursor.alias("cursor"), length.alias("length"), revision.alias("revision"))
+        return F.struct(cursor.alias("cursor"), length.alias("length"), revision.alias("revision"),
+                        F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return F.aggregate(ops, state, step)["out"]
+
+
+def _outline(ops: Column) -> Column:
+    """What a piece does to a cursor that never meets zero: ``shift``, and the cursor it ``need``s."""
+    def step(acc, e):
+        undo, redo = e["op"].eqNullSafe("undo"), e["op"].eqNullSafe("redo")
+        back = redo & (acc["ahead"] > 0)
+        return _bigints(
+            shift=acc["shift"] + F.when(undo, -1).when(redo, back.cast("int")).otherwise(1),
+            ahead=F.when(undo, acc["ahead"] + 1).when(redo, acc["ahead"] - back.cast("int")).otherwise(0)
+            .cast("bigint"),
+            need=F.when(undo, F.greatest(acc["need"], 1 - acc["shift"])).otherwise(acc["need"]),
+        )
+
+    return F.aggregate(ops, _bigints(shift=0, ahead=0, need=0), step)
+
+
+def _ends(ops: Column, need: Column) -> Column:
+    """The cursor after a piece for every cursor before it that is less than the piece needs."""
+    def end(start):
+        def step(acc, e):
+            cursor, length = _moved(acc["cursor"], acc["length"], e["op"])
+            return _bigints(cursor=cursor, length=length)
+
+        return F.struct(start.alias("start"),
+                        F.aggregate(ops, _bigints(cursor=start, length=start), step)["cursor"].alias("end"))
+
+    low = F.sequence(F.lit(0).cast("bigint"), need - 1)
+    return F.when(need > 0, F.transform(low, end)).otherwise(
+        F.array().cast("array<struct<start:bigint,end:bigint>>"))
+
+
+def _pieces(log: DataFrame, key: list[str], size: int) -> DataFrame:
+    """``key, piece, ops``: logs cut at the first patch of each chunk of ``size`` operations.
+
+    Behind a patch there is nothing to redo, so the cursor is all that a piece hands on. Piece 0 also
+    has what comes before the first patch.
+    """
+    chunk = F.floor((F.col("seq") - 1) / size).cast("bigint")
+    entry = F.struct(F.col("seq").cast("bigint").alias("seq"), "op")
+    chunks = log.groupBy(*key, chunk.alias("chunk")).agg(F.array_sort(F.collect_list(entry)).alias("ops"))
+    if not log.agg(F.max(chunk)).first()[0]:
+        return chunks.withColumnRenamed("chunk", "piece")
+    chunks = cut(chunks)
+    kinds = F.transform("ops", lambda e: ~F.coalesce(e["op"], F.lit("")).isin("undo", "redo"))
+    patch = F.array_position(kinds, True)
+    cuts = chunks.select(*key, "chunk", (patch > 0).alias("__cut"))
+    # the first chunk begins the first piece, with or without a patch
+    owner = carry_last(
+        cuts, key, [F.col("chunk")], F.floor(F.col("chunk") / 4096),
+        F.when(F.col("__cut") | (F.col("chunk") == 0), F.col("chunk")), "__owner", include_current=False,
+    ).select(*key, "chunk", "__owner")
+    begin = F.when(F.col("chunk") == 0, 1).when(patch > 0, patch).otherwise(F.size("ops") + 1).cast("int")
+    parts = chunks.join(owner, [*key, "chunk"]).select(*key, F.inline(F.array(
+        F.struct(F.coalesce("__owner", "chunk").alias("piece"), F.col("chunk"), F.slice("ops", 1, begin - 1).alias("ops")),
+        F.struct(F.col("chunk").alias("piece"), F.col("chunk"),
+                 F.slice("ops", begin, F.size("ops") + 1).alias("ops")),
+    ))).filter(F.size("ops") > 0)
+    return parts.groupBy(*key, "piece").agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "ops"))).alias("parts")
+    ).select(*key, "piece", F.flatten("parts.ops").alias("ops"))
+
+
+def replay(log: DataFrame, key: list[str], round_size: int = CHUNK) -> DataFrame:
     """T-02: undo/redo replay: ``key, seq, op, effective, cursor, length, revision``.
 
-    ``log(key, seq, op)`` with ``op`` one of ``patch``, ``undo``, ``redo``. A patch cuts the
-    redo history; undo and redo at an end do nothing; every effective operation raises the
-    revision.
+    ``log(key, seq, op)`` with ``op`` one of ``patch``, ``undo``, ``redo`` (anything else is a patch),
+    ``seq`` unique per project and counted from 1. A patch cuts the redo history; undo and redo at an
+    end do nothing; every effective operation raises the revision.
 
-    The state of one project depends on all operations before it, so a project is read in
-    order with three integers of state. Rounds bound what one task reads of a project: a
-    round covers ``round_size`` operations per project and hands its last state to the next.
+    A log is cut into pieces of about ``round_size`` operations that begin with a patch. A cursor that is
+    at least what a piece needs is shifted by it; for the smaller ones the end is worked out. Pieces
+    compose, so a prefix scan finds the cursor before each, and all pieces are then replayed side by side.
+    Operations in a row without any patch stay in one piece.
     """
-    rounds = int((log.agg(F.max("seq")).first()[0] or 0) - 1) // round_size + 1
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields
-                       if f.name in key)
-    schema = (
-        f"{fields}, seq bigint, op string, effective boolean, cursor bigint, length bigint, "
-        "revision bigint"
-    )
+    pieces = _pieces(log, key, round_size)
+    longest = pieces.agg(F.max("piece")).first()[0]
     zero = F.lit(0).cast("bigint")
-    state, result = None, None
-    for number in range(max(rounds, 1)):
-        part = log.select(*key, F.col("seq").cast("bigint").alias("seq"), "op")
-        if rounds > 1:
-            part = part.filter(
-                (F.col("seq") > number * round_size) & (F.col("seq") <= (number + 1) * round_size)
-            )
-        if state is None:
-            part = part.withColumns({"c0": zero, "l0": zero, "r0": zero})
-        else:
-            part = part.join(state, key, "left").withColumns(
-                {c: F.coalesce(F.col(c), zero) for c in ("c0", "l0", "r0")}
-            )
-        done = (
-            part.repartition(*[F.col(k) for k in key])
-            .sortWithinPartitions(*key, "seq")
-            .mapInPandas(_replay_partition(key), schema)
-        )
-        if rounds > 1:
-            done = cut(done)
-            ended = done.groupBy(*key).agg(
-                F.max_by(F.struct("cursor", "length", "revision"), "seq").alias("s")
-            ).select(*key, F.col("s.cursor").alias("c0"), F.col("s.length").alias("l0"),
-                     F.col("s.revision").alias("r0"))
-            if state is not None:
-                idle = state.join(ended.select(*key), key, "left_anti")
-                ended = ended.unionByName(idle)
-            state = cut(ended)
-        result = done if result is None else result.unionByName(done)
-    return result
+    if not longest:
+        return pieces.select(*key, F.inline(_replayed(F.col("ops"), zero)))
+    pieces = cut(pieces)
+    long_logs = pieces.filter("piece > 0").select(*key).distinct()
+    outlines = cut(
+        pieces.join(long_logs, key, "left_semi").withColumn("__outline", _outline(F.col("ops")))
+        .select(*key, F.col("piece").alias("chunk"), "__outline.shift",
+                _ends(F.col("ops"), F.col("__outline.need")).alias("ends"))
+    )
+    starts = chunk_starts(
+        outlines.select(*key, "chunk", F.inline("ends")), outlines.select(*key, "chunk", "shift"),
+        key, 0, least=0)
+    placed = pieces.join(
+        starts.withColumnRenamed("chunk", "piece"), [*key, "piece"], "left"
+    ).select(*key, "piece", _replayed(F.col("ops"), F.coalesce("start", zero)).alias("out"))
+    placed = cut(placed)
+    counts = placed.select(*key, "piece", F.element_at("out", -1)["revision"].alias("n"))
+    before = running_sum(
+        counts, key, [F.col("piece")], F.floor(F.col("piece") / 4096), F.col("n"), "__upto"
+    ).select(*key, "piece", (F.col("__upto") - F.col("n")).alias("__before"))
+    return placed.join(before, [*key, "piece"]).select(*key, "__before", F.inline("out")).withColumn(
+        "revision", F.col("revision") + F.col("__before")).drop("__before")
 
 
 def applied_patches(replayed: DataFrame, key: list[str]) -> DataFrame:
