@@ -1,5 +1,7 @@
 """Operators on small frames: a valid input passes, one change must be reported."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +329,52 @@ def test_deep_trees_and_cycles(spark):
         tree.flatten_tree(loop.union(spark.createDataFrame([("x", "r", 0)], schema)))
 
 
+def test_intervals_of_a_random_forest(spark):
+    """Preorder places and all subtrees against a plain walk; a cycle and an unknown parent stay out."""
+    rng = random.Random(5)
+    nodes = [("d", "n0", None, 0)]
+    for i in range(1, 60):
+        doc = rng.choice("de")
+        own = [n[1] for n in nodes if n[0] == doc]
+        nodes.append((doc, f"n{i}", rng.choice(own) if own and i % 9 else None, rng.choice((-3, 0, 0, 5000))))
+    below = {}
+    for n in nodes:
+        below.setdefault((n[0], n[2]), []).append(n)
+    want, pairs = [], set()
+
+    def walk(n, depth, at):
+        first = at
+        at += 1
+        inside = [n[1]]
+        for child in sorted(below.get((n[0], n[1]), []), key=lambda c: (c[3], c[1].encode().hex())):
+            at, more = walk(child, depth + 1, at)
+            inside += more
+        want.append((n[0], n[1], n[2], depth, first, at - 1))
+        pairs.update((n[0], n[1], x) for x in inside)
+        return at, inside
+
+    for doc in "de":
+        at = 0
+        for root in sorted(below.get((doc, None), []), key=lambda c: (c[3], c[1].encode().hex())):
+            at, _ = walk(root, 0, at)
+    stray = [("d", "x", "y", 0), ("d", "y", "x", 0), ("d", "z", "?", 0), ("d", "under", "x", 0)]
+    frame = spark.createDataFrame(nodes + stray, "doc string, node_id string, parent_id string, ord bigint")
+    intervals = tree.tree_intervals(frame, ["doc"])
+    assert rows(intervals) == sorted(want, key=str)
+    assert set(map(tuple, tree.subtree_intervals(intervals, frame, ["doc"]).collect())) == pairs
+
+
+def test_intervals_of_a_long_chain(spark):
+    """Rounds follow the logarithm of the depth, and no row holds its ancestors."""
+    deep = spark.range(3000).selectExpr(
+        "concat('n', id) AS node_id", "IF(id > 0, concat('n', id - 1), NULL) AS parent_id", "0L AS ord")
+    intervals = tree.tree_intervals(deep)
+    assert intervals.agg(F.max("depth"), F.max("enter"), F.min("leave"), F.sum("leave")).first() == (
+        2999, 2999, 2999, 2999 * 3000)
+    some = deep.filter("node_id IN ('n10', 'n2990')")
+    assert rows(tree.subtree_intervals(intervals, some).groupBy("root_id").count()) == [("n10", 2990), ("n2990", 10)]
+
+
 # --- versions and snapshots -----------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tracebound.operators import edits
+from tracebound.operators import edits, tree
 from tracebound.streaming import logs as streams
 
 SCHEMA = "project string, seq bigint, base_revision bigint, op string, digest string"
@@ -69,19 +69,66 @@ def test_publications(spark, data, replayed):
         "t05_stream", "complete"))
 
 
+def shuffled(data, seed):
+    rows = list(data)
+    random.Random(seed).shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_any_order_and_a_backlog(spark, data, tmp_path, parts):
+    """Rows in any order over several micro-batches, or all in one, give the batch result."""
+    log = spark.createDataFrame(data, SCHEMA)
+    rows = shuffled(data, parts) + data[:5]  # some come twice
+    source = tmp_path / "log"
+    for k in range(parts):
+        spark.createDataFrame(rows[k::parts], SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
+    for name, build, want in (
+            ("t01", streams.stream_patches, edits.apply_patches), ("t02", streams.stream_replay, edits.replay)):
+        query = (build(stream, ["project"]).writeStream.format("memory").queryName(f"{name}_any_{parts}")
+                 .option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start())
+        query.awaitTermination()
+        compare(want(log, ["project"]), spark.table(f"{name}_any_{parts}"))
+
+
+def test_rows_beyond_memory_wait_in_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "HELD", 3)
+    data = [("a", seq, 0, "patch", "d") for seq in range(40, 0, -1)]
+    spark.createDataFrame(data, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "log"))
+    query = (streams.stream_replay(stream, ["project"]).writeStream.format("memory").queryName("t02_held")
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert [r.cursor for r in spark.table("t02_held").orderBy("seq").collect()] == list(range(1, 41))
+
+
 def test_deletes(spark, tmp_path):
-    refs = spark.createDataFrame([("n1", "s1"), ("n2", "s1"), ("n2", "s2")], "node_id string, source_id string")
-    coverage = spark.createDataFrame([("s1", "preserved"), ("s2", "preserved")], "source_id string, status string")
+    """Deleted parents take their nodes along, whatever the order and the batch they come in."""
+    rng = random.Random(3)
+    docs = [(d, f"n{i}", None if i == 0 else f"n{rng.randrange(i)}", i) for d in "de" for i in range(25)]
+    nodes = spark.createDataFrame(docs, "doc string, node_id string, parent_id string, ord bigint")
+    refs = spark.createDataFrame(
+        [(d, n, f"s{rng.randrange(9)}") for d, n, *_ in docs for _ in range(2)] + [("d", "n9", "only")],
+        "doc string, node_id string, source_id string")
+    coverage = refs.select("doc", "source_id").distinct().selectExpr("*", "'preserved' AS status").unionByName(
+        spark.createDataFrame([("d", "unused", "covered")], "doc string, source_id string, status string"))
+    gone = [(d, n, k + 1) for d in "de" for k, (_, n, *_) in enumerate(rng.sample([x for x in docs[1:25]], 9))]
+    gone += gone[:2]
     source, out = tmp_path / "deletes", tmp_path / "coverage"
-    for node in ("n1", "n2"):
-        spark.createDataFrame([(node,)], "node_id string").coalesce(1).write.mode("append").parquet(str(source))
-    stream = spark.readStream.schema("node_id string").option("maxFilesPerTrigger", 1).parquet(str(source))
-    query = stream.writeStream.foreachBatch(
-        streams.delete_sink(coverage, refs, str(tmp_path / "gone"), str(out))
-    ).option("checkpointLocation", str(tmp_path / "state")).start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    final = spark.read.parquet(str(out)).filter("batch = 1").select("source_id", "status")
-    assert sorted(map(tuple, final.collect())) == [("s1", "omitted"), ("s2", "omitted")]
+    rng.shuffle(gone)
+    kind = "doc string, node_id string, seq bigint"
+    for k in range(3):
+        spark.createDataFrame(gone[k::3], kind).coalesce(1).write.mode("append").parquet(str(source))
+    below = tree.subtree_intervals(tree.tree_intervals(nodes, ["doc"]), nodes, ["doc"])
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = streams.stream_coverage(stream, coverage, refs, below, ["doc"]).writeStream.outputMode(
+        "update").foreachBatch(streams.coverage_sink(str(out))).option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    changes = spark.read.parquet(str(out))
+    flat = tree.flatten_tree(nodes, ["doc"])
+    batch = edits.coverage_on_delete(coverage, refs, spark.createDataFrame(gone, kind), flat, ["doc"])
+    compare(batch, streams.coverage_now(coverage, changes, refs, ["doc"]))
+    assert changes.filter("source_id = 'unused'").isEmpty()
+    assert {r.status for r in batch.collect()} == {"preserved", "omitted", "covered"}

@@ -13,6 +13,7 @@ from tracebound.functions import fixed
 from tracebound.functions.html import attribute_pattern
 from tracebound.functions.lets import extract, found, matches, non_blank, substitute
 from tracebound.plans.lineage import cut
+from tracebound.plans.ordered import running_sum
 
 _TAG = r"</?[A-Za-z][^<>]*>"
 
@@ -220,3 +221,94 @@ def subtree_refs(tree: DataFrame, node_refs: DataFrame, keys: list[str] | None =
     keys = keys or []
     return (
         tree.join(node_refs, [*keys, "node_id"]).select(*keys, "root_id", "source_id").distinct())
+
+
+# --- intervals ------------------------------------------------------------------
+
+
+def tree_intervals(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """N-01: preorder intervals of a forest: ``keys, node_id, parent_id, depth, enter, leave``.
+
+    ``nodes(keys, node_id, parent_id, ord)`` as for ``flatten_tree``, in the same order. ``enter`` counts
+    the nodes of the document before a node, from 0; a node's descendants are those that enter after it
+    and not after its ``leave``. Pointers to ancestors double in reach each round, first to sum up the
+    sizes of subtrees, then the places: a tree of depth d takes 2 log2(d) rounds, and no row grows with
+    the depth. Nodes that no root reaches (cycles, unknown parents) have no row.
+    """
+    keys = keys or []
+    on, size = [*keys, "node_id"], F.col("size")
+    base = nodes.select(*keys, "node_id", "parent_id", F.col("ord").cast("bigint").alias("ord"))
+    one = F.lit(1).cast("bigint")
+    jump = cut(base.select(
+        *on, F.col("parent_id").alias("up"), one.alias("size"),
+        F.when(F.col("parent_id").isNotNull(), one).otherwise(0).alias("depth"),
+        F.col("parent_id").isNull().alias("rooted")))
+    rounds = 0
+    most = jump.count().bit_length() + 1  # only a cycle goes on for longer
+    while rounds < most and not jump.filter(F.col("up").isNotNull()).isEmpty():
+        rounds += 1
+        gain = jump.filter(F.col("up").isNotNull()).groupBy(*keys, F.col("up").alias("node_id")).agg(
+            F.sum("size").alias("__gain"))
+        above = jump.select(
+            *keys, F.col("node_id").alias("up"), F.col("up").alias("__up"),
+            F.col("depth").alias("__depth"), F.col("rooted").alias("__rooted"))
+        jump = cut(
+            jump.join(gain, on, "left").join(above, [*keys, "up"], "left").select(
+                *on, F.col("__up").alias("up"),
+                (size + F.coalesce("__gain", F.lit(0))).alias("size"),
+                (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
+                (F.col("rooted") | (F.col("up").isNotNull() & F.coalesce("__rooted", F.lit(False)))).alias("rooted")))
+    known = base.join(jump.filter(F.col("rooted") & F.col("up").isNull()).drop("up", "rooted"), on)
+    order = [F.col("ord"), F.hex(F.col("node_id").cast("string"))]
+    placed = running_sum(known, [*keys, "parent_id"], order, F.floor(F.col("ord") / 4096), size, "__upto")
+    inside = F.when(F.col("parent_id").isNotNull(), 1).otherwise(0)
+    placed = cut(placed.withColumn("enter", (F.col("__upto") - size + inside).cast("bigint")).select(
+        *on, "parent_id", F.col("parent_id").alias("up"), "depth", "size", "enter"))
+    for _ in range(rounds):
+        above = placed.select(
+            *keys, F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("enter").alias("__enter"))
+        placed = cut(placed.join(above, [*keys, "up"], "left").select(
+            *on, "parent_id", F.col("__up").alias("up"), "depth", "size",
+            (F.col("enter") + F.coalesce("__enter", F.lit(0))).alias("enter")))
+    return placed.select(*on, "parent_id", "depth", "enter", (F.col("enter") + size - 1).alias("leave"))
+
+
+def _blocks(enter: Column, leave: Column) -> Column:
+    """The few aligned blocks of 1, 2, 4, ... places that make up an interval: level and number."""
+    kind = "array<struct<level:int,block:bigint>>"
+    state = F.struct(enter.alias("a"), (leave + 1).alias("b"), F.array().cast(kind).alias("out"))
+
+    def step(acc, level):
+        a, b = acc["a"], acc["b"]
+
+        def taken(when, block):
+            return F.when(when, F.array(F.struct(level.alias("level"), block.alias("block")))).otherwise(
+                F.array().cast(kind))
+
+        low = (a < b) & (a % 2 == 1)
+        start = F.when(low, a + 1).otherwise(a)
+        high = (start < b) & (b % 2 == 1)
+        end = F.when(high, b - 1).otherwise(b)
+        return F.struct(
+            F.shiftright(start, 1).alias("a"), F.shiftright(end, 1).alias("b"),
+            F.concat(acc["out"], taken(low, a), taken(high, b - 1)).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), state, step)["out"]
+
+
+def subtree_intervals(intervals: DataFrame, roots: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """N-02: descendants of each root, itself included, from ``tree_intervals``: ``keys, root_id, node_id``.
+
+    A root's interval is a few aligned blocks, a node lies in one block of each size; both meet by
+    equality, so a document of any size is spread over the tasks, and work follows the result.
+    """
+    keys = keys or []
+    anchors = cut(
+        intervals.join(roots.select(*keys, "node_id").distinct(), [*keys, "node_id"]).select(
+            *keys, F.col("node_id").alias("root_id"), F.inline(_blocks(F.col("enter"), F.col("leave")))))
+    levels = [r.level for r in anchors.select("level").distinct().collect()]  # 63 at most
+    if not levels:
+        return anchors.select(*keys, "root_id", F.col("root_id").alias("node_id"))
+    places = intervals.select(*keys, "node_id", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("level"), F.shiftright("enter", n).alias("block")) for n in sorted(levels)])))
+    return places.join(anchors, [*keys, "level", "block"]).select(*keys, "root_id", "node_id")

@@ -312,6 +312,22 @@ def _(spark, folder):
     return tree.flatten_tree(B.segment_nodes(spark, folder), ["doc"]).drop("ancestors")
 
 
+@query("n01_tree_intervals", f"""WITH RECURSIVE {_FLAT_TREE},
+sizes AS (SELECT doc, root_id, count(*) AS size FROM below GROUP BY doc, root_id)
+SELECT doc, node_id, parent_id, depth, enter, enter + size - 1 AS leave
+FROM (SELECT doc, node_id, parent_id, depth, row_number() OVER (PARTITION BY doc ORDER BY path) - 1 AS enter FROM flat) f
+JOIN sizes s USING (doc) WHERE s.root_id = f.node_id""")
+def _(spark, folder):
+    return tree.tree_intervals(B.segment_nodes(spark, folder), ["doc"])
+
+
+@query("n02_subtree_intervals", f"""WITH RECURSIVE {_FLAT_TREE}
+SELECT doc, root_id, node_id FROM below""")
+def _(spark, folder):
+    intervals = tree.tree_intervals(B.segment_nodes(spark, folder), ["doc"])
+    return tree.subtree_intervals(intervals, intervals, ["doc"])
+
+
 @query("n02_subtree", f"""WITH RECURSIVE {_FLAT_TREE}
 SELECT doc, root_id, node_id FROM below WHERE depth <= 1""")
 def _(spark, folder):
