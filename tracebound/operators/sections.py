@@ -14,7 +14,8 @@ from tracebound.functions import fixed
 from tracebound.functions.lets import computed, found
 from tracebound.functions.text import classify_by_rules, split_sentences
 from tracebound.plans.lineage import cut
-from tracebound.plans.ordered import carry_last, positions
+from tracebound.plans.ordered import positions
+from tracebound.plans.prefix import chunk_starts
 
 
 def assign_sections(units: DataFrame, name: str = "doc_id") -> DataFrame:
@@ -63,6 +64,39 @@ def describe_images(units: DataFrame, pattern: str = fixed.DATA_IMAGE_PATTERN) -
     )
 
 
+def _before(units: DataFrame, key: str, labels: Column, width: int) -> DataFrame:
+    """``key, ord, before``: number of the label in force before each unit; 1 is the default.
+
+    ``units(key, ord, fixed, only, whole)`` hold numbers of labels: ``fixed`` is what a unit hands on;
+    a unit with ``only`` and ``whole`` hands on ``whole`` after a unit of label ``only``, else ``only``.
+    """
+    unit = F.struct("ord", "fixed", "only", "whole")
+    buckets = cut(
+        units.groupBy(key, F.floor(F.col("ord") / width).cast("bigint").alias("chunk"))
+        .agg(F.array_sort(F.collect_list(unit)).alias("units")))
+    first = buckets.groupBy(key).agg(F.min("chunk").alias("__first"))
+    buckets = buckets.join(first, key).withColumn("chunk", F.col("chunk") - F.col("__first")).drop("__first")
+
+    def handed_on(state, u):
+        told = F.when(state == u["only"], u["whole"]).otherwise(u["only"])
+        return F.coalesce(u["fixed"], F.when(u["only"].isNotNull(), told), state)
+
+    ends = F.transform(
+        F.sequence(F.lit(1).cast("bigint"), labels.cast("bigint")),
+        lambda start: F.struct(start.alias("start"), F.aggregate("units", start, handed_on).alias("end")))
+    starts = chunk_starts(
+        buckets.select(key, "chunk", F.inline(ends)).filter(F.col("start") != F.col("end")),
+        buckets.select(key, "chunk", F.lit(0).cast("bigint").alias("shift")), [key], 1)
+
+    def step(acc, u):
+        return F.struct(handed_on(acc["state"], u).alias("state"), F.concat(acc["out"], F.array(acc["state"])).alias("out"))
+
+    begin = F.struct(F.col("start").alias("state"), F.array().cast("array<bigint>").alias("out"))
+    return buckets.join(starts, [key, "chunk"]).select(key, F.inline(F.zip_with(
+        "units", F.aggregate("units", begin, step)["out"],
+        lambda u, state: F.struct(u["ord"].alias("ord"), state.alias("before")))))
+
+
 def carry_label(units: DataFrame, key: str, rules=fixed.TEXT_DIMENSION_RULES,
                 default: str = fixed.DIMENSION_DEFAULT, ends: str = fixed.SENTENCE_ENDS,
                 bucket_width: int = 4096) -> DataFrame:
@@ -70,10 +104,11 @@ def carry_label(units: DataFrame, key: str, rules=fixed.TEXT_DIMENSION_RULES,
 
     A unit is split into sentences only when these carry different labels, counting the
     label that is in force before the unit; otherwise it stays whole and takes the label of
-    the whole text, or keeps the one in force. Units per key may be any number: what a unit
-    hands on is known from its own text in all but one case, and is carried over buckets.
-    The exception, where the whole text and its only labelled sentence disagree, depends on
-    the label before it; such units are settled in order, one round per run of them.
+    the whole text, or keeps the one in force. What a unit hands on is known from its own text
+    in all but one case: where the whole text and its only labelled sentence disagree, it depends
+    on the label before it. Labels are few, so a bucket of units is a map from label to label, and
+    a prefix scan over the buckets finds the label before each; units per key may be any number.
+    ``ord`` is unique per key; the text is not shuffled until its label is known.
     """
     found_in = F.transform(
         split_sentences(F.col("text"), ends),
@@ -102,23 +137,14 @@ def carry_label(units: DataFrame, key: str, rules=fixed.TEXT_DIMENSION_RULES,
     known = F.when(F.col("mixed"), F.col("last_label")).otherwise(
         F.coalesce(F.when(depends, F.col("only")), "whole", "only")
     )
-    order, bucket = [F.col("ord")], F.floor(F.col("ord") / bucket_width)
-
-    def in_force(rows):
-        return carry_last(rows, [key], order, bucket, F.col("out"), "before", False).withColumn(
-            "before", F.coalesce("before", F.lit(default))
-        )
-
-    rows = in_force(read.withColumn("out", known))
-    settled = F.when(
-        depends, F.when(F.col("before") == F.col("only"), F.col("whole")).otherwise(F.col("only"))
-    ).otherwise(F.col("out"))
-    if not read.filter(depends).isEmpty():
-        while True:
-            rows = cut(rows.withColumn("next", settled))
-            if rows.filter(~F.col("next").eqNullSafe(F.col("out"))).isEmpty():
-                break
-            rows = in_force(rows.withColumn("out", F.col("next")).drop("before", "next"))
+    names = F.array(*[F.lit(x) for x in dict.fromkeys([default, *(label for label, *_ in rules)])])
+    number = lambda c: F.nullif(F.array_position(names, c), F.lit(0))
+    before = _before(
+        read.select(
+            key, "ord", number(F.when(~depends | F.col("mixed"), known)).alias("fixed"),
+            *(F.when(depends, number(F.col(c))).alias(c) for c in ("only", "whole"))),
+        key, F.size(names), bucket_width)
+    rows = read.join(before, [key, "ord"]).withColumn("before", F.element_at(names, F.col("before").cast("int")))
     split = F.col("mixed") | F.coalesce(F.col("only") != F.col("before"), F.lit(False))
     carried = F.transform(
         "parts",
