@@ -37,7 +37,7 @@ DIMENSIONS, NOISE, BATCH, RATE = 16, 64, 2048, 0.1
 #: The part of the training documents, in hundredths, after which the tasks' weights meet first.
 FIRST_SLICE = 10
 #: Tokens and contexts that are scored together.
-TOKENS, CONTEXTS = 1 << 20, 2048
+TOKENS, CONTEXTS = 1 << 22, 256
 #: Bytes of a text that are split into words at a time.
 SEGMENT = 4 << 20
 END_KEY = xxhash.xxh3_64_intdigest(b" ")  # no word is a blank
@@ -155,7 +155,7 @@ def contexts_of(classes: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np
 
 def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
     sorted_rows = rows[order]
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
     return sorted_rows[first], np.add.reduceat(values[order], first, axis=0)
@@ -213,7 +213,7 @@ class Trainer:
 def log_probabilities(w: Weights, classes: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Natural log of the normalised probability of every class after its two classes."""
     out = np.empty(len(classes))
-    begin = len(w.context)
+    begin, share = len(w.context), np.exp(w.bias)
     for at in range(0, len(classes), TOKENS):
         right = classes[at:at + TOKENS]
         code = one[at:at + TOKENS].astype(np.int64) * begin + two[at:at + TOKENS]
@@ -222,11 +222,12 @@ def log_probabilities(w: Weights, classes: np.ndarray, one: np.ndarray, two: np.
         total = np.empty(len(distinct), np.float32)
         for k in range(0, len(distinct), CONTEXTS):
             scores = guess[k:k + CONTEXTS] @ w.target.T
-            scores += w.bias
-            most = scores.max(axis=1)
-            scores -= most[:, None]
+            most = np.float32(0)
+            if max(scores.max(), -scores.min()) > 50:  # beyond what exp can take as it is
+                most = scores.max(axis=1)
+                scores -= most[:, None]
             np.exp(scores, out=scores)
-            total[k:k + CONTEXTS] = np.log(scores.sum(axis=1)) + most
+            total[k:k + CONTEXTS] = np.log(scores @ share) + most
         own = np.einsum("nd,nd->n", guess[which], w.target[right])
         out[at:at + TOKENS] = own + w.bias[right] - total[which]
     return out
