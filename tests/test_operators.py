@@ -366,13 +366,13 @@ def test_intervals_of_a_random_forest(spark):
 
 def test_intervals_of_a_long_chain(spark):
     """Rounds follow the logarithm of the depth, and no row holds its ancestors."""
-    deep = spark.range(3000).selectExpr(
+    deep = spark.range(600).selectExpr(
         "concat('n', id) AS node_id", "IF(id > 0, concat('n', id - 1), NULL) AS parent_id", "0L AS ord")
     intervals = tree.tree_intervals(deep)
     assert intervals.agg(F.max("depth"), F.max("enter"), F.min("leave"), F.sum("leave")).first() == (
-        2999, 2999, 2999, 2999 * 3000)
-    some = deep.filter("node_id IN ('n10', 'n2990')")
-    assert rows(tree.subtree_intervals(intervals, some).groupBy("root_id").count()) == [("n10", 2990), ("n2990", 10)]
+        599, 599, 599, 599 * 600)
+    some = deep.filter("node_id IN ('n10', 'n590')")
+    assert rows(tree.subtree_intervals(intervals, some).groupBy("root_id").count()) == [("n10", 590), ("n590", 10)]
 
 
 # --- versions and snapshots -----------------------------------------------------------
@@ -453,6 +453,20 @@ def test_delete_takes_the_subtree_and_names_the_last_deletion(spark):
         "s1", "omitted", 0, reason("p"))
 
 
+def test_images_become_warnings_in_data_first_mode_only(spark):
+    units = spark.createDataFrame(
+        [("d", 1, "s1", "image", None, "growth chart", ""), ("d", 2, "s2", "paragraph", "it grew", None, None),
+         ("d", 3, "s3", "image", None, "", "a cat"), ("d", 4, "s4", "image", None, "", "table"), ("d", 5, "s5", "heading", "h", None, None)],
+        "doc_id string, ord int, source_id string, type string, text string, alt string, caption string")
+    read = sections.following_text(units)
+    got = {r.source_id: r for r in sections.describe_images(read).collect()}
+    assert [got[f"s{k}"].type for k in range(1, 6)] == ["evidenceWarning", "paragraph", "image", "evidenceWarning", "heading"]
+    assert got["s1"].source_refs == ["s1", "s2"] and got["s1"].warning_text == "it grew" and got["s1"].original_type == "image"
+    assert got["s4"].source_refs == ["s4"] and got["s4"].warning_text == "table" and got["s3"].source_refs == ["s3"]
+    other = sections.describe_images(read, mode="reading-first")
+    assert {r.type for r in other.collect()} == {"image", "paragraph", "heading"}
+
+
 LABELS = (("A", "opening", "aa"), ("B", "opening", "bb"), ("C", "opening", "x。y"))
 
 

@@ -233,3 +233,19 @@ def test_row_order_does_not_matter(spark):
     two = spark.createDataFrame(lines[::-1], schema).repartition(4)
     same(reuse.repeated_text(one, "text"), reuse.repeated_text(two, "text"))
     assert reuse.repeated_text_members(one, ["id"], "text").count() == 40
+
+
+@pytest.mark.parametrize("build", [
+    lambda df, o, b: positions(df, ["k"], o, b, "out", maxima={"most": "v"}),
+    lambda df, o, b: running_sum(df, ["k"], o, b, F.col("v"), "out"),
+    lambda df, o, b: carry_last(df, ["k"], o, b, F.when(F.col("v") > 5, F.col("v")), "out"),
+])
+def test_ordered_plans_read_and_shuffle_their_rows_once(spark, tmp_path, build):
+    spark.range(4000).selectExpr("id % 3 AS k", "id AS seq", "id % 11 AS v", "repeat('x', 50) AS text").write.parquet(
+        str(tmp_path / "rows"))
+    found = build(spark.read.parquet(str(tmp_path / "rows")), [F.col("seq")], F.floor(F.col("seq") / 100))
+    assert found.count() == 4000
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    whole = [x for x in plan.splitlines() if "Exchange hash" in x and "REPARTITION_BY_COL" in x and "Reused" not in x]
+    assert plan.count("FileScan parquet") == 1 and len(whole) == 1 and plan.count("ReusedExchange") == 1

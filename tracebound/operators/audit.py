@@ -278,6 +278,19 @@ def unsupported_terms(claims: DataFrame, refs: DataFrame, units: DataFrame,
     return issue_rows(missing, "unsupported-term", "claim_id", "term")
 
 
+def _bits(terms: str, kept: Column) -> Column:
+    """One bit per term, set for those in ``kept``, as words of 64 bits."""
+    def word(number):
+        part = F.slice(terms, number * 64 + 1, F.lit(64))
+        bits = F.transform(part, lambda t, i: F.when(
+            F.array_contains(kept, t), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+        ).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+    last = F.floor((F.size(terms) - 1) / 64).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), word)
+
+
 def lexical_support(claims: DataFrame, refs: DataFrame, units: DataFrame,
                     share: float = fixed.LEXICAL_SUPPORT_SHARE,
                     exempt: DataFrame | None = None) -> DataFrame:
@@ -292,15 +305,14 @@ def lexical_support(claims: DataFrame, refs: DataFrame, units: DataFrame,
     source_terms = computed(
         units.select("source_id", "text"), source_terms=lexical_terms(F.col("text"))
     ).select("source_id", "source_terms")
+    # what a source shares is a bit per term of the claim; bits of several sources are or-ed
     shared = (
         refs.select("claim_id", "source_id").distinct()
         .join(claim_terms, "claim_id").join(source_terms, "source_id")
-        .select(
-            "claim_id",
-            F.explode(F.array_intersect("claim_terms", "source_terms")).alias("term"),
-        )
-        .distinct()
-        .groupBy("claim_id").agg(F.count(F.lit(1)).alias("shared"))
+        .withColumn("both", F.array_intersect("claim_terms", "source_terms"))
+        .select("claim_id", F.posexplode(_bits("claim_terms", F.col("both"))).alias("word", "bits"))
+        .groupBy("claim_id", "word").agg(F.bit_or("bits").alias("bits"))
+        .groupBy("claim_id").agg(F.sum(F.bit_count("bits")).alias("shared"))
     )
     return (
         claim_terms.select("claim_id", F.size("claim_terms").cast("bigint").alias("terms"))

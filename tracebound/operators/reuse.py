@@ -113,8 +113,10 @@ def find_passages(docs: DataFrame, passages: DataFrame, min_chars: int, levels:
     ).drop("start")
     if strategy == "broadcast":
         # Proven small above: documents are scanned once and never shuffled.
+        # Grams travel with their number, texts once each.
         return (
-            blocks.join(F.broadcast(grams), "gram")
+            blocks.join(F.broadcast(grams.select("gram", "passage_id")), "gram")
+            .join(F.broadcast(passages.select("passage_id", "passage")), "passage_id")
             .filter(F.contains("text", "passage"))
             .select("doc_id", "passage_id", *lengths).distinct()
         )

@@ -44,24 +44,40 @@ def assign_sections(units: DataFrame, name: str = "doc_id") -> DataFrame:
 
 
 def following_text(units: DataFrame, name: str = "doc_id") -> DataFrame:
-    """W-03: text of the next unit when it is a paragraph, else the empty string."""
+    """W-03: text of the next unit when it is a paragraph, else the empty string.
+
+    Units with a ``source_id`` also get ``following_source``, that of the same paragraph.
+    """
     w = Window.partitionBy(name).orderBy("ord")
-    following = F.when(F.lead("type").over(w) == "paragraph", F.lead("text").over(w))
-    return units.withColumn("following_text", F.coalesce(following, F.lit("")))
+    is_text = F.lead("type").over(w) == "paragraph"
+    found_next = {"following_text": F.coalesce(F.when(is_text, F.lead("text").over(w)), F.lit(""))}
+    if "source_id" in units.columns:
+        found_next["following_source"] = F.when(is_text, F.lead("source_id").over(w))
+    return units.withColumns(found_next)
 
 
-def describe_images(units: DataFrame, pattern: str = fixed.DATA_IMAGE_PATTERN) -> DataFrame:
-    """Images whose description says they hold data become ``evidenceWarning``.
+def describe_images(units: DataFrame, pattern: str = fixed.DATA_IMAGE_PATTERN,
+                    mode: str = "data-first") -> DataFrame:
+    """Images whose description says they hold data become ``evidenceWarning``, in data-first mode only.
 
-    ``units`` as returned by ``following_text``.
+    ``units`` as returned by ``following_text``. A warning keeps its type as ``original_type``; its
+    ``warning_text`` is the caption, the following text or the alternative text, the first that is not
+    empty; with ``following_source``, its ``source_refs`` name the paragraph that follows as well.
     """
     description = F.concat_ws(
         " ", F.coalesce("alt", F.lit("")), F.coalesce("caption", F.lit("")), "following_text"
     )
-    is_data = (F.col("type") == "image") & found(description, pattern)
-    return units.withColumn("original_type", F.when(is_data, F.col("type"))).withColumn(
-        "type", F.when(is_data, "evidenceWarning").otherwise(F.col("type"))
-    )
+    is_data = (F.col("type") == "image") & found(description, pattern) & F.lit(mode == "data-first")
+    texts = [F.nullif(F.col(c), F.lit("")) for c in ("caption", "following_text", "alt")]
+    columns = {
+        "original_type": F.when(is_data, F.col("type")),
+        "warning_text": F.when(is_data, F.coalesce(*texts)),
+        "type": F.when(is_data, "evidenceWarning").otherwise(F.col("type")),
+    }
+    if "following_source" in units.columns:
+        cited = F.array("source_id", F.when(is_data, F.col("following_source")))
+        columns["source_refs"] = F.filter(cited, lambda s: s.isNotNull())
+    return units.withColumns(columns)
 
 
 def _before(units: DataFrame, key: str, labels: Column, width: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A plain window puts all rows of one key into one task. Here every key is cut into
 ordered buckets first. The window runs per (key, bucket); one summary row per bucket
-carries the result across. A key that holds a third of all rows is then spread over
+carries the result across. Windows, summaries and the join that brings these back use one and
+the same exchange of the rows: they are read once and shuffled once. A key that holds a third of all rows is then spread over
 as many tasks as it has buckets, and the second window sees only the summaries.
 
 ``bucket`` must not decrease along ``order``: a leading order column, or a coarser
@@ -15,87 +16,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
+_GROUP = "__group"
 
 
-def _attach(local: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys and bucket; NULL keys match each other."""
-    on = None
-    renamed = summary
-    names = [*keys, BUCKET]
-    for i, name in enumerate(names):
-        renamed = renamed.withColumnRenamed(name, f"__k{i}")
-    for i, name in enumerate(names):
-        test = F.col(name).eqNullSafe(F.col(f"__k{i}"))
-        on = test if on is None else on & test
-    return local.join(renamed, on, "left").drop(*[f"__k{i}" for i in range(len(names))])
+def _grouped(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """Rows dealt out by their (key, bucket), one struct, in which NULL keys are equal."""
+    group = F.struct(*[F.col(k) for k in keys], bucket.alias(BUCKET))
+    return df.withColumn(_GROUP, group).repartition(_GROUP)
+
+
+def _summaries(rows: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """One row per (key, bucket) of ``rows``: the key columns, the bucket and the aggregates.
+
+    It is taken from the same exchange as the windows over ``rows``. For that it must ask for the
+    same columns, which the digest of all of them does; the optimizer would prune them otherwise.
+    """
+    digest = F.bit_xor(F.xxhash64(*[F.col(c) for c in rows.columns]))
+    return (
+        rows.groupBy(_GROUP).agg(*aggregates, digest.alias("__all"))
+        .filter(F.col("__all").isNotNull()).drop("__all")
+        .withColumns({f"__k{i}": F.col(_GROUP)[k] for i, k in enumerate([*keys, BUCKET])})
+    )
+
+
+def _along(keys: list[str]):
+    """Windows over the summaries: of the key, and of its buckets before this one."""
+    key = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))])
+    before = key.orderBy(f"__k{len(keys)}").rowsBetween(Window.unboundedPreceding, -1)
+    return key, before
+
+
+def _attach(local: DataFrame, summary: DataFrame, columns: list[str]) -> DataFrame:
+    return local.join(summary.select(_GROUP, *columns), _GROUP, "left")
 
 
 def positions(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
               out: str, start: int = 1, maxima: dict[str, str] | None = None) -> DataFrame:
     """``row_number`` per key; ``maxima`` adds each key's maximum of a column on the way."""
     maxima = maxima or {}
-    rows = df.withColumn(BUCKET, bucket)
-    local = rows.withColumn(
-        out, F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order))
-    )
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        rows.groupBy(*keys, BUCKET)
-        .agg(F.count(F.lit(1)).alias("__n"), *[F.max(c).alias(n) for n, c in maxima.items()])
-        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .withColumns({n: F.max(n).over(Window.partitionBy(*keys)) for n in maxima})
-        .drop("__n")
-    )
+    rows = _grouped(df, keys, bucket)
+    local = rows.withColumn(out, F.row_number().over(Window.partitionBy(_GROUP).orderBy(*order)))
+    key, before = _along(keys)
+    summary = _summaries(
+        rows, keys, F.count(F.lit(1)).alias("__n"), *[F.max(c).alias(n) for n, c in maxima.items()]
+    ).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumns(
+        {n: F.max(n).over(key) for n in maxima})
     return (
-        _attach(local, summary, keys)
+        _attach(local, summary, ["__before", *maxima])
         .withColumn(out, (F.col(out) + F.col("__before") + (start - 1)).cast("bigint"))
-        .drop("__before", BUCKET)
+        .drop("__before", _GROUP)
     )
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
                 value: Column, out: str) -> DataFrame:
     """Sum of ``value`` over this row and all rows before it, per key."""
-    rows = df.withColumn(BUCKET, bucket).withColumn("__v", value)
-    inside = (
-        Window.partitionBy(*keys, BUCKET).orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    rows = _grouped(df.withColumn("__v", value), keys, bucket)
+    inside = Window.partitionBy(_GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn(out, F.sum("__v").over(inside))
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        rows.groupBy(*keys, BUCKET)
-        .agg(F.sum("__v").alias("__s"))
-        .withColumn("__before", F.sum("__s").over(before))
-        .drop("__s")
-    )
+    summary = _summaries(rows, keys, F.sum("__v").alias("__s")).withColumn(
+        "__before", F.sum("__s").over(_along(keys)[1]))
     return (
-        _attach(local, summary, keys)
+        _attach(local, summary, ["__before"])
         .withColumn(out, F.coalesce(F.col(out), F.lit(0)) + F.coalesce("__before", F.lit(0)))
-        .drop("__before", "__v", BUCKET)
+        .drop("__before", "__v", _GROUP)
     )
 
 
 def carry_last(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
                value: Column, out: str, include_current: bool = True) -> DataFrame:
     """Last non-NULL ``value`` at or before this row (or strictly before), per key."""
-    rows = df.withColumn(BUCKET, bucket).withColumn("__v", value)
+    rows = _grouped(df.withColumn("__v", value), keys, bucket)
     inside = (
-        Window.partitionBy(*keys, BUCKET).orderBy(*order)
+        Window.partitionBy(_GROUP).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     )
     local = rows.withColumn(out, F.last("__v", ignorenulls=True).over(inside))
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        rows.groupBy(*keys, BUCKET)
-        .agg(
-            F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__l")
-        )
-        .withColumn("__before", F.last("__l", ignorenulls=True).over(before))
-        .drop("__l")
-    )
+    last = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order)))
+    summary = _summaries(rows, keys, last.alias("__l")).withColumn(
+        "__before", F.last("__l", ignorenulls=True).over(_along(keys)[1]))
     return (
-        _attach(local, summary, keys)
+        _attach(local, summary, ["__before"])
         .withColumn(out, F.coalesce(F.col(out), F.col("__before")))
-        .drop("__before", "__v", BUCKET)
+        .drop("__before", "__v", _GROUP)
     )
