@@ -77,6 +77,40 @@ def test_model_adds_other_spellings_and_leaves_clean_text_alone(spark):
     assert found("order 1000731 of them") == []
 
 
+def test_recall_on_planted_spellings():
+    """At least nine in ten of the spellings that no rule knows, and no bare text."""
+    rng, model = random.Random(8), pii.train([t for _, t in clean_corpus(240)])
+    word = lambda: "".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randrange(3, 8)))
+    caught = total = 0
+    for at in pii.ATS:
+        for dot in pii.DOTS:
+            if (at, dot) == ("@", "."):
+                continue
+            for _ in range(12):
+                mail = f"{word()}.{rng.randrange(90)}{at}{word()}{dot}example{dot}com"
+                text = f"{word()} {word()} {mail} {word()}"
+                spans = [(a + s, a + e) for a, b in pii.places(text) for s, k, e in model.decode(text[a:b]) if k == 0]
+                start = text.index(mail)
+                caught += any(s < start + len(mail) and e > start + len(mail) // 2 for s, e in spans)
+                total += 1
+    assert caught / total >= 0.9
+    for text in ("look at the end", "we met at noon. then left", "a dot at the top of the page", "order 12 at 3.50 each"):
+        assert not [x for a, b in pii.places(text) for x in model.decode(text[a:b])]
+
+
+def test_a_long_table_of_numbers_is_one_place_in_bounded_memory():
+    import tracemalloc
+
+    model = pii.train([t for _, t in clean_corpus(60)])
+    text = " ".join(str(100_000 + 7 * k) for k in range(10_000))
+    assert len(pii.places(text)) == 1
+    tracemalloc.start()
+    model.decode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(text)
+
+
 def test_segmentation_is_the_best_one():
     model = pii.train([t for _, t in clean_corpus(60)])
     for _, text in clean_corpus(20):

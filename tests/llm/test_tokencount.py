@@ -57,3 +57,15 @@ def test_public_vocabulary():
     assert len(vocabulary.scores) > 30_000
     trie = C.Trie(vocabulary)
     assert trie.tokens(C.MARK + "the") == 1 and trie.tokens(C.MARK + "\U0001F9FF") >= 4
+
+
+def test_long_words_take_no_nodes(monkeypatch):
+    rng = random.Random(6)
+    vocabulary = C.Vocabulary.of(["a", "b", "ab", "abc", "c", "ca", "bb", "▁"])
+    words = ["▁" + "".join(rng.choice("abcdé") for _ in range(n)) for n in (1, 40, 300, 900)]
+    short = C.Trie(vocabulary)
+    want = [short.tokens(w) for w in words]
+    monkeypatch.setattr(C, "LONG", 10)
+    long = C.Trie(vocabulary)
+    assert [long.tokens(w) for w in words] == want
+    assert len(long.best) < 5

@@ -7,8 +7,9 @@ boundaries and kinds together.
 
 The CRF is trained here, on a bounded sample of places where the rules agree with themselves:
 their spans are the labels. Each training place also appears respelt (an e-mail with "at" and
-"dot", a phone number without its plus), so that the model cannot lean on the rules' own marks.
-Only places with a digit run, an at sign or a spelt-out dot are looked at.
+"dot", either or both, a phone number without its plus), so that the model cannot lean on the rules'
+own marks. Only places with a digit run, an at sign, a spelt-out dot, or a spelt-out at before a
+domain are looked at.
 """
 
 from __future__ import annotations
@@ -35,11 +36,16 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Longest span in tokens and characters, and what is looked at on both sides of a trigger.
-MAX_TOKENS, MAX_CHARS, AROUND = 16, 64, 40
+MAX_TOKENS, MAX_CHARS, AROUND = 26, 64, 40
 #: Training places per kind and without a span; a sample by hash of the place.
 PLACES, EPOCHS, RATE = 60, 10, 0.3
-TRIGGER = re.compile(r"@|[0-9](?:[ .()-]*[0-9]){5,}|(?i:[(\[ ]dot[)\] ])")
+TRIGGER = re.compile(
+    r"@|[0-9](?:[ .()-]*[0-9]){5,}|(?i:[(\[ ]dot[)\] ])|(?i:[(\[ ]at[)\] ] ?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,})")
+#: Digits that a span without letters may have: no kind has more.
+MAX_DIGITS = 19
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
+#: Spellings of an at sign and a dot that training sees.
+ATS, DOTS = ("@", " at ", "[at]", " (at) ", " [at] ", "(at)"), (".", " dot ", "[dot]", " (dot) ", "(dot)")
 SEED = 3
 
 
@@ -132,22 +138,33 @@ def kind_of(char: str) -> str:
     return "a" if char.isalpha() else "9" if char.isdigit() else "_" if char.isspace() else char
 
 
+def token_spans(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in TOKEN.finditer(text)]
+
+
+def spans_from(text: str, tokens: list[tuple[int, int]], i: int) -> Iterator[tuple[int, int, int]]:
+    """Candidate spans (first token, end token, tokens) that begin with token ``i``."""
+    a = tokens[i][0]
+    if not (text[a].isalnum() or text[a] in "+("):
+        return
+    signal, digits, bare = False, 0, True
+    for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
+        s, e = tokens[j - 1]
+        if e - a > MAX_CHARS or "\n" in text[s:e]:
+            return
+        digits += e - s if text[s].isdigit() else 0
+        bare &= not (text[s].isalpha() or text[s] == "@")
+        if bare and digits > MAX_DIGITS:
+            return
+        signal |= text[s] in "@0123456789" or text[s:e].lower() in ("dot", "at")
+        if signal and text[s].isalnum() and j - i > 1 or signal and e - s > 9:
+            yield i, j, j - i
+
+
 def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """(tokens as spans, candidate spans as (first token, end token, ...)) of one place."""
-    tokens = [m.span() for m in TOKEN.finditer(text)]
-    out = []
-    for i, (a, _) in enumerate(tokens):
-        if not (text[a].isalnum() or text[a] in "+("):
-            continue
-        signal = False
-        for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-            s, e = tokens[j - 1]
-            if e - a > MAX_CHARS or "\n" in text[s:e]:
-                break
-            signal |= text[s] in "@0123456789" or text[s:e].lower() == "dot"
-            if signal and text[s].isalnum() and j - i > 1 or signal and e - s > 9:
-                out.append((i, j, j - i))
-    return tokens, out
+    """(tokens as spans, all candidate spans) of one place."""
+    tokens = token_spans(text)
+    return tokens, [x for i in range(len(tokens)) for x in spans_from(text, tokens, i)]
 
 
 class SemiMarkov:
@@ -157,41 +174,48 @@ class SemiMarkov:
         self.weights: dict[str, np.ndarray] = {}
 
     def scores(self, text: str, tokens, spans, learn: bool = False):
-        zero = np.zeros(len(KINDS))
         named = [features(text, tokens[i][0], tokens[j - 1][1], n) for i, j, n in spans]
         if learn:
             for x in named:
                 for f in x:
                     self.weights.setdefault(f, np.zeros(len(KINDS)))
-        return named, np.array([sum((self.weights.get(f, zero) for f in x), zero) for x in named]).reshape(-1, len(KINDS))
+        return named, np.array([self.score(x) for x in named]).reshape(-1, len(KINDS))
 
     def decode(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, kind, end) of the best segmentation of a place."""
-        tokens, spans = candidates(text)
-        if not spans:
-            return []
-        _, scores = self.scores(text, tokens, spans)
-        kinds, values = scores.argmax(axis=1), scores.max(axis=1)
-        best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-        by_end: dict[int, list[int]] = {}
-        for k, (_, j, _) in enumerate(spans):
-            if values[k] > 0:
-                by_end.setdefault(j, []).append(k)
-        for j in range(1, len(tokens) + 1):
-            best[j] = best[j - 1]
-            for k in by_end.get(j, ()):
-                if best[spans[k][0]] + values[k] > best[j]:
-                    best[j], back[j] = best[spans[k][0]] + values[k], k
+        """(start, kind, end) of the best segmentation of a place; in a tie the earlier, shorter span.
+
+        Spans are scored as they begin and reach MAX_TOKENS ahead at most, so a place of any length holds
+        its tokens and one step back per token, never all its spans.
+        """
+        tokens = token_spans(text)
+        ahead: dict[int, tuple[float, int, int]] = {}  # end token: value, first token, kind
+        back: dict[int, tuple[int, int]] = {}
+        best = 0.0
+        for i in range(len(tokens) + 1):
+            reached = ahead.pop(i, None)
+            if reached is not None and reached[0] > best:
+                best, back[i] = reached[0], reached[1:]
+            if i == len(tokens):
+                break
+            for _, j, n in spans_from(text, tokens, i):
+                scores = self.score(features(text, tokens[i][0], tokens[j - 1][1], n))
+                kind = int(scores.argmax())
+                if scores[kind] > 0 and best + scores[kind] > ahead.get(j, (-np.inf,))[0]:
+                    ahead[j] = best + scores[kind], i, kind
         out, j = [], len(tokens)
         while j > 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, _, _ = spans[back[j]]
-                out.append((tokens[i][0], int(kinds[back[j]]), tokens[j - 1][1]))
+            if j in back:
+                i, kind = back[j]
+                out.append((tokens[i][0], kind, tokens[j - 1][1]))
                 j = i
+            else:
+                j -= 1
         return out[::-1]
 
+    def score(self, named: list[str]) -> np.ndarray:
+        known = [w for f in named if (w := self.weights.get(f)) is not None]
+        return np.sum(known, axis=0) if known else np.zeros(len(KINDS))
+
     def step(self, text: str, gold: list[tuple[int, int, int]], rate: float) -> None:
         """One gradient step on the log-likelihood of the labelled segmentation."""
         tokens, spans = candidates(text)
@@ -232,7 +256,9 @@ def respelt(text: str, gold: list[tuple[int, int, int]], rng: random.Random) ->
         out.append(text[at:start])
         span = text[start:end]
         if kind == 0:
-            a, d = rng.choice(((" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) ")))
+            a, d = rng.choice(ATS), rng.choice(DOTS)
+            if (a, d) == ("@", "."):
+                a = ATS[1]
             name, host = span.split("@", 1)
             span = name + a + host.replace(".", d)
         elif kind == 3:
@@ -292,7 +318,8 @@ def personal_data(documents: DataFrame, model: SemiMarkov | None = None, key: st
     Returns the key, n_email, n_ip, n_card, n_phone (the rules' spans), base_sha256 over them, ``spans``
     (all spans as kind:start:end, comma-joined) and n_added. Positions count code points, ends are
     exclusive. Spans of the model that touch a rule's span are left out. Null and empty texts have
-    none; repeated rows have equal results; other columns are not read.
+    none; repeated rows have equal results; equally good segmentations give the earlier spans; a text of
+    any length is read whole, in time and memory that follow its length; other columns are not read.
     """
     sent = shared(documents.sparkSession, model or fit(documents))
 

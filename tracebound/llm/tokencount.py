@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from tracebound.llm.batches import index_words, pieces, shared, sum_by_text
 
 MARK = "▁"
-#: Trie nodes after which a task starts a new trie.
-NODES = 500_000
+#: Trie nodes after which a task starts a new trie, and code points above which a pre-token has none.
+NODES, LONG = 500_000, 2048
 
 
 @dataclass
@@ -59,7 +59,13 @@ class Trie:
         self.best, self.count = [0.0], [0]
 
     def tokens(self, word: str) -> int:
-        """Tokens of the best segmentation; of equally good ones the one with fewer tokens."""
+        """Tokens of the best segmentation; of equally good ones the one with fewer tokens.
+
+        A very long pre-token shares too little with others to be worth a node per character: its scores
+        are worked out in the same way, but only those that a piece can still reach are kept.
+        """
+        if len(word) > LONG:
+            return self.tokens_of_long(word)
         child, path, node = self.child, [0], 0
         for end, char in enumerate(word, 1):
             below = child.get((node, char))
@@ -69,27 +75,42 @@ class Trie:
             node = below
         return self.count[node]
 
+    def tokens_of_long(self, word: str) -> int:
+        reach = self.vocabulary.longest
+        best, count = [0.0] * (reach + 1), [0] * (reach + 1)
+        for end in range(1, len(word) + 1):
+            place = end % (reach + 1)
+            best[place], count[place] = self.step(
+                word, end, lambda start: (best[start % (reach + 1)], count[start % (reach + 1)]))
+        return count[len(word) % (reach + 1)]
+
     def extended(self, word: str, end: int, path: list[int]) -> int:
-        scores, best, count = self.vocabulary.scores, self.best, self.count
+        best, count = self.best, self.count
+        score, n = self.step(word, end, lambda start: (best[path[start]], count[path[start]]))
+        best.append(score)
+        count.append(n)
+        return len(best) - 1
+
+    def step(self, word: str, end: int, at) -> tuple[float, int]:
+        """Best score and its tokens for ``word[:end]``, from those of shorter beginnings ``at(start)``."""
+        scores = self.vocabulary.scores
         n_bytes = len(word[end - 1].encode("utf-8", "replace"))
-        before = path[end - 1]
-        score, n = best[before] + n_bytes * self.vocabulary.unknown, count[before] + n_bytes
+        before, tokens = at(end - 1)
+        score, n = before + n_bytes * self.vocabulary.unknown, tokens + n_bytes
         for start in range(max(0, end - self.vocabulary.longest), end):
             piece = scores.get(word[start:end])
             if piece is not None:
-                at = path[start]
-                s, k = best[at] + piece, count[at] + 1
-                if s > score or s == score and k < n:
-                    score, n = s, k
-        best.append(score)
-        count.append(n)
-        return len(best) - 1
+                before, tokens = at(start)
+                if before + piece > score or before + piece == score and tokens + 1 < n:
+                    score, n = before + piece, tokens + 1
+        return score, n
 
 
 def token_counts(documents: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
     """Key, n_pretokens, n_distinct and n_tokens of every row of ``documents(key, text)``.
 
-    Null and empty texts have none; repeated rows have equal counts; other columns are not read.
+    Null and empty texts have none; repeated rows have equal counts; other columns are not read. Texts
+    and words of any length are counted whole: a word of more than LONG code points takes no nodes.
     """
     sent = shared(documents.sparkSession, vocabulary)
 
