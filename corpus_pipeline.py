@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracebound.llm.batches import removed_folder
 from tracebound.llm.decontaminate import clean_documents
 from tracebound.llm.mixing import mixed_documents
 from tracebound.llm.quality import kept_documents
@@ -54,9 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another; what a stage wrote is removed when the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_folder(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            removed_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
+    last = STAGES[-1][1](spark, docs, sf_dir)  # has written its own files
+    removed_folder(spark, before)
+    return last
