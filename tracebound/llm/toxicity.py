@@ -199,12 +199,21 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Network
         .select(order.alias("h"), F.col("toxic").cast("int").alias("toxic"), "text")
         .mapInArrow(hashed, "h bigint, toxic int, rows binary")
     )
-    taken, words = [], 0
-    for r in sample.orderBy("h", "rows").limit(TOXIC_ROWS + CLEAN_ROWS).toLocalIterator():
-        rows = np.frombuffer(bytes(r.rows), np.int32).reshape(-1, 1 + len(OPENINGS))
-        if words + len(rows) <= TRAIN_WORDS:
-            taken.append((rows, int(r.toxic > 0)))
-            words += len(rows)
+    # which rows fit is decided by their sizes; only those come to the driver
+    sample = cut(sample.withColumn("r", F.xxhash64("rows")))
+    order_of, words = [], 0
+    width = 4 * (1 + len(OPENINGS))
+    sizes = sample.select("h", "r", F.length("rows").alias("n")).orderBy("h", "r").limit(TOXIC_ROWS + CLEAN_ROWS)
+    for h, r, n in sizes.collect():
+        if words + n // width <= TRAIN_WORDS:
+            order_of.append((h, r))
+            words += n // width
+    found: dict[tuple, list] = {}
+    picked = documents.sparkSession.createDataFrame(sorted(set(order_of)), "h bigint, r bigint")
+    for x in sample.join(F.broadcast(picked), ["h", "r"]).toLocalIterator():  # at most TRAIN_WORDS words
+        rows = np.frombuffer(bytes(x.rows), np.int32).reshape(-1, 1 + len(OPENINGS))
+        found.setdefault((x.h, x.r), []).append((rows, int(x.toxic > 0)))
+    taken = [found[name].pop() for name in order_of]
     if len({y for _, y in taken}) < 2:  # nothing to tell apart
         net = Network.fresh()
         net.out[:] = 0
@@ -243,7 +252,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, key: str = "doc_id", langu
 
     The score sees the text alone. Null and empty texts are scored as texts without words; repeated
     rows get equal scores; null labels are no labels; a null key is never learnt from; a language
-    without toxic labelled rows uses THRESHOLD. Without labels of both kinds all scores are equal.
+    without toxic labelled rows uses THRESHOLD. Without labels of both kinds all scores are equal. Texts
+    of any length are scored whole; one that alone has more than TRAIN_WORDS words is not learnt from.
     """
     net = fit(documents, labels, key)
     rows = cut(scored(documents.withColumn("__language", F.coalesce(F.col(language).cast("string"), F.lit(""))),
