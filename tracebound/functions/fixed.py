@@ -200,3 +200,13 @@ ALLOWED_PREFIX_KINDS = (
     ("assets/", "visual-reference"),
     ("visual-references/", "visual-reference"),
 )
+
+# Patterns of the page rules Q-03 to Q-05; ATTRIBUTE and VALUE stand for what a caller asks for.
+ELEMENT_WITH = (
+    r"(?i)<([a-z][\w-]*)\b([^>]*\bATTRIBUTE\s*=\s*[\"']([^\"']+)[\"'][^>]*)>([\s\S]*?)</\1>"
+)
+TAG_WITH = r"(?i)<[a-z][^>]*\bATTRIBUTE\s*=\s*[\"']VALUE[\"'][^>]*>"
+VALUE_OF = r"(?i)\b(?:ATTRIBUTE)\s*=\s*[\"']([^\"']+)[\"']"
+CHART_PAYLOAD = (
+    r"(?i)<script\b[^>]*\bdata-chart-data-for\s*=\s*[\"']([^\"']+)[\"'][^>]*>([\s\S]*?)</script>"
+)

@@ -328,7 +328,7 @@ def lexical_support(claims: DataFrame, refs: DataFrame, units: DataFrame,
 def attribute_by_number(texts: DataFrame, facts: DataFrame) -> DataFrame:
     """J-09: texts whose every number points to exactly one source, the same one.
 
-    ``texts(text_id, text)``, ``facts(ref, raw_text)``. A token is kept only when its
+    ``texts(text_id, text)`` with unique ids, ``facts(ref, raw_text)``. A token is kept only when its
     smallest and largest source agree, so no set of sources is ever collected.
     """
     unique = (
@@ -340,17 +340,14 @@ def attribute_by_number(texts: DataFrame, facts: DataFrame) -> DataFrame:
         .groupBy("token").agg(F.min("ref").alias("ref"), F.max("ref").alias("__max"))
         .filter(F.col("ref") == F.col("__max")).drop("__max")
     )
-    tokens = texts.select(
-        "text_id",
-        F.explode(F.array_distinct(comparable_numbers(F.col("text"), "bare"))).alias("token"),
-    )
+    tokens = computed(
+        texts.select("text_id", "text"), found=F.array_distinct(comparable_numbers(F.col("text"), "bare"))
+    ).select("text_id", F.size("found").cast("bigint").alias("tokens"), F.explode("found").alias("token"))
     return (
-        tokens.join(unique, "token", "left")
-        .groupBy("text_id")
-        .agg(
-            F.count(F.lit(1)).alias("tokens"), F.count("ref").alias("resolved"),
-            F.min("ref").alias("ref"), F.max("ref").alias("__max"),
-        )
+        # tokens that point nowhere end here; their text then has fewer left than it had
+        tokens.join(unique, "token")
+        .groupBy("text_id", "tokens")
+        .agg(F.count(F.lit(1)).alias("resolved"), F.min("ref").alias("ref"), F.max("ref").alias("__max"))
         .filter((F.col("tokens") == F.col("resolved")) & (F.col("ref") == F.col("__max")))
         .select("text_id", "ref", "tokens")
     )

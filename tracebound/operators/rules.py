@@ -173,10 +173,7 @@ def numeric_without_source(pages: DataFrame, key: str, html: str,
                            edit_attr: str = "data-edit-id",
                            source_attr: str = "data-source-ref") -> DataFrame:
     """Q-03: editable elements that show a digit and name no source."""
-    pattern = (
-        rf"(?i)<([a-z][\w-]*)\b([^>]*\b{edit_attr}\s*=\s*[\"']([^\"']+)[\"'][^>]*)>"
-        r"([\s\S]*?)</\1>"
-    )
+    pattern = fixed.ELEMENT_WITH.replace("ATTRIBUTE", edit_attr)
     elements = pages.select(key, F.explode(matches(F.col(html), pattern)).alias("__element"))
     attributes = extract("__element", pattern, 2)
     text = F.regexp_replace(extract("__element", pattern, 4), "<[^>]+>", " ")
@@ -191,10 +188,10 @@ def derived_without_formula(pages: DataFrame, key: str, html: str,
                             formula_attr: str = "data-formula",
                             identity_attrs=("data-edit-id", "data-chart-id")) -> DataFrame:
     """Q-04: derived values without a formula."""
-    pattern = rf"(?i)<[a-z][^>]*\b{derived_attr}\s*=\s*[\"']{derived_value}[\"'][^>]*>"
+    pattern = fixed.TAG_WITH.replace("ATTRIBUTE", derived_attr).replace("VALUE", derived_value)
     tags = pages.select(key, F.explode(matches(F.col(html), pattern)).alias("__tag"))
     identity = extract(
-        "__tag", rf"(?i)\b(?:{'|'.join(identity_attrs)})\s*=\s*[\"']([^\"']+)[\"']", 1
+        "__tag", fixed.VALUE_OF.replace("ATTRIBUTE", "|".join(identity_attrs)), 1
     )
     return issue_rows(
         tags.filter(~_has_attribute(F.col("__tag"), formula_attr)),
@@ -227,11 +224,8 @@ def charts_without_data(charts: DataFrame, payloads: DataFrame) -> DataFrame:
 
 def page_charts(pages: DataFrame, key: str, html: str) -> tuple[DataFrame, DataFrame]:
     """Charts and payloads declared in pages, ready for ``charts_without_data``."""
-    chart_tag = r"(?i)<[a-z][^>]*\bdata-chart-id\s*=\s*[\"'][^\"']+[\"'][^>]*>"
-    payload = (
-        r"(?i)<script\b[^>]*\bdata-chart-data-for\s*=\s*[\"']([^\"']+)[\"'][^>]*>"
-        r"([\s\S]*?)</script>"
-    )
+    chart_tag = fixed.TAG_WITH.replace("ATTRIBUTE", "data-chart-id").replace("VALUE", r"[^\"']+")
+    payload = fixed.CHART_PAYLOAD
     charts = pages.select(key, F.explode(matches(F.col(html), chart_tag)).alias("t")).select(
         F.concat_ws("/", key, extract("t", attribute_pattern("data-chart-id"), 1))
         .alias("chart_id"),
