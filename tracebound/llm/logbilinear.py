@@ -15,18 +15,18 @@ are joined with their counts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracebound.llm.batches import index_words, pieces, shared, sum_by_text
+from tracebound.llm.batches import pieces, shared, sum_by_text
 from tracebound.plans.lineage import cut
 
 #: Tokens with a class of their own, classes by last letters, and how many letters those are.
@@ -38,37 +38,39 @@ DIMENSIONS, NOISE, BATCH, RATE = 16, 64, 2048, 0.1
 FIRST_SLICE = 10
 #: Tokens and contexts that are scored together.
 TOKENS, CONTEXTS = 1 << 22, 256
-#: Bytes of a text that are split into words at a time.
-SEGMENT = 4 << 20
 END_KEY = xxhash.xxh3_64_intdigest(b" ")  # no word is a blank
-BLANK = re.compile(rb"[\x20\x09-\x0D]")
 SEED = 3
 
 
-def segments(text: bytes) -> list[bytes]:
-    """The text in parts of about SEGMENT bytes that no word crosses."""
-    out, at = [], 0
-    while len(text) - at > SEGMENT:
-        blank = BLANK.search(text, at + SEGMENT)
-        if blank is None:
-            break
-        out.append(text[at:blank.start()])
-        at = blank.start()
-    return [*out, text[at:]]
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(word numbers, offsets of texts, distinct words), lower-cased; split at the six ASCII blanks."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    offsets = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64))
+    coded = parts.flatten().dictionary_encode()
+    numbers, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in words:  # before and after blanks at the ends of a text
+        empty = words.index(b"")
+        kept = numbers != empty
+        offsets = np.append(0, np.cumsum(kept))[offsets]
+        numbers = numbers[kept]
+        numbers = numbers - (numbers > empty)
+        del words[empty]
+    return numbers, offsets, words
+
 
+class Endings(dict):
+    """Classes of last letters, worked out once each."""
 
-def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(word numbers, offsets of texts, distinct words), lower-cased."""
-    parts = [segments(t.lower()) for t in texts]
-    numbers, offsets, words = index_words([s for p in parts for s in p])
-    return numbers, offsets[np.cumsum([0, *map(len, parts)])], words
+    def __missing__(self, letters: bytes) -> int:
+        found = self[letters] = xxhash.xxh3_64_intdigest(letters) % ENDINGS
+        return found
 
 
 def keys_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit keys and ending classes of words."""
     keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-    endings = np.fromiter((xxhash.xxh3_64_intdigest(w[-LETTERS:]) % ENDINGS for w in words), np.int32, len(words))
-    return keys, endings
+    known = Endings()
+    return keys, np.fromiter((known[w[-LETTERS:]] for w in words), np.int32, len(words))
 
 
 def end_key() -> int:
@@ -241,8 +243,8 @@ def is_held_out(key: str):
 def token_counts(texts: DataFrame) -> DataFrame:
     """(word, ending, c) of all tokens of ``texts(text)``."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in pieces(batches):
-            numbers, _, words = numbered(found)
+        for batch, found in pieces(batches):
+            numbers, _, words = numbered(batch.column("text"))
             keys, endings = keys_of(words)
             yield pa.record_batch([
                 pa.array(np.append(keys, end_key())), pa.array(np.append(endings, 0), pa.int32()),
@@ -286,8 +288,8 @@ def averaged(texts: DataFrame, words: Lexicon, weights: Weights) -> Weights:
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = sent()
         trainer = Trainer(weights, words.class_counts, SEED + TaskContext.get().partitionId())
-        for _, found in pieces(batches):
-            numbers, offsets, distinct = numbered(found)
+        for batch, _ in pieces(batches):
+            numbers, offsets, distinct = numbered(batch.column("text"))
             classes, starts = token_classes(numbers, offsets, words.classes_of(*keys_of(distinct)), words.end_class)
             trainer.learn(classes, *contexts_of(classes, starts, len(words.class_counts)))
         if trainer.tokens:
@@ -320,8 +322,8 @@ def scored(documents: DataFrame, words: Lexicon, weights: Weights, key: str) ->
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = sent()
-        for batch, found in pieces(batches):
-            numbers, offsets, distinct = numbered(found)
+        for batch, _ in pieces(batches):
+            numbers, offsets, distinct = numbered(batch.column("text"))
             keys, endings = keys_of(distinct)
             at = words.look_up(keys)
             counts = np.where(at >= 0, words.counts[at] if len(words.counts) else 0, 0)
@@ -357,7 +359,7 @@ def scored(documents: DataFrame, words: Lexicon, weights: Weights, key: str) ->
 
 
 def sum_by_float(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums per text, each text added on its own so that equal texts have equal sums."""
+    """Sums per text, each text added on its own."""
     return np.array([values[a:b].sum() for a, b in zip(offsets[:-1], offsets[1:])], float)
 
 
@@ -366,8 +368,9 @@ def language_scores(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
     The scores are log10 probabilities of the whole text with its end: by add-one counts, and by the
     model. Null and empty texts are an end alone; a null key is never learnt from and not held out;
-    repeated rows are learnt as often as they stand there and get rows of their own; a text of any
-    length is read in parts; words are compared by 64-bit hashes, the most frequent ones in a tie by
+    repeated rows are learnt as often as they stand there and get rows of their own, with scores equal
+    up to the rounding of 32-bit products; a text of any
+    length is scored whole, a block of tokens at a time; words are compared by 64-bit hashes, the most frequent ones in a tie by
     the smaller hash; other columns are not read; without training rows all words are unknown and all
     classes alike.
     """
