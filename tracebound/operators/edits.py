@@ -466,7 +466,10 @@ def edit_cells(cells: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame
     edited = cells.join(last, place, "left").withColumn(
         "cell", F.when(F.col("__edited"), F.col("__new")).otherwise(F.col("cell"))
     ).withColumn("edited", F.coalesce("__edited", F.lit(False))).drop("__new", "__edited")
-    return edited, edits.join(cells.select(*place), place, "left_anti")
+    # Only edited places travel: cells made in an array of each row look small to the optimizer, which
+    # would send them all to every task.
+    hit = cells.select(*place).join(edits.select(*place).distinct(), place, "left_semi").distinct()
+    return edited, edits.join(hit, place, "left_anti")
 
 
 # --- publishing -------------------------------------------------------------------------
