@@ -96,10 +96,12 @@ FIDELITY_DIALECTS = {
 def comparable_numbers(value: Column, dialect: str) -> Column:
     """Normalized numeric tokens of a text for one fidelity check."""
     pattern, form = FIDELITY_DIALECTS[dialect]
-    return F.filter(
-        F.transform(numeric_tokens(value, pattern), lambda t: normalize_number(t, form)),
-        lambda t: t.isNotNull(),
-    )
+    tokens = numeric_tokens(value, pattern)
+    if (pattern, form) == ("editorial", "editorial"):
+        return tokens  # already without commas
+    normal = F.transform(tokens, lambda t: normalize_number(t, form))
+    # only the bare form may find nothing in a token
+    return F.filter(normal, lambda t: t.isNotNull()) if form == "bare" else normal
 
 
 def qualification_tokens(value: Column, terms=fixed.QUALIFIERS_AUDIT) -> Column:

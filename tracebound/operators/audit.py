@@ -60,11 +60,9 @@ def _fact_tokens(bindings: DataFrame, facts: DataFrame, dialect: str) -> DataFra
     tokens = facts.select(
         "fact_id", F.array_distinct(comparable_numbers(F.col("raw_text"), dialect)).alias("tokens")
     )
-    return (
-        bindings.select("content_id", "fact_id").distinct().join(tokens, "fact_id")
-        .select("content_id", F.explode("tokens").alias("token"))
-        .distinct()
-    )
+    # repeats do no harm where this is used, and finding them would shuffle every pair again
+    return bindings.select("content_id", "fact_id").join(tokens, "fact_id").select(
+        "content_id", F.explode("tokens").alias("token"))
 
 
 def unbound_numbers(claims: DataFrame, bindings: DataFrame, facts: DataFrame,
@@ -157,7 +155,7 @@ def dropped_qualifiers(claims: DataFrame, bindings: DataFrame, facts: DataFrame,
         claim_numbers=F.array_distinct(comparable_numbers(F.col("text"), dialect)),
     ).filter(F.size("claim_numbers") > 0)
     dropped = (
-        bindings.select("content_id", "fact_id").distinct()
+        bindings.select("content_id", "fact_id")
         .join(fact_side, "fact_id")
         .join(claim_side, "content_id")
         .filter(F.arrays_overlap("claim_numbers", "fact_numbers"))

@@ -101,7 +101,8 @@ def order_lines(spark, folder) -> DataFrame:
              "l_linestatus"]
     bucket = F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.floor(
         F.col("l_partkey") / 1000)
-    return positions(lines, ["l_orderkey"], [F.col(c) for c in order], bucket, "rn")
+    return positions(
+        lines, ["l_orderkey"], [F.col(c) for c in order], bucket, "rn", spread_hot=True)
 
 
 def _line_id():
@@ -152,7 +153,9 @@ def cited_lines() -> Column:
 
 
 def numeric_refs(claims: DataFrame) -> DataFrame:
-    return claims.select("claim_id", F.explode(cited_lines()).alias("source_id"))
+    # the id within the generator: a filter on it would make another plan of ``claims``, read twice
+    return claims.select(F.inline(F.transform(cited_lines(), lambda source: F.struct(
+        F.col("claim_id").alias("claim_id"), source.alias("source_id")))))
 
 
 def lexical_refs(units: DataFrame) -> DataFrame:
