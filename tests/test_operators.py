@@ -364,6 +364,26 @@ def test_intervals_of_a_random_forest(spark):
     assert set(map(tuple, tree.subtree_intervals(intervals, frame, ["doc"]).collect())) == pairs
 
 
+def test_all_checks_at_once_agree_with_each(spark):
+    """Claims without sources, unknown and repeated sources, tokens of one form only, qualifiers."""
+    rng = random.Random(5)
+    words = ["1", "2", "1,000", "1000", "-3", "3", "4%", "4", "约", "至少", "x"]
+    claims = [(i, " ".join(rng.choices(words, k=rng.randrange(6))),
+               [f"s{rng.randrange(8)}" for _ in range(rng.randrange(4))] if i % 9 else None) for i in range(150)]
+    sources = [(f"s{i}", " ".join(rng.choices(words, k=rng.randrange(9)))) for i in range(6)]
+    claims = spark.createDataFrame(claims, "claim_id int, text string, source_ids array<string>")
+    sources = spark.createDataFrame(sources, "source_id string, text string")
+    refs = claims.select("claim_id", F.explode("source_ids").alias("source_id"))
+    content = claims.withColumnRenamed("claim_id", "content_id")
+    bound = refs.toDF("content_id", "fact_id"), sources.toDF("fact_id", "raw_text")
+    want = issues.collect_issues(
+        audit.unbound_numbers(content, *bound), audit.dropped_qualifiers(content, *bound),
+        audit.unsupported_number_issues(audit.unsupported_numbers(claims, refs, sources)))
+    assert rows(audit.claim_issues(claims, sources)) == rows(want) and want.count() > 50
+    verdicts = issues.audit_verdict(claims.select(F.col("claim_id").cast("string").alias("subject_id")), want)
+    assert rows(audit.claim_verdicts(claims, sources)) == rows(verdicts)
+
+
 def test_intervals_of_a_long_chain(spark):
     """Rounds follow the logarithm of the depth, and no row holds its ancestors."""
     deep = spark.range(600).selectExpr(

@@ -172,18 +172,9 @@ def dropped_qualifiers(claims: DataFrame, bindings: DataFrame, facts: DataFrame,
 
 def _claim_sums(claims: DataFrame, sources: DataFrame, terms, set_dialect: str,
                 count_dialect: str) -> DataFrame:
-    """``claim_id, code, token, fails``; every claim has one row with a NULL code."""
-    def tally(kind, tokens, needed, available):
-        return F.transform(
-            F.coalesce(tokens, empty_strings()),
-            lambda t: F.struct(
-                F.lit(kind).cast("string").alias("kind"), t.alias("token"), F.lit(needed).alias("needed"),
-                F.lit(available).alias("available"),
-            ),
-        )
-
+    """``claim_id, token, codes``: the checks that a token of a claim fails; no claim is left out."""
     own = computed(
-        claims.select("claim_id", "text", "source_ids"),
+        claims.select("claim_id", "text"),
         own_set=F.array_distinct(comparable_numbers(F.col("text"), set_dialect)),
         own_count=comparable_numbers(F.col("text"), count_dialect),
     )
@@ -193,60 +184,83 @@ def _claim_sums(claims: DataFrame, sources: DataFrame, terms, set_dialect: str,
         fact_count=comparable_numbers(F.col("source_text"), count_dialect),
         qualifiers=F.array_distinct(qualification_tokens(F.col("source_text"), terms)),
     ).drop("source_text")
-    pairs = own.select(
-        "claim_id", "text", "own_set", "own_count",
-        F.posexplode_outer("source_ids").alias("pos", "source_id"),
-    ).join(facts, "source_id", "left")
-    shared = F.array_intersect("own_set", "fact_set")
-    dropped = F.when(
-        F.size(shared) > 0, F.filter("qualifiers", lambda q: ~F.contains(F.col("text"), q))
-    )
-    first = F.coalesce("pos", F.lit(0)) == 0
-    itself = F.array(F.lit(""))
-    tallies = F.concat(
-        tally(None, F.when(first, itself), 0, 0),
-        tally("fact-distortion", F.when(first, F.col("own_set")), 1, 0),
-        tally("fact-distortion", shared, 0, 1),
-        tally("numeric-token-absent", F.when(first, F.col("own_count")), 1, 0),
-        tally(
-            "numeric-token-absent",
-            F.filter("fact_count", lambda t: F.array_contains(F.col("own_count"), t)), 0, 1,
-        ),
-        tally("dropped-qualification", dropped, 1, 0),
-    )
+    # Narrow pairs go to the sources and bring their tokens back; the claim's text stays where it is.
+    # The sums below need no shuffle then: everything about a claim already lies together.
+    cited = claims.select(F.inline(F.transform("source_ids", lambda source, pos: F.struct(
+        # the id within the generator: a filter on it would make another plan of ``claims``, read twice
+        F.col("claim_id").alias("claim_id"), pos.alias("pos"), source.alias("source_id"))))
+    ).join(facts, "source_id", "left").drop("source_id")
+
+    def or_none(tokens):
+        return F.coalesce(tokens, empty_strings())
+
+    pairs = own.join(cited, "claim_id", "left").select(
+        "claim_id", "text", "own_set", "own_count", "qualifiers",
+        (F.coalesce("pos", F.lit(0)) == 0).alias("first"),
+        or_none(F.array_intersect("own_set", "fact_set")).alias("shared"),
+        or_none(F.filter("fact_count", lambda t: F.array_contains("own_count", t))).alias("met"),
+    )
+
+    # one row of numbers per token: wanted and found as a set, wanted and found as often, qualifier
+    def tallies(tokens, set_wanted=0, set_found=0, wanted=0, found=0, dropped=0):
+        def number(value, t, name):
+            return (value(t).cast("int") if callable(value) else F.lit(value)).alias(name)
+
+        return F.transform(tokens, lambda t: F.struct(
+            t.alias("token"), number(set_wanted, t, "set_wanted"), number(set_found, t, "set_found"),
+            number(wanted, t, "wanted"), number(found, t, "found"), number(dropped, t, "dropped")))
+
+    def has(tokens):
+        return lambda t: F.array_contains(tokens, t)
+
+    none = F.array().cast(
+        "array<struct<token:string,set_wanted:int,set_found:int,wanted:int,found:int,dropped:int>>")
+    needs = F.when(F.col("first"), F.concat(
+        tallies(F.array(F.lit(""))),  # the claim itself
+        tallies("own_count", set_wanted=has("own_set"), wanted=1),
+        tallies(F.array_except("own_set", "own_count"), set_wanted=1),
+    )).otherwise(none)
+    gone = F.when(
+        (F.size("shared") > 0) & (F.size("qualifiers") > 0),
+        tallies(F.filter("qualifiers", lambda q: ~F.contains(F.col("text"), q)), dropped=1),
+    ).otherwise(none)
+    rows = F.concat(
+        needs, tallies("met", set_found=has("shared"), found=1),
+        tallies(F.array_except("shared", "met"), set_found=1), gone)
     sums = (
-        pairs.select("claim_id", F.explode(tallies).alias("t"))
-        .groupBy("claim_id", F.col("t.kind").alias("code"), F.col("t.token").alias("token"))
-        .agg(F.sum("t.needed").alias("needed"), F.sum("t.available").alias("available"))
-    )
-    fails = F.when(F.col("code") == "fact-distortion", F.col("available") == 0).otherwise(
-        F.col("needed") > F.col("available")
-    )
-    return sums.select(
-        "claim_id", "code", "token", ((F.col("needed") > 0) & fails).alias("fails")
+        pairs.select("claim_id", F.explode(rows).alias("t"))
+        .groupBy("claim_id", F.col("t.token").alias("token"))
+        .agg(*[F.sum(f"t.{c}").alias(c) for c in ("set_wanted", "set_found", "wanted", "found", "dropped")])
     )
+    return sums.select("claim_id", "token", F.array_compact(F.array(
+        F.when((F.col("set_wanted") > 0) & (F.col("set_found") == 0), "fact-distortion"),
+        F.when(F.col("wanted") > F.col("found"), "numeric-token-absent"),
+        F.when(F.col("dropped") > 0, "dropped-qualification"),
+    )).alias("codes"))
 
 
 def claim_issues(claims: DataFrame, sources: DataFrame, terms=fixed.QUALIFIERS_AUDIT,
                  set_dialect: str = "audit", count_dialect: str = "editorial") -> DataFrame:
     """J-04, J-05 and J-06 together: one join and one aggregation for all three checks.
 
-    ``claims(claim_id, text, source_ids ARRAY)``, ``sources(source_id, text)``. Each pair
+    ``claims(claim_id, text, source_ids ARRAY)`` with unique ids, ``sources(source_id, text)``. Each pair
     of a claim and a cited source tallies the tokens that both hold, and the first pair of
     a claim also tallies what the claim needs; the sums per (claim, token) decide.
     """
     sums = _claim_sums(claims, sources, terms, set_dialect, count_dialect)
-    return issue_rows(sums.filter("fails"), F.col("code"), "claim_id", "token")
+    failed = sums.filter(F.size("codes") > 0).select("claim_id", "token", F.explode("codes").alias("code"))
+    return issue_rows(failed, F.col("code"), "claim_id", "token")
 
 
 def claim_verdicts(claims: DataFrame, sources: DataFrame, terms=fixed.QUALIFIERS_AUDIT,
                    set_dialect: str = "audit", count_dialect: str = "editorial") -> DataFrame:
     """A-23 over ``claim_issues``, for every claim, without reading the claims again."""
     sums = _claim_sums(claims, sources, terms, set_dialect, count_dialect)
-    return sums.groupBy(F.col("claim_id").cast("string").alias("subject_id")).agg(
-        F.count_if("fails").alias("errors"),
-        F.lit(0).cast("bigint").alias("warnings"),
-        (F.count_if("fails") == 0).alias("valid"),
+    return sums.groupBy("claim_id").agg(
+        F.sum(F.size("codes")).cast("bigint").alias("errors")
+    ).select(
+        F.col("claim_id").cast("string").alias("subject_id"), "errors",
+        F.lit(0).cast("bigint").alias("warnings"), (F.col("errors") == 0).alias("valid"),
     )
 
 
