@@ -258,9 +258,10 @@ def tree_intervals(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame
                 (size + F.coalesce("__gain", F.lit(0))).alias("size"),
                 (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
                 (F.col("rooted") | (F.col("up").isNotNull() & F.coalesce("__rooted", F.lit(False)))).alias("rooted")))
-    known = base.join(jump.filter(F.col("rooted") & F.col("up").isNull()).drop("up", "rooted"), on)
+    known = cut(base.join(jump.filter(F.col("rooted") & F.col("up").isNull()).drop("up", "rooted"), on))
     order = [F.col("ord"), F.hex(F.col("node_id").cast("string"))]
-    placed = running_sum(known, [*keys, "parent_id"], order, F.floor(F.col("ord") / 4096), size, "__upto")
+    placed = running_sum(known, [*keys, "parent_id"], order, F.floor(F.col("ord") / 4096), size, "__upto",
+                         spread_hot=True)  # few nodes have many children
     inside = F.when(F.col("parent_id").isNotNull(), 1).otherwise(0)
     placed = cut(placed.withColumn("enter", (F.col("__upto") - size + inside).cast("bigint")).select(
         *on, "parent_id", F.col("parent_id").alias("up"), "depth", "size", "enter"))
@@ -273,42 +274,56 @@ def tree_intervals(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame
     return placed.select(*on, "parent_id", "depth", "enter", (F.col("enter") + size - 1).alias("leave"))
 
 
+#: Bits by which the blocks of a level are larger than those of the level below.
+BLOCK_BITS = 4
+
+
 def _blocks(enter: Column, leave: Column) -> Column:
-    """The few aligned blocks of 1, 2, 4, ... places that make up an interval: level and number."""
+    """The aligned blocks of 1, 16, 256, ... places that make up an interval: level and number.
+
+    Less than 30 of each level, and no more levels than the interval has hexadecimal digits.
+    """
     kind = "array<struct<level:int,block:bigint>>"
     state = F.struct(enter.alias("a"), (leave + 1).alias("b"), F.array().cast(kind).alias("out"))
 
     def step(acc, level):
         a, b = acc["a"], acc["b"]
+        # the next larger blocks that lie inside; without any, the rest is taken at this level
+        up, down = F.shiftright(a + ((1 << BLOCK_BITS) - 1), BLOCK_BITS), F.shiftright(b, BLOCK_BITS)
+        more = up < down
 
-        def taken(when, block):
-            return F.when(when, F.array(F.struct(level.alias("level"), block.alias("block")))).otherwise(
-                F.array().cast(kind))
+        def taken(start, end):
+            return F.when(start < end, F.transform(F.sequence(start, end - 1), lambda n: F.struct(
+                level.alias("level"), n.alias("block")))).otherwise(F.array().cast(kind))
 
-        low = (a < b) & (a % 2 == 1)
-        start = F.when(low, a + 1).otherwise(a)
-        high = (start < b) & (b % 2 == 1)
-        end = F.when(high, b - 1).otherwise(b)
         return F.struct(
-            F.shiftright(start, 1).alias("a"), F.shiftright(end, 1).alias("b"),
-            F.concat(acc["out"], taken(low, a), taken(high, b - 1)).alias("out"))
+            F.when(more, up).otherwise(F.lit(0)).alias("a"), F.when(more, down).otherwise(F.lit(0)).alias("b"),
+            F.concat(
+                acc["out"], taken(a, F.when(more, F.shiftleft(up, BLOCK_BITS)).otherwise(b)),
+                F.when(more, taken(F.shiftleft(down, BLOCK_BITS), b)).otherwise(F.array().cast(kind)),
+            ).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), state, step)["out"]
+    digits = F.ceil(F.length(F.bin(leave - enter + 1)) / BLOCK_BITS).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), digits - 1), state, step)["out"]
 
 
 def subtree_intervals(intervals: DataFrame, roots: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """N-02: descendants of each root, itself included, from ``tree_intervals``: ``keys, root_id, node_id``.
 
-    A root's interval is a few aligned blocks, a node lies in one block of each size; both meet by
-    equality, so a document of any size is spread over the tasks, and work follows the result.
+    The interval below a root is a few aligned blocks, a node lies in one block of each size; both meet
+    by equality, so a document of any size is spread over the tasks, and work follows the result. Roots
+    without children have no blocks.
     """
     keys = keys or []
-    anchors = cut(
-        intervals.join(roots.select(*keys, "node_id").distinct(), [*keys, "node_id"]).select(
-            *keys, F.col("node_id").alias("root_id"), F.inline(_blocks(F.col("enter"), F.col("leave")))))
-    levels = [r.level for r in anchors.select("level").distinct().collect()]  # 63 at most
+    anchors = intervals.join(roots.select(*keys, "node_id").distinct(), [*keys, "node_id"], "left_semi")
+    itself = anchors.select(*keys, F.col("node_id").alias("root_id"), "node_id")
+    blocks = cut(anchors.filter(F.col("leave") > F.col("enter")).select(
+        *keys, F.col("node_id").alias("root_id"), F.inline(_blocks(F.col("enter") + 1, F.col("leave")))))
+    levels = [r.level for r in blocks.select("level").distinct().collect()]  # 16 at most
     if not levels:
-        return anchors.select(*keys, "root_id", F.col("root_id").alias("node_id"))
+        return itself
     places = intervals.select(*keys, "node_id", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("level"), F.shiftright("enter", n).alias("block")) for n in sorted(levels)])))
-    return places.join(anchors, [*keys, "level", "block"]).select(*keys, "root_id", "node_id")
+        F.struct(F.lit(n).alias("level"), F.shiftright("enter", n * BLOCK_BITS).alias("block"))
+        for n in sorted(levels)])))
+    below = places.join(blocks, [*keys, "level", "block"]).select(*keys, "root_id", "node_id")
+    return itself.unionByName(below)
