@@ -173,17 +173,18 @@ def dropped_qualifiers(claims: DataFrame, bindings: DataFrame, facts: DataFrame,
 def _claim_sums(claims: DataFrame, sources: DataFrame, terms, set_dialect: str,
                 count_dialect: str) -> DataFrame:
     """``claim_id, token, codes``: the checks that a token of a claim fails; no claim is left out."""
-    own = computed(
-        claims.select("claim_id", "text"),
-        own_set=F.array_distinct(comparable_numbers(F.col("text"), set_dialect)),
-        own_count=comparable_numbers(F.col("text"), count_dialect),
-    )
-    facts = computed(
-        sources.select("source_id", F.col("text").alias("source_text")),
-        fact_set=F.array_distinct(comparable_numbers(F.col("source_text"), set_dialect)),
-        fact_count=comparable_numbers(F.col("source_text"), count_dialect),
-        qualifiers=F.array_distinct(qualification_tokens(F.col("source_text"), terms)),
-    ).drop("source_text")
+    # joins follow, so these are computed once per row as they are
+    own = claims.select(
+        "claim_id", "text",
+        F.array_distinct(comparable_numbers(F.col("text"), set_dialect)).alias("own_set"),
+        comparable_numbers(F.col("text"), count_dialect).alias("own_count"),
+    )
+    facts = sources.select(
+        "source_id",
+        F.array_distinct(comparable_numbers(F.col("text"), set_dialect)).alias("fact_set"),
+        comparable_numbers(F.col("text"), count_dialect).alias("fact_count"),
+        F.array_distinct(qualification_tokens(F.col("text"), terms)).alias("qualifiers"),
+    )
     # Narrow pairs go to the sources and bring their tokens back; the claim's text stays where it is.
     # The sums below need no shuffle then: everything about a claim already lies together.
     cited = claims.select(F.inline(F.transform("source_ids", lambda source, pos: F.struct(
