@@ -1,6 +1,7 @@
 """Plans for hot keys give the same rows as the plain definitions, checked by brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -279,6 +280,18 @@ def test_lines_are_numbered_once_for_claims_and_once_for_sources(spark, folder,
     assert plan.count("row_number()") == 2, plan
 
 
+@pytest.mark.parametrize("name", ["a23_issue_verdict", "a23_audit_verdict"])
+def test_sums_of_a_claim_are_not_shuffled_by_token(spark, folder, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # plans as of large tables
+    try:
+        plan = entry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert keys and all(k.count("#") == 1 for k in keys), keys
+
+
 def test_rejected_edits_send_only_edited_places_to_every_task(spark, folder):
     lines = _final_plan(entry.queries()["n07_rejected_edits"](spark, folder)).splitlines()
     depth = [len(x) - len(x.lstrip(" :+-|")) for x in lines]
