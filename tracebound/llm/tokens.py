@@ -1,6 +1,6 @@
 """Documents as token ids in compressed binary files, and back (operator 4).
 
-Documents are ordered by range partitions. Each task numbers its distinct words, tokenizes every
+Documents are ordered by range partitions. Each worker numbers its distinct words, tokenizes every
 distinct word once with the ``tokenizers`` library, and lays out the ids of its documents;
 ``idcoder`` turns about ``CHUNK`` ids at a time into one chunk. A chunk with the documents that it
 holds is one row of a Parquet folder, so Spark's writer commits whole files, a lost executor's
@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from tracebound.llm.idcoder import decode, encode
 END_ID = 2
 #: Ids in one chunk, unless a single document has more.
 CHUNK = 1_500_000
-#: Distinct words whose ids a task remembers; then it starts anew.
-REMEMBERED = 250_000
+#: Distinct words whose ids a worker remembers, and their bytes; then it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64 << 20
 #: Bytes of text that are tokenized together, and of a row group of the written files.
-PIECE, ROW_GROUP = 2 << 20, 8 << 20
+PIECE, ROW_GROUP = 4 << 20, 8 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -43,52 +44,112 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Where a word ends in a letter or digit and punctuation other than apostrophes follows up to
-#: the next blank. The tokenizer cuts there too, so "word," needs no ids besides "word" and ",".
-TAIL = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~]+(?:[\x20\x09-\x0D]|\Z))")
+#: Classes of bytes: blanks, letters and digits, punctuation other than apostrophes, all others.
+#: The tokenizer cuts between the second and the third, so "word," needs no ids besides "word" and ",".
+BLANK, WORD, MARK, OTHER = 0, 2, 4, 1
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[list(b" \t\n\v\f\r")] = BLANK
+KINDS[[k for k in range(128) if chr(k).isalnum()]] = WORD
+KINDS[[k for k in range(33, 127) if not chr(k).isalnum() and chr(k) != "'"]] = MARK
+
+
+def parts_of(texts: list[bytes], lower: bool) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(numbers of the parts that are tokenized one by one, distinct parts, parts per text).
+
+    Texts are cut at ASCII blanks and where ``KINDS`` says, and lower-cased if ``lower``. Texts with
+    ``<|`` are only cut at blanks, since special tokens are matched before anything else.
+    """
+    joined = b" ".join(texts) + b" "
+    raw = np.frombuffer(bytearray(joined.lower() if lower else joined), np.uint8)
+    kinds = KINDS[raw]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    before = np.append(np.uint8(BLANK), kinds[:-1])
+    cuts = (kinds ^ before) == WORD ^ MARK
+    if b"<|" in joined:
+        for end, text in zip(ends.tolist(), texts):
+            if b"<|" in text:
+                raw[end - 1 - len(text):end - 1] = np.frombuffer(text, np.uint8)
+                cuts[end - 1 - len(text):end - 1] = False
+    own = kinds != BLANK
+    first = own & (cuts | (before == BLANK))
+    body = raw[own]
+    begins = np.append(np.flatnonzero(first[own]), len(body))
+    parts = pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(body)])
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), ends), prepend=0)
+    found = parts.dictionary_encode()
+    _, at, data = found.dictionary.buffers()
+    data, at = (data.to_pybytes() if data else b""), np.frombuffer(at, np.int64, len(found.dictionary) + 1).tolist()
+    return found.indices.to_numpy(), [data[a:b] for a, b in pairwise(at)], counts
 
 
 class WordTokens:
-    """Ids of texts whose tokens never cross ASCII blanks, through one lookup per word.
+    """Ids of texts whose tokens never cross ASCII blanks, through one lookup per distinct part.
 
-    Words are compared after ASCII lower-casing, which a lower-casing tokenizer does itself;
-    texts with ``<|`` are kept as they are, since special tokens are matched before it.
+    Parts are compared after ASCII lower-casing, which a lower-casing tokenizer does itself. Parts
+    of Latin letters alone go straight to the tokenizer's model, each letter in the form that the
+    steps before the model give it. A letter for which that is not the same stays out.
     """
 
     def __init__(self, definition: str, lower: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.lower = Tokenizer.from_str(definition), lower
+        self.forms = {}
+        for letter in filter(str.isalpha, map(chr, range(0x250))):
+            form = self.form_of(letter)
+            if form and self.form_of(f"{letter}a{letter}{letter}b") == f"{form}a{form}{form}b":
+                self.forms[ord(letter)] = form
+        letters = [chr(k) for k in self.forms]
+        probes = [*letters, *("n" + a for a in letters), *(a + "e" for a in letters), "".join(letters)]
+        if self.by_model(probes) != self.by_all_steps(probes):
+            self.forms = {}
+        self.letters = re.compile(f"[{''.join(map(chr, self.forms))}]+" if self.forms else r"(?!)").fullmatch
         self.forget()
 
+    def form_of(self, word: str) -> str | None:
+        """What the model gets for ``word``, if that is one string."""
+        steps = self.tokenizer
+        if steps.normalizer:
+            word = steps.normalizer.normalize_str(word)
+        found = steps.pre_tokenizer.pre_tokenize_str(word) if steps.pre_tokenizer else [(word, None)]
+        return found[0][0] if len(found) == 1 else None
+
     def forget(self):
-        self.index, self.known = Index(), 0
-        self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.int32)
+        # number 0 is the end of a text
+        self.index, self.known, self.bytes = Index({None: 0}), 1, 0
+        self.starts, self.flat = np.array([0, 1]), np.array([END_ID], np.int32)
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.index) > REMEMBERED:
+    def by_model(self, words: list[str]) -> list[list[int]]:
+        tokenize, forms = self.tokenizer.model.tokenize, self.forms
+        return [[x.id for x in tokenize(w.translate(forms))] for w in words]
+
+    def by_all_steps(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for at in range(0, len(words), 4096)
+                for x in self.tokenizer.encode_batch_fast(words[at:at + 4096], add_special_tokens=False)]
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with its end, number of ids per text)"""
+        if len(self.index) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.forget()
-        number, parts = self.index.__getitem__, []
-        for text in texts:
-            if b"<|" not in text:
-                text = TAIL.sub(b" ", text.lower() if self.lower else text)
-            words = text.split()
-            parts.append(np.fromiter(map(number, words), np.int64, len(words)))
+        numbers, distinct, counts = parts_of(texts, self.lower)
+        own = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
         self.learn()
-        return [self.joined(p) for p in parts]
+        ends = np.cumsum(counts)
+        lists = pa.LargeListArray.from_arrays(self.starts, self.flat)
+        found = lists.take(pa.array(np.insert(own[numbers], ends, 0)))
+        after = found.offsets.to_numpy()
+        return found.flatten().to_numpy(), np.diff(after[ends + np.arange(1, len(ends) + 1)], prepend=0)
 
     def learn(self):
-        words = list(self.index)[self.known:]
-        flat, lengths = [self.flat], []
-        for at in range(0, len(words), 4096):
-            found = self.tokenizer.encode_batch_fast(
-                [w.decode() for w in words[at:at + 4096]], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            lengths += map(len, ids)
-            flat.append(np.fromiter((i for x in ids for i in x), np.int32))
-        self.flat = np.concatenate(flat)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)])
-        self.known = len(self.index)
+        words = [w.decode() for w in islice(self.index, self.known, None)]
+        whole = [self.letters(w) is not None for w in words]
+        plain = iter(self.by_model([w for w, p in zip(words, whole) if p]))
+        others = iter(self.by_all_steps([w for w, p in zip(words, whole) if not p]))
+        found = [next(plain if p else others) for p in whole]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())))
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(lengths))
+        self.known, self.bytes = len(self.index), self.bytes + sum(map(len, words))
 
     @classmethod
     def of_worker(cls, definition: str, lower: bool) -> WordTokens:
@@ -104,12 +165,6 @@ class WordTokens:
             held[name] = cls(definition, lower)
         return held[name]
 
-    def joined(self, words: np.ndarray) -> np.ndarray:
-        first = self.starts[words]
-        counts = self.starts[words + 1] - first
-        shift = np.repeat(first - (np.cumsum(counts) - counts), counts)
-        return np.append(self.flat[np.arange(len(shift)) + shift], np.int32(END_ID))
-
 
 def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, key: str = "doc_id",
                  lower: bool = True, chunk: int = CHUNK) -> None:
@@ -126,31 +181,38 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, key: str
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokens.of_worker(definition.value, lower)
         part, before = TaskContext.get().partitionId(), 0
-        keys, held, n = [], [], 0
+        keys, held, sizes, n = [], [], [], 0
+
+        def hold(batch: pa.RecordBatch, ids: np.ndarray, lengths: np.ndarray) -> None:
+            nonlocal n
+            keys.append(batch.column(key))
+            held.append(ids)
+            sizes.append(lengths)
+            n += len(ids)
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(x) for x in held]
             row = pa.record_batch([
                 pa.array([part], pa.int64()), pa.array([before], pa.int64()),
                 pa.array([n], pa.int64()),
                 pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)),
-                pa.array([lengths], pa.list_(pa.int64())),
+                pa.array([np.concatenate(sizes)], pa.list_(pa.int64())),
                 pa.array([encode(np.concatenate(held))], pa.binary()),
             ], names=["part", "before", "n", "keys", "lengths", "ids"])
             return row
 
         for batch, texts in pieces(batches, limit=PIECE):
-            found = words(texts)
-            at = 0
-            for k, ids in enumerate(found):
-                held.append(ids)
-                n += len(ids)
-                if n >= chunk:
-                    keys.append(batch.column(key).slice(at, k + 1 - at))
-                    yield flush()
-                    before, keys, held, n, at = before + n, [], [], 0, k + 1
-            if at < len(found):
-                keys.append(batch.column(key).slice(at))
+            ids, lengths = words(texts)
+            ends = np.cumsum(lengths)
+            at = done = 0
+            while ends[-1] - done + n >= chunk:
+                k = int(np.searchsorted(ends, done + chunk - n)) + 1
+                hold(batch.slice(at, k - at), ids[done:ends[k - 1]], lengths[at:k])
+                yield flush()
+                before, keys, held, sizes, n, at, done = before + n, [], [], [], 0, k, int(ends[k - 1])
+                if k == len(ends):
+                    break
+            if at < len(ends):
+                hold(batch.slice(at), ids[done:], lengths[at:])
         if held:
             yield flush()
 
