@@ -92,3 +92,42 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.without_repeats(empty).collect() == []
     assert S.remove_references(empty, empty).collect() == []
+
+
+def test_bits_instead_of_numbers(spark):
+    """More anchors and rows than may be broadcast as numbers, fewer than need a join."""
+    rows = corpus(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    anchors = df.select("text").mapInArrow(S.anchor_counts, "anchor bigint, n bigint").groupBy("anchor").sum("n")
+    anchors, limit = anchors.filter("`sum(n)` > 1").select("anchor"), 20
+    held = [r.anchor for r in anchors.collect()]
+    assert limit < len(held) <= S.BITMAP * limit
+    assert S.member_test(anchors, len(held) // S.BITMAP) is None
+    for most in (limit, len(held)):
+        test = S.member_test(anchors, most)
+        assert test(S.np.array(held)).all()
+        assert test(S.np.random.default_rng(1).integers(-2**63, 2**63 - 1, 100_000)).sum() < 10
+    got = S.without_repeats(df, texts=False, limit=limit).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain(rows)
+
+
+def shuffled_words(node) -> int:
+    """How many shuffles of a physical plan carry the column ``words``."""
+    own = node.nodeName() == "Exchange" and "words#" in node.output().mkString(" ")
+    below = node.children()
+    return own + sum(shuffled_words(below.apply(k)) for k in range(below.size()))
+
+
+def test_words_are_shuffled_once_after_they_are_distinct(spark):
+    df = spark.createDataFrame(corpus(3), "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan as it is before the run
+    try:
+        found = S.repeats(df, most=3)
+        assert shuffled_words(found._jdf.queryExecution().executedPlan()) == 1
+        spread = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for row in spread:
+        # begin, end, ... : a span for each stretch of an anchor, not a number for each window
+        assert len(row.found) % 2 == 0
+        assert all(b - a >= S.WINDOW for a, b in zip(row.found[::2], row.found[1::2]))

@@ -23,7 +23,7 @@ corpus has in changing surroundings) is not brought into one task: its windows a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracebound.llm.batches import covered, grams, index_words, pieces, shared, starts_inside, sum_by_text
+from tracebound.llm.batches import covered, grams, index_words, mixed, pieces, shared, starts_inside, sum_by_text
 from tracebound.plans.lineage import cut
 
 WINDOW, GRAM = 35, 8
 #: Different passages of one anchor that share an automaton.
 PASSAGES = 2000
-#: Repeated anchors that may be broadcast (8 bytes each); above it they are joined.
-BROADCAST_ANCHORS = 4_000_000
+#: Numbers that may be broadcast (8 bytes each); up to ``BITMAP`` times as many go as bits of a
+#: table of that size in all, and more are joined.
+BROADCAST_ANCHORS, BITMAP = 4_000_000, 16
+#: Bits of the table are 2 to this power, in blocks of 2 to the second.
+BITS, BLOCK_BITS = 28, 18
 #: Words of reference text in one broadcast automaton (about 60 MB).
 SHARD_WORDS = 100_000
 
@@ -172,6 +175,69 @@ def in_sorted(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
+def places_of(values: np.ndarray) -> np.ndarray:
+    """The bit of each number."""
+    return (mixed(values.view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def member_test(numbers: DataFrame, limit: int) -> Callable[[np.ndarray], np.ndarray] | None:
+    """Tells tasks which values may be in ``numbers(bigint)``; ``None`` if there are too many.
+
+    All that are in it pass. Above ``limit`` a few others pass too: at ``BITMAP * limit`` numbers, a
+    quarter of them. The driver gets the sorted numbers or the bits, no more than 32 MB of either.
+    """
+    count, (name,) = numbers.count(), numbers.columns
+    if count <= limit:
+        known = shared(numbers.sparkSession, np.sort(numbers.toArrow().column(name).to_numpy().view(np.uint64)))
+        return lambda values: in_sorted(known(), values.view(np.uint64))
+    if count > BITMAP * limit:
+        return None
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = places_of(batch.column(0).to_numpy())
+            yield pa.record_batch([pa.array(at >> BLOCK_BITS), pa.array(at)], names=["block", "at"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, bits = None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([block], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())],
+                                   names=["block", "bits"])
+
+        for batch in batches:
+            blocks, at = (batch.column(k).to_numpy() for k in (0, 1))
+            for b in np.unique(blocks).tolist():  # ascending, as the rows are
+                if b != block:
+                    if bits is not None:
+                        yield row()
+                    block, bits = b, np.zeros(1 << BLOCK_BITS, bool)
+                bits[at[blocks == b] & (1 << BLOCK_BITS) - 1] = True
+        if bits is not None:
+            yield row()
+
+    table = np.zeros(1 << BITS - 3, np.uint8)
+    rows = (numbers.mapInArrow(placed, "block bigint, at bigint").repartition("block")
+            .sortWithinPartitions("block").mapInArrow(packed, "block bigint, bits binary"))
+    for found in rows.toLocalIterator():
+        begin = found.block << BLOCK_BITS - 3
+        table[begin:begin + len(found.bits)] = np.frombuffer(found.bits, np.uint8)
+    bitmap = shared(numbers.sparkSession, table)
+
+    def test(values: np.ndarray) -> np.ndarray:
+        at = places_of(values)
+        return bitmap().take(at >> 3) >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+
+    return test
+
+
+def spans(starts: np.ndarray) -> list[int]:
+    """The words of windows with these ascending first words: begin, end, begin, end, ..."""
+    heads = np.flatnonzero(np.diff(starts, prepend=-WINDOW - 1) > WINDOW)
+    ends = starts[np.append(heads[1:], len(starts)) - 1] + WINDOW
+    return np.column_stack([starts[heads], ends]).ravel().tolist()
+
+
 def anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in pieces(batches):
         _, at, values = anchors_of(*word_hashes(texts))
@@ -215,14 +281,13 @@ def passages(documents: DataFrame, key: str, limit: int) -> DataFrame:
     repeated = cut(
         documents.select("text").mapInArrow(anchor_counts, "anchor bigint, n bigint")
         .groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
-    if repeated.count() <= limit:
-        table = np.sort(repeated.toArrow().column("anchor").to_numpy().view(np.uint64))
-        known = shared(documents.sparkSession, table)
+    known = member_test(repeated, limit)
+    if known is not None:
 
         def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, texts in pieces(batches):
                 yield passages_of(batch.column(key).to_pylist(), texts,
-                                  lambda starts, at, values, offsets: in_sorted(known(), values))
+                                  lambda starts, at, values, offsets: known(values))
 
         return documents.select(key, "text").mapInArrow(looked_up, PASSAGE)
 
@@ -277,7 +342,7 @@ def judge_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if len(group) == 1:  # one passage: all its windows occur as often as it does
             digest, n, words = group[0]
             if n > 1:
-                out.append((digest, list(range(len(words) // 8 - WINDOW + 1))))
+                out.append((digest, [0, len(words) // 8]))
         else:
             automaton = SuffixAutomaton()
             lists = [np.frombuffer(words, np.uint64).tolist() for _, _, words in group]
@@ -285,9 +350,9 @@ def judge_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 automaton.add(words, n)
             automaton.total()
             for (digest, _, _), words in zip(group, lists):
-                found = [k for k, n in enumerate(automaton.occurrences(words, WINDOW)) if n > 1]
-                if found:
-                    out.append((digest, found))
+                found = np.flatnonzero(np.array(automaton.occurrences(words, WINDOW)) > 1)
+                if len(found):
+                    out.append((digest, spans(found)))
         return pa.record_batch([
             pa.array([anchor] * len(out), pa.int64()), pa.array([d for d, _ in out], pa.int64()),
             pa.array([f for _, f in out], pa.list_(pa.int32()))], names=["anchor", "digest", "found"])
@@ -320,31 +385,44 @@ def exploded_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                               names=["anchor", "digest", "k", "n", "w"])
 
 
+def joined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [spans(np.sort(np.array(x))) for x in batch.column("found").to_pylist()]
+        yield pa.record_batch([batch.column("anchor"), batch.column("digest"), pa.array(found, pa.list_(pa.int32()))],
+                              names=["anchor", "digest", "found"])
+
+
 def repeats(documents: DataFrame, key: str = "doc_id", most: int = PASSAGES,
             limit: int = BROADCAST_ANCHORS) -> DataFrame:
-    """``row`` (see ``row_keys``) and the first words of its windows that occur twice or more."""
+    """``row`` (see ``row_keys``) and the ``spans`` of its windows that occur twice or more."""
     found = passages(documents, key, limit)
     # words are written once per different passage; the occurrences are found again without them
     distinct = cut(found.groupBy("anchor", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.max("words").alias("words")))
-    crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).filter(
-        F.col("different") > most).select("anchor")
+    crowded = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).filter(
+        F.col("different") > most).select("anchor"))
+    hot_anchors, plain = crowded.count(), distinct
+    if hot_anchors:
+        # one in PASSAGES of the passages at most: words need not be shuffled for them
+        few = F.broadcast(crowded) if hot_anchors <= limit else crowded
+        plain = distinct.join(few, "anchor", "left_anti")
     judged = (
-        distinct.join(crowded, "anchor", "left_anti").repartition("anchor")
+        plain.repartition("anchor")
         .sortWithinPartitions("anchor").select("anchor", "digest", "n", "words").mapInArrow(judge_anchors, JUDGED)
     )
-    hot = distinct.join(crowded, "anchor", "left_semi").select("anchor", "digest", "n", "words")
-    if not crowded.isEmpty():
+    if hot_anchors:
+        hot = distinct.join(few, "anchor", "left_semi").select("anchor", "digest", "n", "words")
         windows = hot.mapInArrow(
             exploded_windows, "anchor bigint, digest bigint, k int, n bigint, w binary")
         twice = windows.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").select("w")
         judged = judged.unionByName(
-            windows.join(twice, "w").groupBy("anchor", "digest").agg(F.collect_set("k").alias("found")))
+            windows.join(twice, "w").groupBy("anchor", "digest").agg(F.collect_set("k").alias("found"))
+            .mapInArrow(joined_windows, JUDGED))
     return (
         # a set, since repeated rows share their number
         found.select("row", "first", "anchor", "digest").join(judged, ["anchor", "digest"])
         .select("row", F.transform("found", lambda k: k + F.col("first")).alias("found"))
-        .groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"))
+        .groupBy("row").agg(F.flatten(F.collect_set("found")).alias("found"))
     )
 
 
@@ -366,24 +444,21 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", texts: bool = Tru
     """
     found = cut(repeats(documents, key, most, limit))
     kind = documents.schema[key].dataType.simpleString()
-    known = None
-    if found.count() <= limit:  # 8 bytes a row with repeats; above it all texts are joined
-        known = shared(documents.sparkSession, np.sort(found.select("row").toArrow().column("row").to_numpy()))
+    known = member_test(found.select("row"), limit)  # None: all texts are joined
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, parts in pieces(batches):
             rows = row_keys(batch.column(key).to_pylist(), parts)
-            own = np.ones(len(rows), bool) if known is None else in_sorted(known(), rows)
+            own = np.ones(len(rows), bool) if known is None else known(rows)
             yield pa.record_batch([pa.array(rows), *batch.columns], names=["__row", key, "text"]).filter(pa.array(own))
 
     def described(column: pa.Array, parts: list[bytes], lists: list) -> pa.RecordBatch:
         n, gone, kept = [], [], []
-        for text, starts in zip(parts, lists):
+        for text, ranges in zip(parts, lists):
             count = len(text.split())
             mask = None
-            if starts:
-                at = np.array(starts, np.int64)
-                mask = covered(at, at + WINDOW, count)
+            if ranges:
+                mask = covered(*np.array(ranges, np.int64).reshape(-1, 2).T, count)
             n.append(count)
             gone.append(0 if mask is None else int(mask.sum()))
             kept.append(kept_text(text, mask))
@@ -399,7 +474,7 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", texts: bool = Tru
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, parts in pieces(batches):
-            own = ~in_sorted(known(), row_keys(batch.column(key).to_pylist(), parts))
+            own = ~known(row_keys(batch.column(key).to_pylist(), parts))
             kept = [t for t, mine in zip(parts, own.tolist()) if mine]
             yield described(batch.column(key).filter(pa.array(own)), kept, [None] * len(kept))
 
