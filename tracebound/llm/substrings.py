@@ -42,6 +42,8 @@ PASSAGES = 2000
 BROADCAST_ANCHORS, BITMAP = 4_000_000, 16
 #: Bits of the table are 2 to this power, in blocks of 2 to the second.
 BITS, BLOCK_BITS = 28, 18
+#: Bytes of text whose windows are laid out together.
+PIECE = 4 << 20
 #: Words of reference text in one broadcast automaton (about 60 MB).
 SHARD_WORDS = 100_000
 
@@ -239,7 +241,7 @@ def spans(starts: np.ndarray) -> list[int]:
 
 
 def anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in pieces(batches):
+    for _, texts in pieces(batches, limit=PIECE):
         _, at, values = anchors_of(*word_hashes(texts))
         new = np.ones(len(at), bool)
         new[1:] = at[1:] != at[:-1]
@@ -285,14 +287,14 @@ def passages(documents: DataFrame, key: str, limit: int) -> DataFrame:
     if known is not None:
 
         def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in pieces(batches):
+            for batch, texts in pieces(batches, limit=PIECE):
                 yield passages_of(batch.column(key).to_pylist(), texts,
                                   lambda starts, at, values, offsets: known(values))
 
         return documents.select(key, "text").mapInArrow(looked_up, PASSAGE)
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, limit=PIECE):
             hashes, offsets = word_hashes(texts)
             _, at, values = anchors_of(hashes, offsets)
             at, where = np.unique(at, return_index=True)
@@ -303,7 +305,7 @@ def passages(documents: DataFrame, key: str, limit: int) -> DataFrame:
                 pa.array(values[where].view(np.int64))], names=["row", "at", "anchor"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, limit=PIECE):
             lists = batch.column("places").to_pylist()
 
             def is_repeated(starts, at, values, offsets):
@@ -313,7 +315,7 @@ def passages(documents: DataFrame, key: str, limit: int) -> DataFrame:
             yield passages_of(batch.column(key).to_pylist(), texts, is_repeated)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, limit=PIECE):
             yield pa.record_batch([pa.array(row_keys(batch.column(key).to_pylist(), texts)), *batch.columns],
                                   names=["row", key, "text"])
 
