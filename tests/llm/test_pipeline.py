@@ -1,13 +1,18 @@
+import contextlib
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import psutil
+import pytest
 import test_mixing
 import test_quality
 import test_simhash
 
 import corpus_pipeline
-from tracebound.llm import decontaminate, mixing, simhash
+from tracebound.llm import decontaminate, mixing, quality, simhash, tokens
 from tracebound.llm.queries import tokenizer_file
 
 
@@ -101,3 +106,35 @@ def test_decontamination_against_brute_force(spark):
     assert not any(r.contaminated for r in none.collect())
     assert decontaminate.contamination(df.limit(0), bench).collect() == []
     assert mixing.WEIGHTS == (3, 1, 2)
+
+
+def worker_memory(spark):
+    """MB of every Python worker of the session, by process."""
+    found = {}
+    for p in psutil.Process(spark.sparkContext._gateway.proc.pid).children(recursive=True):
+        with contextlib.suppress(OSError):
+            rollup = Path(f"/proc/{p.pid}/smaps_rollup").read_text()
+            found[p.pid] = sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", rollup))) / 1024
+    return found
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="Linux tells the memory of processes")
+def test_workers_keep_no_free_memory_between_stages(spark):
+    def docs(rows):
+        word = "conv(string(pmod(xxhash64(id, i), 20000)), 10, 36)"
+        return spark.range(0, rows, 1, 1).selectExpr(
+            "id AS doc_id", f"concat_ws(' ', transform(sequence(1, 500), i -> {word})) AS text")
+
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+
+    def stages(df):
+        for out in (quality.rule_statistics(df), simhash.fingerprints(df), decontaminate.contamination(df, bench),
+                    tokens.round_trip(df, tokenizer_file())):
+            out.write.format("noop").mode("overwrite").save()
+
+    stages(docs(50))
+    before = worker_memory(spark)
+    stages(docs(16_000))
+    # a worker without libraries has 40 MB, words and vocabulary of the tokenizer take 40
+    grown = {pid: mb - before.get(pid, 40) for pid, mb in worker_memory(spark).items()}
+    assert max(grown.values()) < 75, grown

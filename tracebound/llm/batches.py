@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,28 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
             at = end
 
 
+def give_back() -> None:
+    """Hand memory that is free in this process back to the system, as far as its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+         ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``, after which the worker keeps no free memory.
+
+    Workers outlive their tasks and stages, and Arrow's pool and the C library would hold the most
+    that any task took, beside the executor's heap.
+    """
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return worked
+
+
 class Index(dict):
     """Numbers keys in the order of their first use."""
 

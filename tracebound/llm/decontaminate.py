@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracebound.llm.batches import (
-    covered, grams, index_words, pieces, shared, starts_inside, sum_by_text)
+    covered, grams, index_words, pieces, shared, starts_inside, sum_by_text, tidy)
 
 WINDOW, K = 13, 5
 #: Benchmark words in one broadcast block (about 40 MB of tables).
@@ -210,7 +210,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, "text").mapInArrow(
-        judge, f"`{key}` {kind}, n_words bigint, n_hit bigint, n_items bigint, "
+        tidy(judge), f"`{key}` {kind}, n_words bigint, n_hit bigint, n_items bigint, "
                "items_sha256 string, contaminated boolean, spans array<array<bigint>>")
 
 
@@ -225,4 +225,4 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, share: int = 20,
             n_hit = sum_by_text(hit, offsets)
             yield batch.filter(pa.array(~((n_hit > 0) & (share * n_hit >= np.diff(offsets)))))
 
-    return documents.mapInArrow(chosen, documents.schema)
+    return documents.mapInArrow(tidy(chosen), documents.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracebound.llm.batches import index_words, pieces, shared, sum_by_text
+from tracebound.llm.batches import index_words, pieces, shared, sum_by_text, tidy
 from tracebound.plans.lineage import cut
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -111,7 +111,7 @@ def rule_statistics(documents: DataFrame, key: str = "doc_id") -> DataFrame:
                 names=[key, *COUNTS, *FEATURES])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, "text").mapInArrow(measured, f"`{key}` {kind}, {SCHEMA}")
+    return documents.select(key, "text").mapInArrow(tidy(measured), f"`{key}` {kind}, {SCHEMA}")
 
 
 def expected_path(n: float) -> float:
@@ -281,4 +281,4 @@ def kept_documents(documents: DataFrame, labels: DataFrame, key: str = "doc_id")
             keep = ~failed(stats) & (sent().score(features_of(stats)) < LIMIT)
             yield batch.filter(pa.array(keep))
 
-    return documents.mapInArrow(chosen, documents.schema)
+    return documents.mapInArrow(tidy(chosen), documents.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracebound.llm.batches import pieces
+from tracebound.llm.batches import pieces, tidy
 from tracebound.llm.components import components
 from tracebound.plans.lineage import cut
 
@@ -63,7 +63,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.record_batch([batch.column(key), pa.array(values)], names=[key, "fp"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, "text").mapInArrow(hashed, f"`{key}` {kind}, fp bigint")
+    return documents.select(key, "text").mapInArrow(tidy(hashed), f"`{key}` {kind}, fp bigint")
 
 
 def signed(value: int) -> int:
@@ -207,7 +207,7 @@ def similar(distinct: DataFrame, group: int = GROUP) -> DataFrame:
         found = (
             rows.select("mask", "part", "fp").repartition("mask", "part")
             .sortWithinPartitions("mask", "part")
-            .mapInArrow(index_groups, "u bigint, v bigint")
+            .mapInArrow(tidy(index_groups), "u bigint, v bigint")
         )
         out = found if out is None else out.unionByName(found)
     return out
@@ -251,7 +251,7 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", group: int = GROUP) -
                                   names=["__key", "__digest", "fp"])
 
     kind = documents.schema[key].dataType.simpleString()
-    rows = cut(small.mapInArrow(hashed, f"__key {kind}, __digest bigint, fp bigint"))
+    rows = cut(small.mapInArrow(tidy(hashed), f"__key {kind}, __digest bigint, fp bigint"))
     # per fingerprint first, so that a group of copies is one row before the join
     least = rows.groupBy("fp").agg(F.min(F.struct(F.col("__key").isNull(), "__key", "__digest")).alias("__least"))
     winners = (

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracebound.llm.batches import Index, pieces
+from tracebound.llm.batches import Index, pieces, tidy
 from tracebound.llm.idcoder import decode, encode
 
 END_ID = 2
@@ -221,7 +221,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_file: str, key: str
         documents.select(F.col(key).alias("key"), "text").withColumnRenamed("key", key)
         .repartitionByRange(F.col(key).asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col(key).asc_nulls_first(), "text")
-        .mapInArrow(encoded, "part bigint, before bigint, n bigint, "
+        .mapInArrow(tidy(encoded), "part bigint, before bigint, n bigint, "
                              f"keys array<{kind}>, lengths array<bigint>, ids binary")
         # chunks are large cells: small row groups keep few of them in memory
         .write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
@@ -266,7 +266,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool =
     return (
         chunks.join(offsets, "part")
         .select(F.expr("before + offset").alias("base"), "keys", "lengths", "ids")
-        .mapInArrow(decoded, schema + (", ids array<int>" if ids else ""))
+        .mapInArrow(tidy(decoded), schema + (", ids array<int>" if ids else ""))
     )
 
 
