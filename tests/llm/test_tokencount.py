@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 from functools import lru_cache
 
 from tracebound.llm import tokencount as C
@@ -69,3 +70,49 @@ def test_long_words_take_no_nodes(monkeypatch):
     long = C.Trie(vocabulary)
     assert [long.tokens(w) for w in words] == want
     assert len(long.best) < 5
+
+
+def test_levels_of_many_words_match_brute_force(monkeypatch):
+    rng = random.Random(9)
+    pieces = {"".join(rng.choice("abcé🧿") for _ in range(rng.randrange(1, 7))) for _ in range(150)}
+    vocabulary = C.Vocabulary.of([C.MARK, C.MARK + "ab", *sorted(pieces)])
+    words = [C.MARK + "".join(rng.choice("abcdé🧿") for _ in range(rng.randrange(25))) for _ in range(1500)]
+    want = [plain(vocabulary, w) for w in words]
+    whole = C.Trie(vocabulary)
+    assert whole.counts(words).tolist() == want
+    assert len(whole.best) == len({w[:k] for w in words for k in range(len(w) + 1)})
+    n = len(whole.best)
+    assert whole.counts(words[::-1] + words[:7]).tolist() == want[::-1] + want[:7]
+    assert len(whole.best) == n
+    assert whole.counts([]).tolist() == [] and whole.counts(["", "\ud7ff"]).tolist() == [0, 3]
+    monkeypatch.setattr(C, "NODES", 300)
+    assert C.Trie(vocabulary).counts(words).tolist() == want
+    assert C.Trie(C.Vocabulary.of([])).counts(["aé", "b"]).tolist() == [3, 1]
+
+
+def test_nodes_are_scored_by_level_and_only_by_pieces_that_end_there():
+    class Lookups(dict):
+        n = 0
+
+        def get(self, *args):
+            Lookups.n += 1
+            return super().get(*args)
+
+    rng = random.Random(12)
+    vocabulary = C.Vocabulary.of(["a", "b", "ab", "abcabcabcabcabcabc", "c", C.MARK])
+    vocabulary.scores = Lookups(vocabulary.scores)
+    trie, calls = C.Trie(vocabulary), 0
+    trie.tokens(C.MARK)
+    words = [C.MARK + "".join(rng.choice("abcd") for _ in range(30)) for _ in range(3000)]
+
+    def called(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(called)
+    try:
+        trie.counts(words)
+    finally:
+        sys.setprofile(None)
+    assert len(trie.best) > 50_000
+    assert Lookups.n == 0 and calls < len(trie.best) / 2
